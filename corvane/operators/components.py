@@ -34,3 +34,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             drop(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+class Forest:
+    """Union-find over 0..n-1 that remembers the joins that mattered."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
