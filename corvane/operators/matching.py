@@ -38,9 +38,8 @@ def greedy(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "
     """``key, s, e``: leftmost-longest matches that do not overlap."""
     pattern = alternation(terms)
     gaps, hits = F.split(F.col(text), pattern), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    pairs = F.transform(hits, lambda h, i: F.struct(F.length(F.element_at(gaps, i + 1)).alias("gap"), F.length(h).alias("size")))
-    # a match at offset 0 leaves an empty first gap, which split keeps where the match has width
-    rows = docs.select(key, F.posexplode(pairs).alias("i", "m"))
+    # a match at offset 0 leaves an empty first gap, which split keeps where the match has width; the last gap has no match
+    rows = docs.select(key, F.posexplode(F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("size"))).alias("i", "m")).where("m.size is not null")
     w = Window.partitionBy(key).orderBy("i")
     end = F.sum(F.col("m.gap") + F.col("m.size")).over(w)
     return rows.select(key, (end - F.col("m.size")).alias("s"), end.alias("e"))
