@@ -57,18 +57,19 @@ def domain_of(host: Column) -> Column:
 
 
 def _strength(cells: DataFrame) -> float:
-    """1/rho - 1 for the intra-class correlation rho of ``cells(n, k)``, held within 1 and 1000."""
+    """1/rho - 1 for the intra-class correlation rho of ``cells(n, k)``, held within 1 and 1000; never above the number of outcomes, which is all that a prior can know."""
     r = cells.where("n > 0").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("groups"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk")).first()
+    most = min(1000.0, max(1.0, float(r["n"] or 0)))
     if not r["n"] or r["groups"] < 2:
-        return 1000.0
+        return most
     p = r["k"] / r["n"]
     between = r["kk"] - r["n"] * p * p  # sum of n_i (p_i - p)^2
     room = (r["n"] - r["nn"] / r["n"]) * p * (1 - p)
     if room <= 0:
-        return 1000.0
+        return most
     rho = (between - (r["groups"] - 1) * p * (1 - p)) / room
     rho = round(min(max(rho, 1 / 1001), 0.5), 6)  # rounded, so that the order of summing cannot show
-    return 1 / rho - 1
+    return min(most, 1 / rho - 1)
 
 
 def reputation(cells: DataFrame, z: float = 1.645) -> DataFrame:

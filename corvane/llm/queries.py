@@ -66,8 +66,8 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_host_reputa
 
 _LEVEL = """
     {name}_m as (select sum(n)::double n, sum(k)::double k, count(*) g, sum(n * n)::double nn, sum(k * k / n::double) kk from {cells} where n > 0),
-    {name}_s as (select case when n is null or g < 2 or (n - nn / n) * (k / n) * (1 - k / n) <= 0 then 1000.0::double
-        else 1 / round(least(greatest((kk - n * (k / n) * (k / n) - (g - 1) * (k / n) * (1 - k / n)) / ((n - nn / n) * (k / n) * (1 - k / n)), 1 / 1001.0::double), 0.5), 6) - 1 end s from {name}_m)"""
+    {name}_s as (select least(greatest(coalesce(n, 0), 1.0::double), case when n is null or g < 2 or (n - nn / n) * (k / n) * (1 - k / n) <= 0 then 1000.0::double
+        else 1 / round(least(greatest((kk - n * (k / n) * (k / n) - (g - 1) * (k / n) * (1 - k / n)) / ((n - nn / n) * (k / n) * (1 - k / n)), 1 / 1001.0::double), 0.5), 6) - 1 end) s from {name}_m)"""
 
 ORACLES = {
     "op3_host_reputation": rf"""
