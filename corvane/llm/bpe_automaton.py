@@ -138,6 +138,9 @@ class Automaton:
 
     def _encode(self, words: list[bytes], sizes: np.ndarray, last_marked: bool) -> tuple[np.ndarray, np.ndarray]:
         width, rows = int(sizes[-1]), len(words)
+        if width > 50 * rows:  # few long words: step by step costs less than by columns
+            got = [self._encode_one(w, last_marked) for w in words]
+            return np.array([t for g in got for t in g], np.int32), np.array([len(g) for g in got], np.int64)
         flat = np.zeros((rows, width + 1), np.int32)
         column = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         flat[np.repeat(np.arange(rows), sizes), column] = np.frombuffer(b"".join(words), np.uint8)
@@ -178,6 +181,31 @@ class Automaton:
         return back[back >= 0], (back >= 0).sum(1)
 
 
+    def _encode_one(self, word: bytes, last_marked: bool) -> list[int]:
+        if not hasattr(self, "_steps"):
+            self._steps = self.base.tolist(), self.check.tolist(), self.token_at.tolist(), self.target.tolist()
+        base, check, token_at, target = self._steps
+        symbols, n, arcs = list(word), len(word), self.arcs
+        if last_marked and n:
+            symbols[-1] += 256
+        state, via = [0] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            node, depth, here = 0, i, state[i]
+            while depth < n:
+                child = base[node] + symbols[depth]
+                if depth > i and check[child] != node:
+                    break
+                node, depth = child, depth + 1
+                token = token_at[node]
+                if token >= 0 and arcs[token, here >> 3] >> (here & 7) & 1:
+                    state[depth], via[depth] = target[token], token
+        out = []
+        while n:
+            out.append(via[n])
+            n -= int(self.lengths[via[n]])
+        return out[::-1]
+
+
 class Tokenizer:
     """What a tokenizer file says: normalisation, pre-splitting, merges, added tokens and decoding.
 
