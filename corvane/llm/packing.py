@@ -2,11 +2,14 @@
 
 Documents become pieces of at most ``capacity`` tokens. Pieces that fill a
 sequence stand alone; the others are dealt over groups by hash, and each group
-is packed by best-fit decreasing. Dual feasible functions give a lower bound on
-a group's sequences. A group that meets its bound is certified and final. The
-others give the pieces of their poorly filled sequences to a pool, which is
-dealt anew over fewer groups and packed again; the exchange stands where it
-saves sequences, and goes on until nothing is left to certify or to save.
+is packed by best-fit decreasing. Dual feasible functions give lower bounds on
+the sequences of a group and of all groups together; once the groups' total
+meets the latter, all is final. Until then groups exchange: one that misses its
+own bound gives the pieces of every sequence with a gap to a pool, and one that
+meets it, which cannot pack its own pieces better, only those of sequences with
+room for pieces of others. The pool is dealt anew over groups twice as large
+and packed again; the exchange stands where it saves sequences, and goes on
+until nothing is left to certify or to save.
 """
 
 from __future__ import annotations
@@ -163,26 +166,24 @@ def pack(pieces: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: in
     whole = pieces.where(F.col("length") == capacity).select("uid", (2 * F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.where(F.col("length") < capacity).select("uid", "length")
     n = items.count()
-    done, spent = [], []
+    done, before = [], None
     for salt in range(rounds):
         if not n:
             break
-        packed = materialize(pack_groups(items, max(1, -(-n // group)), salt, capacity), "packed")
-        if spent:  # an exchange that made no fewer sequences is taken back
-            old, new = (t.where("offset = 0").count() for t in (before, packed))
-            if new >= old:
-                drop(packed)
-                done.append(before)
-                break
-        # of groups that miss their bound, the sequences that leave room
-        poor = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity - capacity // 128)
-        if salt == rounds - 1 or not (left := packed.where(poor).count()):
+        packed = materialize(pack_groups(items, max(1, -(-n // (group << salt))), salt, capacity), "packed")
+        made = packed.where("offset = 0").count()
+        if before is not None and made >= before.where("offset = 0").count():  # an exchange that made no fewer sequences is taken back
+            drop(packed)
+            done.append(before)
+            break
+        gap = F.when(F.col("bins") > F.col("bound"), capacity // 128).otherwise(capacity // 16)
+        poor = F.col("fill") < capacity - gap
+        if salt == rounds - 1 or made <= bound(packed, capacity) or not (left := packed.where(poor).count()):
             done.append(_ids(packed, salt))
             break
         done.append(_ids(packed.where(~poor), salt))
         before = _ids(packed.where(poor), salt)
         items, n = packed.where(poor).select("uid", "length"), left
-        spent.append(packed)
     out = whole
     for part in done:
         out = out.unionByName(part.select("uid", "sequence_id", "offset"))
