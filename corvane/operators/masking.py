@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.keyed import uniform
+from corvane.operators.matching import CELL_BITS, cells
 
 # Tokens whose words are never masked offline.
 PROTECTED = ("ve", "veya", "ile", "bir", "bu", "şu", "o", "ki", "da", "de", "ama", "fakat", "için", "gibi", "çünkü", ".", ",", ":", ";", "!", "?", "(", ")", "[", "]", "{", "}", "-", "/", "\\", "'", '"', "`", "’", "“", "”", "…", "«", "»")
@@ -25,10 +26,11 @@ def word_map(tokens: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFra
     and the last part of a phrase.
     """
     middle = F.floor((2 * F.col("s") + F.length("term")) / 2)
-    at = hits.select(key, "priority", middle.alias("mid")).join(tokens.select(key, "start_at", "end_at", "word_id"), key).where("start_at <= mid and mid < end_at")
+    placed = tokens.select(key, "start_at", "end_at", "word_id", F.explode(cells(F.col("start_at"), F.col("end_at"))).alias("cell"))
+    at = hits.select(key, "priority", middle.alias("mid"), F.shiftright(middle, CELL_BITS).alias("cell")).join(placed, [key, "cell"]).where("start_at <= mid and mid < end_at")
     single = at.groupBy(key, "word_id").agg(F.max("priority").alias("priority"))
-    several = hits.where(F.contains("term", F.lit(" "))).select(key, "term", "s", "e")
-    spans = several.join(tokens.select(key, "start_at", "end_at", "word_id"), key).where("start_at < e and end_at > s").groupBy(key, "term", "s").agg(F.min("word_id").alias("lo"), F.max("word_id").alias("hi"))
+    several = hits.where(F.contains("term", F.lit(" "))).select(key, "term", "s", "e", F.explode(cells(F.col("s"), F.col("e"))).alias("cell"))
+    spans = several.join(placed, [key, "cell"]).where("start_at < e and end_at > s").groupBy(key, "term", "s").agg(F.min("word_id").alias("lo"), F.max("word_id").alias("hi"))
     phrase = spans.where("lo < hi").select(key, F.explode(F.sequence("lo", "hi")).alias("word_id")).distinct().withColumn("is_phrase", F.lit(True))
     both = single.join(phrase, [key, "word_id"], "full_outer")
     return both.select(key, "word_id", F.when(F.col("is_phrase"), PHRASE_PRIORITY).otherwise(F.col("priority")).alias("priority"), F.coalesce("is_phrase", F.lit(False)).alias("is_phrase"))
@@ -36,9 +38,11 @@ def word_map(tokens: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFra
 
 def window_tokens(tokens: DataFrame, windows: DataFrame, key: str = "doc_id", width: int = 510) -> DataFrame:
     """Tokens of every window: ``key, chunk, pos`` counted within the window."""
-    starts = windows.groupBy(key).agg(F.collect_list(F.struct("chunk", "start")).alias("w"))
-    rows = tokens.join(starts, key).select(*tokens.columns, F.explode(F.filter("w", lambda x: (x["start"] <= F.col("pos")) & (F.col("pos") < x["start"] + width))).alias("x"))
-    return rows.select(*[c for c in tokens.columns if c != "pos"], F.col("x.chunk").alias("chunk"), (F.col("pos") - F.col("x.start")).alias("pos"))
+    start = F.col("start")
+    reach = F.sequence(F.floor(start / width), F.floor((start + (width - 1)) / width))  # the one or two stretches of ``width`` that a window touches
+    starts = windows.select(key, "chunk", "start", F.explode(reach).alias("stretch"))
+    rows = tokens.withColumn("stretch", F.floor(F.col("pos") / width)).join(starts, [key, "stretch"]).where((start <= F.col("pos")) & (F.col("pos") < start + width))
+    return rows.select(*[c for c in tokens.columns if c != "pos"], "chunk", (F.col("pos") - start).alias("pos"))
 
 
 def rates(density: Column) -> tuple[Column, Column]:

@@ -1,12 +1,21 @@
-"""Native tokeniser: words are runs of non-space, tokens letters, digits or single marks within them."""
+"""Tokeniser: words are runs of non-space, tokens letters, digits or single marks within them.
+
+Offsets are running sums within a text, for which Spark has no expression that
+is linear in the text; a window would shuffle and sort every token of the
+corpus. So texts are cut in Arrow batches where they are read, without a shuffle.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
+_TOKEN = regex.compile(TOKEN.replace(r"\s", r" \t-\r"))  # the JVM's \s is ASCII white space only
+MOST_ROWS = 1 << 17  # rows to gather before a batch is handed on
 
 
 def token_count(c):
@@ -15,9 +24,36 @@ def token_count(c):
 
 def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, pos, start_at, end_at, word_id, token`` with end-exclusive character offsets; null and blank texts have no rows."""
-    pieces = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(rf"{TOKEN}|\s+"), F.lit(0))).alias("i", "token"))
-    w = Window.partitionBy(key).orderBy("i")
-    solid = ~F.col("token").rlike(r"^\s")
-    pieces = pieces.select(key, "i", "token", solid.alias("solid"), (F.sum(F.length("token")).over(w)).alias("end_at"), F.coalesce(F.lag(solid).over(w), F.lit(False)).alias("joined"))
-    pieces = pieces.select(key, "token", "solid", (F.col("end_at") - F.length("token")).alias("start_at"), "end_at", (F.sum(F.col("solid").cast("int")).over(w) - 1).alias("pos"), (F.sum((F.col("solid") & ~F.col("joined")).cast("int")).over(w) - 1).alias("word_id"))
-    return pieces.where("solid").select(key, "pos", "start_at", "end_at", "word_id", "token")
+    schema = docs.select(key).schema
+    for name in ("pos", "start_at", "end_at", "word_id"):
+        schema = schema.add(name, "long")
+    schema = schema.add("token", "string")
+
+    def rows(b, parts):
+        at, spans, tokens = zip(*parts, strict=True)
+        counts = [len(x) for x in spans]
+        bounds = np.concatenate(spans)
+        new_word = np.ones(len(bounds), np.int64)
+        new_word[1:] = bounds[1:, 0] != bounds[:-1, 1]
+        first = np.repeat(np.cumsum(counts) - counts, counts)
+        new_word[np.cumsum(counts)[:-1]] = 1
+        words = np.cumsum(new_word)
+        columns = [np.arange(len(bounds)) - first, bounds[:, 0], bounds[:, 1], words - words[first]]
+        token = pa.array([t for x in tokens for t in x], pa.string())
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(at, counts))), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns), token], names=schema.names)
+
+    def run(batches):
+        for b in batches:
+            parts, n = [], 0
+            for i, t in enumerate(b.column(1)):
+                found = list(_TOKEN.finditer(t.as_py() or ""))
+                if found:
+                    parts.append((i, np.array([m.span() for m in found], np.int64), [m.group() for m in found]))
+                    n += len(found)
+                if n >= MOST_ROWS:
+                    yield rows(b, parts)
+                    parts, n = [], 0
+            if parts:
+                yield rows(b, parts)
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from corvane.functions.keyed import uniform
-from corvane.operators import analysis, masking, sampling, windows
+from corvane.operators import analysis, masking, matching, sampling, tokens, windows
 from corvane.operators.components import connected_components
 from corvane.sources import readers, sinks
 from corvane.sources.search_api import SearchReader, SearchSource
@@ -33,6 +33,57 @@ def test_keyed_numbers_ignore_partitions(spark):
     assert one == many and 0 <= one[0] and one[-1] < 1
 
 
+def test_tokens_are_their_offsets(spark):
+    texts = [None, "", " \t\n", "Ağ5ır  ceza.\u00a0x", "\U0001f600a b" * 3, "a\u0301 1" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in tokens.tokenize(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sorted(got) == [3, 4, 5]
+    for i, rows in got.items():
+        rows.sort(key=lambda r: r["pos"])
+        text = texts[i]
+        assert [r["pos"] for r in rows] == list(range(len(rows)))
+        assert all(text[r["start_at"] : r["end_at"]] == r["token"] for r in rows)
+        words = [w for w in text.replace("\u00a0", "\x00").split()]
+        assert ["".join(r["token"] for r in rows if r["word_id"] == w) for w in range(min(3, len(words)))] == [w.replace("\x00", "\u00a0") for w in words[:3]]
+        assert rows[-1]["word_id"] == len(words) - 1
+
+
+def test_matches_equal_brute_force(spark, monkeypatch):
+    words = ["aa", "a", "aba", "b", "ğa", "", None, "b"]
+    texts = [None, "", "aabaaba", "ğağa" * 40, "\U0001f600ab", "zzz"]
+    terms = spark.createDataFrame([(w, float(i)) for i, w in enumerate(words)], "term string, priority double")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, norm string")
+    want = sorted((d, w, float(i), s, s + len(w)) for d, t in enumerate(texts) for i, w in enumerate(words) if w for s in range(len(t or "")) if t.startswith(w, s))
+    assert sorted(map(tuple, matching.overlapping(docs, terms).collect())) == want
+    monkeypatch.setattr(matching, "MOST_TERMS", 2)  # several automata
+    assert sorted(map(tuple, matching.overlapping(docs, terms).collect())) == want
+    assert matching.overlapping(docs, terms.limit(0)).count() == matching.overlapping(docs.limit(0), terms).count() == 0
+    longest = []
+    for d, t in enumerate(texts):
+        at = 0
+        while t and at < len(t):
+            size = max((len(w) for w in words if w and t.startswith(w, at)), default=0)
+            longest += [(d, at, at + size)] if size else []
+            at += size or 1
+    assert sorted(map(tuple, matching.greedy(docs, [w for w in words if w]).collect())) == longest
+
+
+def test_spans_longer_than_a_cell(spark):
+    rows = [(1, i, 3 * i, 3 * i + 2, i, "xx") for i in range(100)]
+    toks = spark.createDataFrame(rows, "doc_id int, pos long, start_at long, end_at long, word_id long, token string")
+    spans = spark.createDataFrame([(1, 10, 140), (1, 20, 60), (1, 200, 200), (1, 297, 298)], "doc_id int, s long, e long")
+    got = {r["pos"] for r in matching.tokens_in_spans(toks, spans).collect() if r["legal"]}
+    assert got == {i for _, i, a, b, _, _ in rows if 10 <= (a + b) / 2 < 140}
+    hits = spark.createDataFrame([(1, "x " * 60, 2.0, 30, 150), (1, "xx", 3.0, 0, 2)], "doc_id int, term string, priority double, s long, e long")
+    found = {r["word_id"]: (r["priority"], r["is_phrase"]) for r in masking.word_map(toks, hits).collect()}
+    assert found == {0: (3.0, False), **{i: (5.0, True) for i in range(10, 50)}}
+    starts = spark.createDataFrame([(1, 0, 0), (1, 1, 7), (1, 2, 63)], "doc_id int, chunk int, start int")
+    placed = sorted((r["chunk"], r["pos"], r["word_id"]) for r in masking.window_tokens(toks, starts, width=10).collect())
+    assert placed == [(c, p, s + p) for c, s in ((0, 0), (1, 7), (2, 63)) for p in range(10)]
+
+
 def test_online_budget_moves_to_other_words(spark):
     words = spark.createDataFrame([(1, 0, i, i < 4) for i in range(100)], "doc_id int, chunk int, word_id int, legal boolean")
     got = masking.online_select(words).groupBy("legal").count().collect()
