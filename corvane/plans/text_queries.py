@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import tokens, windows
 from corvane.plans.fixtures import frame, values
+from corvane.storage import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +17,7 @@ TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def query(name: str, sql: str):

@@ -45,6 +45,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A scan whose splits would leave half of the cores or more idle, dealt over them by ``key``; any other as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if 2 * table.rdd.getNumPartitions() <= cores else table
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables from :func:`materialize` that no later plan reads."""
     for df in tables:
