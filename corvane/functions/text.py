@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def _sub(c: Column, pattern: str, new: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(new))
 
 
+def let(c: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule(c)`` with ``c`` computed once, however often the rule names it. The rule may not hold a Python function."""
+    return F.get(F.transform(F.array(c), rule), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, in the Unicode sense."""
     return _sub(c, r"(?U)^\s+|\s+$", "")
@@ -31,7 +37,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 def nfkc(c: Column) -> Column:
     """Unicode NFKC, null as empty; ASCII text never leaves the JVM."""
     c = F.coalesce(c, F.lit(""))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(c)
+    return F.coalesce(_nfkc(let(c, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), t))), c)
 
 
 def escape_decode(c: Column) -> Column:
@@ -119,9 +125,13 @@ def law_refs(c: Column) -> Column:
 def extract_content(c: Column) -> Column:
     """The body after the first heading that leaves over 100 characters; else what follows 500 characters of a text over 600; else all."""
     heads = (r"[İi]çtihat\s*[Mm]etni", "[Kk]arar", "[Hh]üküm")
-    bodies = [strip(F.regexp_extract(c, rf"(?isU){h}\s*:?\s*(.*)", 1)) for h in heads]
-    kept = [F.when(F.length(b) > 100, b) for b in bodies]
-    return F.coalesce(*kept, strip(F.when(F.length(c) > 600, F.substring(c, 501, 1 << 30)).otherwise(c)))
+
+    def body(t: Column) -> Column:
+        found = [strip(F.regexp_extract(t, rf"(?isU){h}\s*:?\s*(.*)", 1)) for h in heads]
+        kept = [let(b, lambda b: F.when(F.length(b) > 100, b)) for b in found]
+        return F.coalesce(*kept, strip(F.when(F.length(t) > 600, F.substring(t, 501, 1 << 30)).otherwise(t)))
+
+    return let(c, body)
 
 
 def final_cleanup(c: Column) -> Column:
@@ -136,7 +146,7 @@ def clean(c: Column, min_length: int = 50, unicode: bool = True) -> Column:
     """The whole chain; null where less than ``min_length`` characters are left."""
     norm = (lambda x: control_strip(escape_decode(nfkc(x)))) if unicode else (lambda x: control_strip(escape_decode(x)))
     c = final_cleanup(law_refs(fix_spacing(ocr(extract_content(norm(norm(c)))))))
-    return F.when(F.length(c) >= min_length, c)
+    return let(c, lambda t: F.when(F.length(t) >= min_length, t))
 
 
 def turkish_ratio(c: Column) -> Column:

@@ -110,7 +110,8 @@ _COUNTED = f"(select *, len(regexp_extract_all(t, '{TOKEN}'))::int n from {_CLEA
 def minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cleaned by native rules only, short ones dropped."""
     c = T.final_cleanup(T.extract_content(T.control_strip(F.col("text"))))
-    return docs(spark, sf_dir).select("doc_id", "lang", "source", c.alias("t")).where(F.length("t") >= 50)
+    kept = F.filter(F.array(c), lambda t: F.length(t) >= 50)  # a filter above would clean every text twice
+    return docs(spark, sf_dir).select("doc_id", "lang", "source", F.explode(kept).alias("t"))
 
 
 @query("clean_minimal_windows", f"select lang, count(*) docs, sum(n)::bigint tokens, sum(case when n < 50 then 0 when n <= 510 then 1 else ceil((n - 510) / 128.0) + 1 end)::bigint windows from {_COUNTED} group by lang")
