@@ -54,10 +54,16 @@ def rates(density: Column) -> tuple[Column, Column]:
     return F.least(F.greatest(rate, F.lit(0.12)), F.lit(0.28)).cast("double"), F.least(F.greatest(share, F.lit(0.35)), F.lit(0.80)).cast("double")
 
 
-def offline_words(chunk_tokens: DataFrame, legal: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row per word of a window, with its class and the window's budgets."""
-    words = chunk_tokens.groupBy(key, "chunk", "word_id").agg(F.min("pos").alias("first_pos"), F.bool_or(F.col("token").isin(*PROTECTED)).alias("protected"))
-    words = words.join(legal, [key, "word_id"], "left").withColumn("is_phrase", F.coalesce("is_phrase", F.lit(False)))
+def words_of_windows(tokens: DataFrame, windows: DataFrame, key: str = "doc_id", word: str = "word_id", **aggregates: Column) -> DataFrame:
+    """A row per word of a window. The windows' rows are dealt by window once, for this grouping and the budgets after it."""
+    placed = window_tokens(tokens, windows, key)
+    return placed.repartition(key, "chunk").groupBy(key, "chunk", F.col(word).alias("word_id")).agg(*[a.alias(name) for name, a in aggregates.items()])
+
+
+def offline_words(tokens: DataFrame, windows: DataFrame, legal: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row per word of a window, with its class and the window's budgets. Words meet the lexicon before windows multiply them."""
+    marked = tokens.select(key, "pos", "word_id", F.col("token").isin(*PROTECTED).alias("protected")).join(legal, [key, "word_id"], "left")
+    words = words_of_windows(marked, windows, key, first_pos=F.min("pos"), protected=F.bool_or("protected"), priority=F.max("priority"), is_phrase=F.coalesce(F.bool_or("is_phrase"), F.lit(False)))
     w = Window.partitionBy(key, "chunk")
     density = F.count("priority").over(w).cast("double") / F.count(F.lit(1)).over(w)
     rate, share = rates(F.col("density"))

@@ -163,13 +163,12 @@ ranked as (select *, row_number() over (partition by doc_id, chunk, kind order b
 chosen as (select doc_id, chunk, word_id, kind from (select *, least(greatest(legal_budget - phrases, 0), others) taken from ranked) where kind = 0 or (kind = 1 and place <= taken) or (kind = 2 and place <= budget - phrases - taken))"""
 
 
-def offline_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = windows.windows(counts(spark, sf_dir), windows.offline_starts(F.col("n")))
-    return masking.window_tokens(tokens.tokenize(docs(spark, sf_dir)), starts).select("doc_id", "chunk", "pos", "word_id", "token")
+def offline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.windows(counts(spark, sf_dir), windows.offline_starts(F.col("n"))).select("doc_id", "chunk", "start")
 
 
 def offline_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masking.offline_words(offline_tokens(spark, sf_dir), word_map(spark, sf_dir))
+    return masking.offline_words(tokens.tokenize(docs(spark, sf_dir)), offline_windows(spark, sf_dir), word_map(spark, sf_dir))
 
 
 @query("mask_budget_offline", f"with {_BUDGET} select doc_id, chunk, round(max(density), 9) density, max(rate) rate, max(share) share, max(maskable)::bigint maskable, max(budget)::int budget, max(legal_budget)::int legal_budget from budget group by 1, 2")
@@ -187,7 +186,8 @@ def mask_select_offline(spark, sf_dir):
     select doc_id, chunk, case when legal then case when r < 0.90 then 'mask' when r < 0.95 then 'random' else 'keep' end else case when r < 0.80 then 'mask' when r < 0.80::double + 0.10::double then 'random' else 'keep' end end outcome, count(*) n, sum(pos)::bigint places from outs group by all""")
 def mask_replace_offline(spark, sf_dir):
     chosen = masking.offline_select(offline_words(spark, sf_dir))
-    rows = chosen.join(offline_tokens(spark, sf_dir), ["doc_id", "chunk", "word_id"])
+    placed = masking.window_tokens(tokens.tokenize(docs(spark, sf_dir)).select("doc_id", "pos", "word_id"), offline_windows(spark, sf_dir))
+    rows = chosen.join(placed, ["doc_id", "chunk", "word_id"])
     out = masking.outcome(uniform("replace", "doc_id", "chunk", "pos"), F.col("kind") < 2)
     return rows.select("doc_id", "chunk", out.alias("outcome"), "pos").groupBy("doc_id", "chunk", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("places"))
 
@@ -213,8 +213,7 @@ def _online_sql(word: str) -> str:
 
 def _online(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
     starts = windows.windows(counts(spark, sf_dir), windows.online_starts(F.col("n")))
-    toks = masking.window_tokens(legal_tokens(spark, sf_dir), starts)
-    words = toks.groupBy("doc_id", "chunk", F.col(word).alias("word_id")).agg(F.bool_or("legal").alias("legal"))
+    words = masking.words_of_windows(legal_tokens(spark, sf_dir).select("doc_id", "pos", "word_id", "legal"), starts, word=word, legal=F.bool_or("legal"))
     return masking.online_select(words).groupBy("doc_id", "chunk", "legal").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("word_id").cast("long")).alias("words"))
 
 
