@@ -4,11 +4,13 @@ import json
 
 from pyspark.sql import functions as F
 
+from corvane.functions import text
 from corvane.functions.keyed import uniform
 from corvane.operators import analysis, masking, matching, sampling, tokens, windows
 from corvane.operators.components import connected_components
 from corvane.sources import readers, sinks
 from corvane.sources.search_api import SearchReader, SearchSource
+from corvane.storage import spread
 
 
 def test_window_counts_match_closed_forms(spark):
@@ -132,3 +134,16 @@ def test_search_source(spark):
 
 def test_steps():
     assert analysis.steps(1000, 8, 4, 3) == (96, 9)
+
+
+def test_spread_only_where_cores_would_idle(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = (spread(spark.range(0, 100, 1, n), "id") for n in (1, cores))
+    assert few.rdd.getNumPartitions() == cores and few.count() == 100
+    assert many.rdd.getNumPartitions() == cores and "Exchange" not in many._jdf.queryExecution().toString()
+
+
+def test_rules_see_their_input_once_and_whole(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("x" * 49,), ("x" * 50,), ("Karar: " + "y" * 101,), ("ｘ" * 60,)], "t string")
+    got = [r["c"] for r in rows.coalesce(1).select(text.clean(F.col("t")).alias("c")).collect()]
+    assert got == [None, None, None, "x" * 50, "y" * 101, "x" * 60]
