@@ -1,6 +1,7 @@
 """Properties of operators that queries alone do not show."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -29,6 +30,15 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_long_paths_with_shuffled_ids(spark):
+    rng = random.Random(5)
+    ids = rng.sample(range(1 << 40), 6003)
+    paths = [ids[:3000], ids[3000:6000], ids[6000:]]
+    edges = spark.createDataFrame([e for p in paths for e in zip(p, p[1:])], "a long, b long")
+    got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {i: min(p) for p in paths for i in p}
+
+
 def test_keyed_numbers_ignore_partitions(spark):
     rows = spark.range(100)
     one, many = (sorted(r["u"] for r in rows.repartition(n).select(uniform("x", "id").alias("u")).collect()) for n in (1, 7))
