@@ -1,11 +1,16 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
 Equal vectors of a label collapse into one class first. Centres are fitted on
-a bounded sample; every class goes to its nearest centre and, so that close
-pairs on two sides of a border meet, to the next nearest ones. Within a cell of
-a label the cosines are computed as products of blocks of bounded size. A block
-pair returns how many vectors each class is linked with and a spanning forest
-of its links, never the pairs themselves, so a dense cluster costs rows in
+a bounded sample; every class lives in the cell of its nearest centre and
+visits each other cell that can hold a vector close enough to it. The border
+between two cells is the plane of equal products with their centres, so a
+vector whose angle to that plane exceeds the threshold's angle is linked with
+nothing beyond it: no link is missed, whatever the centres are. Vectors with
+no clusters visit most cells, and the work is then that of all pairs of a
+label. Within a cell of a label the cosines of residents with residents and
+visitors are computed as products of blocks of bounded size. A block pair
+returns how many vectors each class is linked with and a spanning forest of
+its links, never the pairs themselves, so a dense cluster costs rows in
 proportion to its size.
 """
 
@@ -16,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from corvane.llm.arrow import take
 from corvane.operators.components import Forest, connected_components
@@ -38,31 +43,54 @@ def spherical_kmeans(x: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
     return centres
 
 
-def _assign(classes: DataFrame, centres: dict[int, np.ndarray], probes: int) -> DataFrame:
-    """A row for every class and cell it is put in: ``class_id, label, n, vec, cell, probes``; the cell's place in ``probes`` is its rank."""
+def reached(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of every row of ``x``, and which other cells can hold a vector at a cosine of ``threshold``."""
+    products = x @ centres.T
+    home = products.argmax(1)
+    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))  # between unit centres
+    sine = np.sqrt(1 - min(threshold, 1.0) ** 2) if threshold > 0 else np.inf
+    with np.errstate(invalid="ignore"):
+        limit = np.nan_to_num(sine * apart, nan=0.0, posinf=np.inf) + 1e-6  # far above the rounding of any product
+    over = products[np.arange(len(x)), home][:, None] - products <= limit[home]
+    over[np.arange(len(x)), home] = False
+    return home, over
+
+
+def _assign(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """A row for every class and cell it lives in or visits: ``class_id, label, n, vec, cell, lives``.
+
+    Of two cells only one receives visitors from the other, the lower where
+    their sum is even and else the higher, so a pair meets in one cell.
+    """
     held = classes.sparkSession.sparkContext.broadcast(centres)
-    schema = StructType([*classes.schema.fields, StructField("cell", IntegerType()), StructField("cells", ArrayType(IntegerType()))])
+    schema = StructType([*classes.schema.fields, StructField("cell", IntegerType()), StructField("lives", BooleanType())])
 
     def run(batches):
         names = classes_columns
-        for b in batches:
-            sizes = np.asarray(b.column(names.index("vec")).value_lengths())
-            flat = b.column(names.index("vec")).flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            row, cell, cells = [], [], []
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                x = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
-                c = held.value.get(int(dim))
-                r = 1 if c is None else min(probes, len(c))
-                near = np.zeros((len(at), 1), np.int64)
-                if c is not None:
-                    near = np.concatenate([np.argsort(-(x[i : i + 2048] @ c.T), axis=1, kind="stable")[:, :r] for i in range(0, len(x), 2048)])
-                row += np.repeat(at, r).tolist()
-                cell += near.reshape(-1).tolist()
-                cells += [n for n in near.tolist() for _ in range(r)]
-            took = [take(b.column(i), row) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*took, pa.array(cell, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=[*names, "cell", "cells"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                b = whole.slice(first, 1024)
+                sizes = np.asarray(b.column(names.index("vec")).value_lengths())
+                flat = b.column(names.index("vec")).flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes)
+                row, cell, lives = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+                for dim in np.unique(sizes):
+                    at = np.flatnonzero(sizes == dim)
+                    c = held.value.get(int(dim))
+                    home, i, to = np.zeros(len(at), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    if c is not None:
+                        home, over = reached(flat[(ends[at] - dim)[:, None] + np.arange(dim)], c, threshold)
+                        i, to = np.nonzero(over)
+                        there = np.where((home[i] + to) % 2 == 0, to < home[i], to > home[i])
+                        i, to = i[there], to[there]
+                    row += [at, at[i]]
+                    cell += [home, to]
+                    lives += [np.ones(len(at), bool), np.zeros(len(i), bool)]
+                row, cell, lives = np.concatenate(row), np.concatenate(cell), np.concatenate(lives)
+                for s in range(0, len(row), 4096):
+                    part = slice(s, s + 4096)
+                    took = [take(b.column(i), row[part].tolist()) for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([*took, pa.array(cell[part], pa.int32()), pa.array(lives[part])], names=[*names, "cell", "lives"])
 
     classes_columns = classes.columns
     return classes.mapInArrow(run, schema)
@@ -71,16 +99,15 @@ def _assign(classes: DataFrame, centres: dict[int, np.ndarray], probes: int) ->
 LINKED = "kind int, a long, b long, n long"
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", cell_size: int = 256, probes: int = 3, sample: int = 20_000, block: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", cell_size: int = 256, sample: int = 20_000, block: int = 1024) -> DataFrame:
     """``key, n_links, component_id, kept`` for every row; links need equal labels and a cosine of at least ``threshold`` in double precision.
 
     Rows with a null label, a null or zero vector, or null or non-finite
     components link with nothing; neither do vectors of different lengths.
     ``n_links`` counts other rows, equal vectors included. Keys are taken to be
     unique; rows with null keys take part as copies do but have null results.
-    The centres are fitted on about ``sample`` vectors; every vector is placed
-    in the cells of its ``probes`` nearest centres, and pairs that share no
-    cell are missed (see the recall test).
+    The centres are fitted on about ``sample`` vectors; they and the number of
+    cells bear on the time only, every link is found.
     """
     values = F.col(vector)
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
@@ -98,30 +125,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
             x = np.stack(part["vec"].tolist())
             if len(x) > k:
                 centres[int(dim)] = spherical_kmeans(x, k)
-    placed = materialize(_assign(classes, centres, probes).withColumn("dim", F.size("vec")), "cells")
-    sizes = placed.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    # a class is in one block of its cell and meets each block: a row for every pair of blocks it is part of
-    own = F.pmod(F.xxhash64("class_id", F.lit(7)), F.col("blocks")).cast("int")
-    dealt = placed.join(sizes.select("label", "dim", "cell", "blocks"), ["label", "dim", "cell"]).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class_id", "n", "vec", "cell", "cells", "own", "label", "dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    placed = materialize(_assign(classes, centres, threshold).withColumn("dim", F.size("vec")), "cells")
+    sizes = placed.groupBy("label", "dim", "cell").agg(F.count_if("lives").alias("residents"), F.count_if(~F.col("lives")).alias("visitors")).where("residents > 0")
+    sizes = sizes.select("label", "dim", "cell", *[F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("residents", "visitors")])
+    # a class is in one block of its cell; a resident's meets each block and a visitor's those of residents: a row for every pair of blocks it is part of
+    draw = F.xxhash64("class_id", F.lit(7))
+    own = F.when(F.col("lives"), F.pmod(draw, F.col("residents"))).otherwise(F.col("residents") + F.pmod(draw, F.col("visitors"))).cast("int")
+    dealt = placed.join(sizes, ["label", "dim", "cell"]).withColumn("own", own)
+    met = F.col("residents") + F.when(F.col("lives"), F.col("visitors")).otherwise(0)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    dealt = dealt.select("class_id", "n", "vec", "cell", "own", "label", "dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("class_id", ignore_index=True)
         ids, n, own = pdf["class_id"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy()
         x = np.stack(pdf["vec"].tolist())
-        same_block = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        cells, cell = np.stack([np.pad(c, (0, probes - len(c)), constant_values=-1) for c in pdf["cells"].map(np.asarray)]), int(pdf["cell"].iloc[0])
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         forest, links, edges = Forest(len(x)), np.zeros(len(x), np.int64), []
-        for s in range(0, len(x), 512):
-            i, j = np.nonzero(x[s : s + 512] @ x.T >= threshold)
-            i += s
-            ok = (i < j) if same_block else (i < j) & (own[i] != own[j])
-            i, j = i[ok], j[ok]
-            # a pair that shares several cells counts in the lowest
-            both = np.where((cells[i][:, :, None] == cells[j][:, None, :]) & (cells[i] >= 0)[:, :, None], cells[i][:, :, None], MOST_CELLS + 1)
-            first = both.reshape(len(i), -1).min(1) == cell if len(i) else np.zeros(0, bool)
-            i, j = i[first], j[first]
+        for s in range(0, len(left), 512):
+            i, j = np.nonzero(x[left[s : s + 512]] @ x[right].T >= threshold)
+            i, j = left[i + s], right[j]
+            if lo == hi:
+                i, j = i[i < j], j[i < j]
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
             edges += [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if forest.join(a, b)]

@@ -179,6 +179,18 @@ def test_embeddings_recall_and_odd(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell_size", [2, 20, 10_000])
+def test_embeddings_miss_no_link_at_any_number_of_cells(spark, cell_size):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x[2000:] = x[:2000] + 0.35 * rng.normal(size=(2000, 64))  # pairs on both sides of the threshold, in no clusters
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame, cell_size=cell_size).collect()}
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert want.sum() > 1000 and [got[i] for i in range(4000)] == want.tolist()
+
+
 def test_packing(spark, odd, docs):
     for table in (odd, docs):
         rows = packing.pack_documents(table, public_tokenizers.path("byte_bpe_50k.json"), group=40).collect()
