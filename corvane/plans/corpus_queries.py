@@ -370,18 +370,22 @@ _WORDS = "(select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 place fr
 _CLASS = "case when word in ('the', 'and', 'that') then 'single' when word in ('of', 'thing') or contains(word, 'thing') or contains(word, 'ingth') then 'partial' else 'none' end"
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir).where("lang = 'en'")
-    return rows.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("place", "word"))
+_ALL_WORDS = "(select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 place from (select doc_id, regexp_extract_all(lower(text), '\\p{L}+') w from documents))"
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.classify(words(spark, sf_dir), frame(spark, [("the",), ("and",), ("that",), ("thing",), ("ingth",), ("of thing",)], "term string"))
+def words(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Words of English documents, as the SQL of the first six queries has them, or of ``every`` document."""
+    rows = docs(spark, sf_dir) if every else docs(spark, sf_dir).where("lang = 'en'")
+    return rows.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+" if every else "[a-z]+"), F.lit(0))).alias("place", "word"))
+
+
+def classified(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    return analysis.classify(words(spark, sf_dir, every), frame(spark, [("the",), ("and",), ("that",), ("thing",), ("ingth",), ("of thing",)], "term string"))
 
 
 @query("class_share", f"select class, count(*) n, round(100.0::double * count(*) / sum(count(*)) over (), 6) share from (select case when word in ('thing', 'ingth') then 'single' else {_CLASS} end class from {_WORDS}) group by 1")
-def class_share(spark, sf_dir):
-    rows = classified(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+def class_share(spark, sf_dir, every=False):
+    rows = classified(spark, sf_dir, every).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql.window import Window
 
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # over a row per class
@@ -389,38 +393,51 @@ def class_share(spark, sf_dir):
 
 
 @query("consecutive_phrases", f"""select doc_id, phrase, count(*) n, sum("start")::bigint places from (select doc_id, place "start", word || ' ' || lead(word) over w phrase from {_WORDS} window w as (partition by doc_id order by place)) where phrase in ('of the', 'in the', 'the and') group by 1, 2""")
-def consecutive_phrases(spark, sf_dir):
-    found = analysis.consecutive(words(spark, sf_dir), frame(spark, [("of the",), ("in the",), ("the and",)], "phrase string"), "doc_id")
+def consecutive_phrases(spark, sf_dir, every=False):
+    found = analysis.consecutive(words(spark, sf_dir, every), frame(spark, [("of the",), ("in the",), ("the and",)], "phrase string"), "doc_id")
     return found.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("start").cast("long")).alias("places"))
 
 
 @query("top_words", f"select word, count(*) n from {_WORDS} group by word order by count(*) desc, min(doc_id * 1000000 + place) limit 15")
-def top_words(spark, sf_dir):
+def top_words(spark, sf_dir, every=False):
     first = F.min(F.col("doc_id") * 1_000_000 + F.col("place"))
-    return words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).orderBy(F.desc("n"), "first").limit(15).select("word", "n")
+    return words(spark, sf_dir, every).groupBy("word").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).orderBy(F.desc("n"), "first").limit(15).select("word", "n")
 
 
 _RATIO = "(select doc_id, count(*) filter (word in ('the', 'and', 'that', 'of', 'in'))::double / count(*) r, count(*) n from " + _WORDS + " group by 1)"
 
 
-def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).groupBy("doc_id").agg((F.count_if(F.col("word").isin("the", "and", "that", "of", "in")).cast("double") / F.count(F.lit(1))).alias("r"), F.count(F.lit(1)).alias("n"))
+def ratios(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    return words(spark, sf_dir, every).groupBy("doc_id").agg((F.count_if(F.col("word").isin("the", "and", "that", "of", "in")).cast("double") / F.count(F.lit(1))).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 @query("ratio_histogram", f"select (case when r < 1 then floor(r * 5) end)::int bin, count(*) n from {_RATIO} group by 1")
-def ratio_histogram(spark, sf_dir):
-    return ratios(spark, sf_dir).groupBy(analysis.ratio_bin(F.col("r")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def ratio_histogram(spark, sf_dir, every=False):
+    return ratios(spark, sf_dir, every).groupBy(analysis.ratio_bin(F.col("r")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ratio_mean", f"select round(avg(r), 9) mean_ratio, sum(n)::bigint total_words, count(*) samples from {_RATIO}")
-def ratio_mean(spark, sf_dir):
-    return ratios(spark, sf_dir).agg(F.round(F.avg("r"), 9).alias("mean_ratio"), F.sum("n").alias("total_words"), F.count(F.lit(1)).alias("samples"))
+def ratio_mean(spark, sf_dir, every=False):
+    return ratios(spark, sf_dir, every).agg(F.round(F.avg("r"), 9).alias("mean_ratio"), F.sum("n").alias("total_words"), F.count(F.lit(1)).alias("samples"))
 
 
 @query("word_length_stats", f"select round(avg(length(word)), 9) mean, quantile_cont(length(word), 0.5)::double median, max(length(word))::int longest from {_WORDS}")
-def word_length_stats(spark, sf_dir):
+def word_length_stats(spark, sf_dir, every=False):
     n = F.length("word")
-    return words(spark, sf_dir).agg(F.round(F.avg(n), 9).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.max(n).alias("longest"))
+    return words(spark, sf_dir, every).agg(F.round(F.avg(n), 9).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.max(n).alias("longest"))
+
+
+def _over_all(name: str) -> None:
+    """The query of English words again, over every document and with words of any letters."""
+    run = QUERIES[name]
+
+    @query(f"{name}_all", ORACLES[name].replace(_WORDS, _ALL_WORDS))
+    def over_all(spark, sf_dir):
+        return run(spark, sf_dir, every=True)
+
+
+for _name in ("class_share", "consecutive_phrases", "top_words", "ratio_histogram", "ratio_mean", "word_length_stats"):
+    _over_all(_name)
 
 
 @query("phrase_sample_rate", "select role, count(*) samples, count(*) filter (contains(lower(text), 'of the')) with_phrase, round(100.0::double * count(*) filter (contains(lower(text), 'of the')) / count(*), 6) rate from conversations group by 1")

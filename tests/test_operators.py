@@ -9,6 +9,7 @@ from corvane.functions import text
 from corvane.functions.keyed import uniform
 from corvane.operators import analysis, masking, matching, sampling, tokens, windows
 from corvane.operators.components import connected_components
+from corvane.plans import corpus_queries
 from corvane.sources import readers, sinks
 from corvane.sources.search_api import SearchReader, SearchSource
 from corvane.storage import spread
@@ -39,6 +40,18 @@ def test_components_of_long_paths_with_shuffled_ids(spark):
     assert got == {i: min(p) for p in paths for i in p}
 
 
+def test_analysis_over_all_documents_leaves_out_no_language(spark, tmp_path):
+    rows = [(1, "the house", "en"), (2, "Die schöne Straße", "de"), (3, "été", None), (4, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = {n: corpus_queries.QUERIES[n](spark, str(tmp_path)) for n in ("ratio_mean_all", "top_words_all", "word_length_stats_all", "class_share_all", "ratio_histogram_all", "consecutive_phrases_all")}
+    mean = run["ratio_mean_all"].first()
+    assert (mean["samples"], mean["total_words"]) == (3, 6)
+    assert {r["word"] for r in run["top_words_all"].collect()} == {"the", "house", "die", "schöne", "straße", "été"}
+    assert run["word_length_stats_all"].first()["longest"] == 6
+    assert sum(r["n"] for r in run["class_share_all"].collect()) == 6 and sum(r["n"] for r in run["ratio_histogram_all"].collect()) == 3
+    assert run["consecutive_phrases_all"].count() == 0
+
+
 def test_keyed_numbers_ignore_partitions(spark):
     rows = spark.range(100)
     one, many = (sorted(r["u"] for r in rows.repartition(n).select(uniform("x", "id").alias("u")).collect()) for n in (1, 7))
