@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.keyed import uniform
 from corvane.operators.matching import CELL_BITS, cells
+from corvane.operators.windows import add_specials
 
 # Tokens whose words are never masked offline.
 PROTECTED = ("ve", "veya", "ile", "bir", "bu", "şu", "o", "ki", "da", "de", "ama", "fakat", "için", "gibi", "çünkü", ".", ",", ":", ";", "!", "?", "(", ")", "[", "]", "{", "}", "-", "/", "\\", "'", '"', "`", "’", "“", "”", "…", "«", "»")
@@ -104,6 +105,27 @@ def outcome(u: Column, legal: Column | bool = False, mask: float = 0.80, random:
     return plain if legal is False else F.when(legal, F.when(u < 0.90, "mask").when(u < 0.95, "random").otherwise("keep")).otherwise(plain)
 
 
+def random_id(u: Column, vocabulary: int) -> Column:
+    """A uniform id of the vocabulary, special ones included."""
+    return F.floor(u * F.lit(float(vocabulary))).cast("int")
+
+
+def samples(tokens: DataFrame, selected: DataFrame, vocabulary: int, mask_id: int, legal: Column | bool = False, key: str = "doc_id", first: int = 0, last: int = 2, seed: str = "replace") -> DataFrame:
+    """``key, chunk, input_ids, labels`` of every window in ``tokens(key, chunk, pos, word_id, id)``, special tokens around it.
+
+    Each token of a word in ``selected(key, chunk, word_id, ...)`` has its own
+    outcome; its label is the id it had, also where it is kept, and that of all
+    other tokens is -100. ``legal`` is a column of ``selected``. Special tokens
+    come after the selection, so none is masked or labelled.
+    """
+    rows = tokens.join(selected.withColumn("chosen", F.lit(True)), [key, "chunk", "word_id"], "left")
+    out = outcome(uniform(seed, key, "chunk", "pos"), legal)
+    put = F.when(F.col("chosen").isNull() | (out == "keep"), F.col("id")).when(out == "mask", F.lit(mask_id)).otherwise(random_id(uniform("random", key, "chunk", "pos"), vocabulary))
+    token = F.struct("pos", put.cast("int").alias("put"), F.when(F.col("chosen"), F.col("id")).otherwise(-100).cast("int").alias("label"))
+    windows = rows.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(token)).alias("x"))  # a window has at most its width of tokens
+    return windows.select(key, "chunk", add_specials(F.col("x.put"), first, last).alias("input_ids"), add_specials(F.col("x.label"), -100, -100).alias("labels"))
+
+
 def pad(ids: Column, size: Column, filler: int) -> Column:
     """``ids`` filled up to ``size`` on the right."""
     return F.concat(ids, F.array_repeat(F.lit(filler), (size - F.size(ids)).cast("int")))

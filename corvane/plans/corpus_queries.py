@@ -232,6 +232,52 @@ def mask_outcome_online(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", masking.outcome(uniform("replace", "doc_id")).alias("outcome"))
 
 
+# masked samples; the tokeniser has no vocabulary, so a token's id is a keyed hash of it above the special ids 0 to 4
+VOCABULARY, MASK_ID = 32_000, 4
+_OUT = "case when r < 0.80 then 'mask' when r < 0.80::double + 0.10::double then 'random' else 'keep' end"
+_OUT_LEGAL = f"case when legal then case when r < 0.90 then 'mask' when r < 0.95 then 'random' else 'keep' end else {_OUT} end"
+_CHOSEN = f"chosen as (select doc_id, chunk, word_id, legal from ({_online_sql('word_id').replace('select doc_id, chunk, legal, count(*) n, sum(word_id)::bigint words from cut', 'select doc_id, chunk, legal, word_id from cut').removesuffix(' group by all')}))"
+
+
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.floor(uniform("id", "token") * F.lit(float(VOCABULARY - 5))).cast("int") + 5
+    return tokens.tokenize(docs(spark, sf_dir)).select("doc_id", "pos", "word_id", ids.alias("id"))
+
+
+def online_chosen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Windows' starts and the words that :func:`mask_online` selects in them."""
+    starts = windows.windows(counts(spark, sf_dir), windows.online_starts(F.col("n"))).select("doc_id", "chunk", "start")
+    words = masking.words_of_windows(legal_tokens(spark, sf_dir).select("doc_id", "pos", "word_id", "legal"), starts, legal=F.bool_or("legal"))
+    return starts, masking.online_select(words)
+
+
+def _samples_sql(chosen: str, starts: str, out: str) -> str:
+    return f"""with {chosen}, drawn as (select t.doc_id, c.chunk, t.pos - c.start pos, t.word_id, (5 + floor({u("'id'", 't.token')} * {VOCABULARY - 5}::double))::int id from {_TOK} t join {starts} c on t.doc_id = c.doc_id and t.pos >= c.start and t.pos < c.start + 510),
+    outs as (select d.*, c.word_id is not null chosen, legal, {u("'replace'", 'd.doc_id', 'd.chunk', 'd.pos')} r, floor({u("'random'", 'd.doc_id', 'd.chunk', 'd.pos')} * {VOCABULARY}::double)::int other from drawn d left join chosen c on c.doc_id = d.doc_id and c.chunk = d.chunk and c.word_id = d.word_id),
+    put as (select *, {out} outcome from outs)
+    select doc_id, chunk, [0]::int[] || list(case when not chosen or outcome = 'keep' then id when outcome = 'mask' then {MASK_ID} else other end order by pos)::int[] || [2]::int[] input_ids, [-100]::int[] || list(case when chosen then id else -100 end order by pos)::int[] || [-100]::int[] labels from put group by 1, 2"""
+
+
+@query("mask_tokens_online", f"with {_CHOSEN}, outs as (select t.doc_id, t.chunk, t.pos, {u("'replace'", 't.doc_id', 't.chunk', 't.pos')} r from chosen c join {_OTOK} t on c.doc_id = t.doc_id and c.chunk = t.chunk and c.word_id = t.word_id) select doc_id, chunk, {_OUT} outcome, count(*) n, sum(pos)::bigint places from outs group by all")
+def mask_tokens_online(spark, sf_dir):
+    starts, chosen = online_chosen(spark, sf_dir)
+    placed = masking.window_tokens(tokens.tokenize(docs(spark, sf_dir)).select("doc_id", "pos", "word_id"), starts)
+    out = masking.outcome(uniform("replace", "doc_id", "chunk", "pos"))
+    return chosen.join(placed, ["doc_id", "chunk", "word_id"]).select("doc_id", "chunk", out.alias("outcome"), "pos").groupBy("doc_id", "chunk", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("places"))
+
+
+@query("mask_samples_online", _samples_sql(_CHOSEN, _OCH, _OUT))
+def mask_samples_online(spark, sf_dir):
+    starts, chosen = online_chosen(spark, sf_dir)
+    return masking.samples(masking.window_tokens(token_ids(spark, sf_dir), starts), chosen, VOCABULARY, MASK_ID)
+
+
+@query("mask_samples_offline", _samples_sql(f"{_BUDGET}, {_SELECT.replace('chosen as (select doc_id, chunk, word_id, kind from', 'chosen as (select doc_id, chunk, word_id, kind < 2 legal from')}", _CHUNKS, _OUT_LEGAL))
+def mask_samples_offline(spark, sf_dir):
+    chosen = masking.offline_select(offline_words(spark, sf_dir)).withColumn("legal", F.col("kind") < 2)
+    return masking.samples(masking.window_tokens(token_ids(spark, sf_dir), offline_windows(spark, sf_dir)), chosen, VOCABULARY, MASK_ID, F.col("legal"))
+
+
 # ---- sampling
 
 @query("shuffle_order", f"select doc_id, (row_number() over (order by {u("'order'", 'doc_id')}, doc_id) - 1)::bigint \"position\" from documents")

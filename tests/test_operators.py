@@ -52,6 +52,24 @@ def test_analysis_over_all_documents_leaves_out_no_language(spark, tmp_path):
     assert run["consecutive_phrases_all"].count() == 0
 
 
+def test_masked_samples_hold_an_outcome_for_every_selected_token(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = corpus_queries.mask_samples_online(spark, sf).collect()
+    chosen = {(r["doc_id"], r["chunk"]): 0 for r in rows}
+    for r in corpus_queries.mask_tokens_online(spark, sf).collect():
+        chosen[r["doc_id"], r["chunk"]] += r["n"]
+    sizes = {(r["doc_id"], r["chunk"]): r["size"] for r in windows.windows(corpus_queries.counts(spark, sf), windows.online_starts(F.col("n"))).collect()}
+    assert len(rows) == len(sizes) > 100
+    masked = kept = n = 0
+    for r in rows:
+        ids, labels = r["input_ids"], r["labels"]
+        assert len(ids) == len(labels) == sizes[r["doc_id"], r["chunk"]] + 2 and (ids[0], ids[-1], labels[0], labels[-1]) == (0, 2, -100, -100)
+        picked = [(i, x) for i, x in zip(ids, labels, strict=True) if x != -100]
+        assert len(picked) == chosen[r["doc_id"], r["chunk"]]
+        n, masked, kept = n + len(picked), masked + sum(i == 4 for i, _ in picked), kept + sum(i == x for i, x in picked)
+    assert abs(masked / n - 0.8) < 0.02 and abs(kept / n - 0.1) < 0.02
+
+
 def test_keyed_numbers_ignore_partitions(spark):
     rows = spark.range(100)
     one, many = (sorted(r["u"] for r in rows.repartition(n).select(uniform("x", "id").alias("u")).collect()) for n in (1, 7))
