@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path  # for drop()
+    _MADE.append(out)
+    return out
+
+
+_MADE: list[DataFrame] = []
+
+
+def finished(build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table that ``build`` plans, written once; whatever it materialised on the way is deleted."""
+    mark = len(_MADE)
+    out = materialize(build(), label)
+    drop(*_MADE[mark:-1])
+    del _MADE[mark:]
     return out
 
 
