@@ -1,67 +1,65 @@
 """Exact deduplication by 128-bit content hash with byte comparison inside groups.
 
-A pass over the texts makes the normalised bytes (A-Z lower-cased, null as
-empty), their 128-bit hash and their SHA-256. Rows are grouped by hash; the
-bytes are part of the grouping key, so texts that share a hash but differ stay
-apart. Copies collapse before the shuffle, so a text that a third of all rows
-repeat moves once per task. The groups then meet the rows again by hash and
-digest; should two different texts ever agree in both, the job fails rather
-than merge them.
+One pass over the texts gives the 128-bit hash and the SHA-256 of the
+normalised bytes (A-Z lower-cased, null as empty), all in the JVM; only these
+digests are grouped by hash. The bytes of groups of two rows and more then meet
+in a second pass: copies collapse before they move, and should two different
+texts ever agree in both digests, the job fails rather than merge them. Groups
+go back to their rows by digests alone, those of hot texts without a shuffle.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import byte_view
+from corvane.operators.skew import checked_broadcast, join_hot
+from corvane.storage import materialize
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+HASHES = ["content_hash", "digest"]
 
 
-def md5(data: bytes) -> bytes:
-    return hashlib.md5(data, usedforsecurity=False).digest()
+def normalised(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def _hashed(docs: DataFrame, key: str, text: str, hash128: Callable[[bytes], bytes], with_bytes: bool) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            data, offsets, _ = byte_view(b.column(1))
-            norm = data.tobytes().translate(_LOWER)
-            rows = [norm[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)]
-            columns = [b.column(0), pa.array([hash128(x) for x in rows], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in rows], pa.binary())]
-            names = [key, "content_hash", "digest"]
-            if with_bytes:
-                columns, names = [*columns, pa.array(rows, pa.binary())], [*names, "content"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+def md5(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
-    schema = docs.select(key).schema.add("content_hash", "binary").add("digest", "binary")
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(run, schema.add("content", "binary") if with_bytes else schema)
 
-
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min", hash128: Callable[[bytes], bytes] = md5) -> DataFrame:
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min", hash128: Callable[[Column], Column] = md5) -> DataFrame:
     """One row per row of ``docs``: ``key, keep_id, group_size, kept, text_sha256``.
 
     ``keep`` says which id of equal texts stays: ``min`` (the smallest stable
     id) or ``max``. Texts are equal when identical after lower-casing A-Z only;
-    a null text counts as empty. A row whose key is null never stays in place
-    of one with a key; a group of null keys only has a null ``keep_id`` and
-    ``kept`` false. Repeated keys count as rows of their own. Other columns of
-    ``docs`` are not read; an empty table gives an empty one.
+    a null text counts as empty. Exactly one row of each group is kept: a row
+    whose key is null never stays in place of one with a key (a group of null
+    keys only has a null ``keep_id``), and of rows that repeat key and text one
+    stays. Other columns of ``docs`` are not read; an empty table gives an
+    empty one.
     """
-    pick = {"min": F.min, "max": F.max}[keep]
-    by_bytes = _hashed(docs, key, text, hash128, True).groupBy("content_hash", "digest", "content").agg(F.count(F.lit(1)).alias("n"), pick(key).alias("keep_id"))
-    groups = by_bytes.groupBy("content_hash", "digest").agg(F.sum("n").alias("group_size"), pick("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("texts"))
-    clash = F.raise_error(F.lit("two texts share their 128-bit hash and SHA-256"))
-    groups = groups.select("content_hash", "digest", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(clash.cast("long")).alias("group_size"), "keep_id")
-    rows = _hashed(docs, key, text, hash128, False)
-    return rows.join(groups, ["content_hash", "digest"]).select(
-        key, "keep_id", "group_size", F.coalesce(F.col(key) == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
-
-
-__all__ = ["exact_groups", "md5"]
+    t = normalised(F.col(text))
+    rows = docs.select(F.col(key).alias("key"), hash128(t).alias("content_hash"), F.unhex(F.sha2(t, 256)).alias("digest"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
+    if keep == "min":
+        first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    elif keep == "max":
+        first = F.max(F.struct(F.col("key").isNotNull().alias("known"), "key", "row"))
+    else:
+        raise ValueError(f"keep is min or max, not {keep!r}")
+    groups = rows.groupBy(*HASHES).agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
+    groups = materialize(groups.select(*HASHES, "group_size", F.col("first.key").alias("keep_id"), F.col("first.row").alias("keep_row")), "groups")
+    total = groups.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+    several = checked_broadcast(groups.where("group_size > 1").select(*HASHES))
+    texts = docs.select(hash128(t).alias("content_hash"), F.unhex(F.sha2(t, 256)).alias("digest"), t.alias("content")).join(several, HASHES, "left_semi")
+    unlike = texts.groupBy(*HASHES, "content").agg(F.count(F.lit(1)).alias("n")).groupBy(*HASHES).agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    if unlike.limit(1).count():
+        raise ValueError("two texts share their 128-bit hash and SHA-256")
+    found = join_hot(rows, groups, HASHES, "group_size", total)
+    return found.select(F.col("key").alias(key), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+__all__ = ["exact_groups", "md5", "normalised"]

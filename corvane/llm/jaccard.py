@@ -12,14 +12,19 @@ own; a document keeps heavy shingles in its prefix only where it has nothing
 else, that is within a group of near copies. Heavy lists are split by salt.
 
 Only lists of bounded length are expanded into pairs, at first common shingles
-and where sketches leave a link possible. Members of longer lists form
-clusters, which are compared in blocks that return spanning forests of their
-links. Links are counted on whole sets, so the result is exact up to 64-bit
-hash collisions of shingles; equal class ids of unequal sets raise an error.
+and where sketches leave a link possible. Members of a longer list are first
+compared with one member, its hub. What those links connect needs no further
+comparison; the lists that still hold several components form clusters, which
+are cut by set size and compared in blocks that return spanning forests of
+their links. Links are counted on whole sets, so the result is exact up to
+64-bit hash collisions of shingles. Sets go by 64 bits of a 128-bit id; where
+two sets share these, both go by the other half.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from corvane.llm.arrow import batch, byte_view, take
 from corvane.llm.shingles import mix, shingle_set, words_of
 from corvane.operators.components import Forest, connected_components
+from corvane.operators.skew import join_hot
 from corvane.storage import drop, materialize
 
 MOST_ENUMERATED = 13  # sets up to this size have one shingle to spare, so n + 1 subsets
@@ -36,7 +42,7 @@ MOST_HEAVY = 2_000_000  # heavy shingles are broadcast, 8 bytes each
 MOST_PAIRED = 64  # longest list whose pairs are all formed: at most half as many pairs as this for each entry
 BLOCK = 512
 SALTS = 32
-FILTER_BITS = 26
+FILTER_BITS = 26, 29  # smallest and largest size of the filter on candidate sets, as powers of two; a full one lets more through
 _SUBSET = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -55,6 +61,12 @@ def set_id(shingles: np.ndarray) -> tuple[int, int]:
     return _signed(h & (1 << 64) - 1), _signed(h >> 64)
 
 
+def name_of(shingles: np.ndarray, clash: frozenset[int]) -> int:
+    """What a set goes by: the first half of its id, or the second where another set shares the first."""
+    a, b = set_id(shingles)
+    return b if a in clash else a
+
+
 def subsets(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the subsets of a small set that a partner may share: itself, and with one to spare those without one member."""
     n, parts = len(shingles), mix(shingles + _SUBSET)
@@ -132,7 +144,7 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFra
     return docs.select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {ids.dataType.simpleString()}, n_shingles long, sid long, sid2 long, sketch binary, tokens array<long>")
 
 
-def _entries(docs: DataFrame, text: str, k: int, percent: int, heavy: np.ndarray, small: int) -> DataFrame:
+def _entries(docs: DataFrame, text: str, k: int, percent: int, heavy: np.ndarray, small: int, clash: frozenset[int]) -> DataFrame:
     """Entries of inverted lists: each task lists a set once, whatever its copies."""
     held = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -144,7 +156,7 @@ def _entries(docs: DataFrame, text: str, k: int, percent: int, heavy: np.ndarray
             for words in words_of(data, offsets):
                 s = shingle_set(words, k)
                 n = len(s)
-                if not n or (sid := set_id(s)[0]) in seen:
+                if not n or (sid := name_of(s, clash)) in seen:
                     continue
                 seen.add(sid)
                 if n <= small:
@@ -211,11 +223,14 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> C
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= need)
 
 
-def _candidate_sets(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """``sid, shingles`` of every set whose id is in ``wanted``, and few others: a filter of fixed size goes to the scan."""
-    bit = F.pmod("sid", F.lit(1 << FILTER_BITS))
-    rows = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
-    words = np.zeros(1 << FILTER_BITS - 6, np.int64)
+def _candidate_sets(docs: DataFrame, text: str, k: int, wanted: DataFrame, clash: frozenset[int]) -> DataFrame:
+    """``sid, shingles`` of every set whose id is in ``wanted``, and some others: a filter of bounded size goes to the scan."""
+    least, most = FILTER_BITS
+    power = min(most, max(least, (16 * wanted.count()).bit_length()))
+    bit = F.pmod("sid", F.lit(1 << power))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    rows = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    words = np.zeros(1 << power - 6, np.int64)
     words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
@@ -228,15 +243,16 @@ def _candidate_sets(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> Da
                 s = shingle_set(words, k)
                 if not len(s):
                     continue
-                sid = set_id(s)[0]
-                at = sid % (1 << FILTER_BITS)
+                sid = name_of(s, clash)
+                at = sid % (1 << power)
                 if int(bits[at >> 6]) >> (at & 63) & 1 and sid not in seen:
                     seen.add(sid)
                     sids.append(sid)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "shingles"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "sid long, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "sid long, shingles binary")
+    return found.groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
 def _pairs_with(pairs: DataFrame, bodies: DataFrame, column: str, test) -> DataFrame:
@@ -276,19 +292,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _pairs_with(pairs, sets, "shingles", lambda x, y: reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
 
 
-def block_forest(sids: np.ndarray, sets: list[np.ndarray], own: np.ndarray, same_block: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of two blocks, or within one; what is connected already is not compared again."""
+def block_forest(sids: np.ndarray, sets: list[np.ndarray], own: np.ndarray, known: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of two blocks, or within one; what is connected, or of the same ``known`` component, is not compared."""
     order = np.argsort([len(x) for x in sets], kind="stable")
-    sids, sets, own = sids[order], [sets[i] for i in order], own[order]
+    sids, sets, own, known = sids[order], [sets[i] for i in order], own[order], known[order]
     n = np.array([len(x) for x in sets])
     bits = 7
     sketches = np.stack([np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) for x in sets]).astype(np.int32)
-    forest, edges = Forest(len(sets)), []
+    forest, edges, first = Forest(len(sets)), [], {}
+    for i, c in enumerate(known.tolist()):
+        forest.join(first.setdefault(c, i), i)
+    same_block = len(np.unique(own)) == 1
     for i in range(len(sets)):
         end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
         j = np.arange(i + 1, end)
-        if not same_block:
-            j = j[own[j] != own[i]]
+        j = j[(known[j] != known[i]) & (same_block | (own[j] != own[i]))]
         if len(j):
             common = np.minimum(sketches[j], sketches[i]).sum(1)
             for k in j[common * (100 + percent) >= percent * (n[j] + n[i])].tolist():
@@ -299,22 +317,38 @@ def block_forest(sids: np.ndarray, sets: list[np.ndarray], own: np.ndarray, same
 
 
 def _within_clusters(clusters: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Links enough to connect what is linked within ``clusters(id, component)``, by pairs of blocks."""
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    rows = dealt.join(bodies, dealt.id == bodies.sid).select("component", "lo", "hi", "sid", "own", "shingles")
+    """Links enough to connect what is linked within ``clusters(id, component, n, known)``, by pairs of blocks.
+
+    Members are cut into classes of size, the width of which is the ratio that
+    two linked sets may have: blocks meet those of their own class and of the
+    next ones only.
+    """
+    width = max(math.log(100 / percent), 0.01) * 1.000001
+    dealt = clusters.withColumn("size", F.floor(F.log(F.col("n")) / width))
+    blocks = dealt.groupBy("component", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    dealt = dealt.join(blocks, ["component", "size"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # a member of class c meets the classes c - 1, c and c + 1, where they are
+    others = blocks.select("component", F.col("blocks").alias("theirs"), F.explode(F.array(*[F.struct((F.col("size") + d).alias("size"), F.lit(-d).alias("step")) for d in (-1, 0, 1)])).alias("at"))
+    others = others.select("component", "theirs", "at.*")
+    dealt = dealt.join(others, ["component", "size"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)))
+    mine, yours = F.struct("size", F.col("own").alias("block")), F.struct((F.col("size") + F.col("step")).alias("size"), F.col("other").alias("block"))
+    dealt = dealt.select("component", "id", "known", (F.col("size") * (1 << 40) + F.col("own")).alias("own"), F.least(mine, yours).alias("lo"), F.greatest(mine, yours).alias("hi"))
+    rows = dealt.join(bodies, dealt.id == bodies.sid).select("component", "lo", "hi", "sid", "known", "own", "shingles")
 
     def run(t: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
-        same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-        edges = block_forest(t.column("sid").to_numpy(), sets, t.column("own").to_numpy(), same, percent)
+        edges = block_forest(t.column("sid").to_numpy(), sets, t.column("own").to_numpy(), t.column("known").to_numpy(), percent)
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     return rows.groupBy("component", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+def _classes(found: DataFrame, key: str) -> DataFrame:
+    """A row per distinct set: its id, rows, smallest key and sketch, and the ends of the other halves of the ids that share ``sid``."""
+    rows = found.where("n_shingles > 0").groupBy("sid")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("first"), F.min("sid2").alias("lo"), F.max("sid2").alias("hi"), F.first("sketch").alias("sketch"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, heavy_from: int = 64) -> DataFrame:
     """``key, n_shingles, component_id`` of every row of ``docs``.
 
@@ -323,41 +357,64 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     reachable by links. Texts of fewer words have their whole sequence as one
     shingle; null and wordless texts have empty sets and link with nothing.
     Rows with a null key take part but do not name components. Repeated rows
-    are copies of each other; other columns are not read.
+    are copies of each other; other columns are not read; an empty table gives
+    an empty one.
     """
     found = materialize(_sets(docs, key, text, words, percent), "sets")
-    sets = found.select(key, "n_shingles", "sid", "sid2")
-    sketches = found.select("sid", "sketch").groupBy("sid").agg(F.first("sketch").alias("sketch"))
+    classes = materialize(_classes(found, key), "classes")
+    # about 3 at 10 ** 10 distinct sets, since chance alone makes ids agree
+    clash = frozenset(r["sid"] for r in classes.where("lo != hi").select("sid").collect())
+    if clash:
+        found = found.withColumn("sid", F.when(F.col("sid").isin(*clash), F.col("sid2")).otherwise(F.col("sid")))
+        drop(classes)
+        classes = materialize(_classes(found, key), "classes")
+        if classes.where("lo != hi").limit(1).count():
+            raise ValueError("two sets share both halves of their ids with others")
+    sets = found.select(key, "n_shingles", "sid")
+    sketches = classes.select("sid", "sketch")
     lists = found.select("sid", "n_shingles", F.explode("tokens").alias("token"))
-    total = found.agg(F.sum(F.size("tokens")).alias("rows")).first()["rows"] or 0
-    heavy_from = max(heavy_from, -(-total // MOST_HEAVY))
+    total = found.agg(F.sum(F.size("tokens")).alias("rows"), F.count_if(F.col("n_shingles") > 0).alias("full")).first()
+    heavy_from = max(heavy_from, -(-(total["rows"] or 0) // MOST_HEAVY))
     heavy = lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= heavy_from).select("token").toArrow()
     heavy = np.sort(heavy.column("token").to_numpy().astype(np.int64).view(np.uint64))
     cost = lists.where(F.col("n_shingles") <= MOST_ENUMERATED).agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("token").alias("lists")).first()
     small = boundary(percent, cost["rows"], cost["lists"])
 
-    members = materialize(_members(_entries(docs, text, words, percent, heavy, small)), "members")
-    length = members.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("sid").alias("hub"))
+    members = materialize(_members(_entries(docs, text, words, percent, heavy, small, clash)), "members")
+    length = members.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("sid", "n", "pos")).alias("hub"))
     lists = materialize(members.join(length.where("df > 1"), "token"), "lists")
+    drop(members)
     # short lists: every pair that may link at its first common shingle
     x, y = (lists.where(F.col("df") <= MOST_PAIRED).select("token", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "n", "pos")]) for i in (1, 2))
     pairs = x.join(y, "token").where((F.col("sid1") < F.col("sid2")) & _may_link(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent))
-    maybe = materialize(_possible(pairs.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).distinct(), sketches, percent), "pairs")
-    # long lists: their members form clusters, which are compared by blocks
-    clusters = connected_components(lists.where((F.col("df") > MOST_PAIRED) & (F.col("sid") != F.col("hub"))).select(F.col("sid").alias("a"), F.col("hub").alias("b")))
-    wanted = maybe.select(F.explode(F.array("a", "b")).alias("sid")).union(clusters.select("id")).distinct()
-    bodies = materialize(_candidate_sets(docs, text, words, wanted), "bodies")
-    links = materialize(_linked(maybe, bodies, percent).union(_within_clusters(clusters, bodies, percent)), "links")
-    groups = connected_components(links)
-    drop(members, lists, maybe, clusters, bodies, links)
+    # long lists: every member with the hub
+    long = lists.where(F.col("df") > MOST_PAIRED)
+    star = long.where((F.col("sid") != F.col("hub.sid")) & _may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
+    pairs = pairs.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).union(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))).distinct()
+    maybe = materialize(_possible(pairs, sketches, percent), "pairs")
+    wanted = materialize(maybe.select(F.explode(F.array("a", "b")).alias("sid")).union(long.select("sid")).distinct(), "wanted")
+    bodies = materialize(_candidate_sets(docs, text, words, wanted, clash), "bodies")
+    linked = materialize(_linked(maybe, bodies, percent), "links")
+    groups = connected_components(linked)
+    drop(maybe, wanted)
+    # long lists that still hold several components form clusters
+    placed = long.select("token", "sid", "n", "hub").join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("known", F.coalesce("component", "sid"))
+    mixed = placed.groupBy("token").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo != hi").select("token")
+    placed = materialize(placed.join(mixed, "token", "left_semi").select("sid", "n", "known", F.col("hub.sid").alias("hub")), "mixed")
+    clusters = connected_components(placed.where("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")))
+    clusters = clusters.join(placed.select(F.col("sid").alias("id"), "n", "known").distinct(), "id")
+    links = materialize(_within_clusters(clusters, bodies, percent), "links")
+    if links.limit(1).count():
+        drop(groups)
+        groups = connected_components(linked.union(links))
+    drop(lists, placed, bodies, linked, links)
 
     # classes of equal sets, then groups of classes, carry the smallest key
-    same = F.raise_error(F.lit("two different sets share their 64-bit id")).cast("long")
-    classes = sets.where("n_shingles > 0").groupBy("sid").agg(F.min(key).alias("first"), F.min("sid2").alias("lo"), F.max("sid2").alias("hi"))
-    classes = classes.select(F.when(F.col("lo") == F.col("hi"), F.col("sid")).otherwise(same).alias("sid"), "first")
-    placed = classes.join(groups, classes.sid == groups.id, "left").select("sid", "first", F.coalesce("component", "sid").alias("grp"))
-    names = placed.groupBy("grp").agg(F.min("first").alias("component_id"))
-    placed = placed.join(names, "grp").select("sid", "component_id")
-    rows = sets.select(key, "n_shingles", "sid").join(placed, "sid", "left")
-    empty = F.col("n_shingles") == 0
-    return rows.select(key, "n_shingles", F.when(empty, F.col(key)).otherwise(F.coalesce("component_id", key)).alias("component_id"))
+    grouped = classes.join(groups, classes.sid == groups.id, "left").select("sid", "rows", "first", F.coalesce("component", "sid").alias("grp"))
+    grouped = materialize(grouped, "grouped")
+    names = materialize(grouped.groupBy("grp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets")), "names")
+    named = materialize(join_hot(grouped, names, ["grp"], "sets", classes.count()).select("sid", "rows", "component_id"), "named")
+    drop(classes, grouped, names, groups)
+    full = join_hot(sets.where("n_shingles > 0"), named, ["sid"], "rows", total["full"])
+    full = full.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    return full.unionByName(sets.where("n_shingles = 0").select(key, "n_shingles", F.col(key).alias("component_id")))

@@ -20,6 +20,7 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,24 +33,54 @@ from corvane.storage import drop, materialize
 GROUP = 40_000  # pieces a group, so that one packs in a few seconds and some megabytes
 
 
-def fast_encoding(spec: dict) -> tuple[tiktoken.Encoding, dict[str, int]]:
-    """The byte-level BPE of a tokenizers file as a tiktoken encoding, and its added tokens. Ranks are ids, which holds where ids follow merge order."""
-    model = spec["model"]
-    pre = spec["pre_tokenizer"]
-    if model["type"] != "BPE" or model.get("end_of_word_suffix") or spec.get("normalizer") or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
-        raise ValueError("only plain byte-level BPE files are supported")
-    byte_of = {c: b for b, c in enumerate(byte_letters())}
-    added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
-    vocab = model["vocab"]
-    made = [vocab[a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
-    if any(x >= y for x, y in zip(made, made[1:], strict=False)):
-        raise ValueError("ids must follow merge order")
-    ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items() if k not in added}
-    return tiktoken.Encoding("own", pat_str=Tokenizer.BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=added), added
+LONG_RUN = regex.compile(r"\p{White_Space}{4096,}")
+
+
+class Encoder:
+    """The byte-level BPE of a tokenizers file, by tiktoken. Ranks are ids, which holds where ids follow merge order.
+
+    The split's look-ahead runs out of stack on very long white space, so such
+    a run is a part of its own: all of it but the last character, which begins
+    what follows, or the whole run where the text ends with it.
+    """
+
+    def __init__(self, spec: dict):
+        model, pre = spec["model"], spec["pre_tokenizer"]
+        if model["type"] != "BPE" or model.get("end_of_word_suffix") or spec.get("normalizer") or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
+            raise ValueError("only plain byte-level BPE files are supported")
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
+        self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        vocab = model["vocab"]
+        made = [vocab[a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            raise ValueError("ids must follow merge order")
+        ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items() if k not in self.added}
+        self.words = tiktoken.Encoding("words", pat_str=Tokenizer.BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> list[int]:
+        if len(text) < 4096:
+            return self.words.encode_ordinary(text)
+        out, at = [], 0
+        for m in LONG_RUN.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.words.encode_ordinary(text[at : m.start()])
+            out += self.whole.encode_ordinary(text[m.start() : end])
+            at = end
+        return out + self.words.encode_ordinary(text[at:])
+
+    def encode(self, text: str) -> list[int]:
+        if self.added_split is None or not any(a in text for a in self.added):
+            return self._plain(text)
+        out = []
+        for i, part in enumerate(self.added_split.split(text)):
+            out += [self.added[part]] if i % 2 else self._plain(part)
+        return out
 
 
 PIECES = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("uid", pa.int64())])
-_ENCODINGS: dict[str, tuple] = {}
+_ENCODINGS: dict[str, Encoder] = {}
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -71,14 +102,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
         text_of = held.value
         k = hashlib.md5(text_of.encode(), usedforsecurity=False).hexdigest()
         if k not in _ENCODINGS:
-            _ENCODINGS[k] = fast_encoding(json.loads(text_of))
-        encoding, added = _ENCODINGS[k]
+            _ENCODINGS[k] = Encoder(json.loads(text_of))
+        encoder = _ENCODINGS[k]
         uid = TaskContext.get().partitionId() << 36
         for b in batches:
             row, out = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 t = (t or "").encode("utf-8", "replace").decode()
-                ids = encoding.encode(t, allowed_special="all") if any(a in t for a in added) else encoding.encode_ordinary(t)
+                ids = encoder.encode(t)
                 ids.append(end_id)
                 data = memoryview(np.array(ids, "<u4")).cast("B")
                 for p, (s, n) in enumerate(cut(len(ids), capacity)):
@@ -157,36 +188,43 @@ def pack_groups(items: DataFrame, groups: int, salt: int, capacity: int) -> Data
     return dealt.groupBy("grp").applyInPandas(run, PACKED)
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: int = 4) -> DataFrame:
-    """``uid, sequence_id, offset`` of every piece in ``pieces(uid, length)``; lengths from 1 to ``capacity``.
+def pack(pieces: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: int = 8, patience: int = 2) -> DataFrame:
+    """``uid, sequence_id, offset, group_gap`` of every piece in ``pieces(uid, length)``; lengths from 1 to ``capacity``.
 
     Every piece gets a place; an empty table gives an empty one. Sequence ids
-    are unique and have no other meaning.
+    are unique and have no other meaning. ``group_gap`` says by how many
+    sequences the piece's group exceeds its lower bound; 0 is a certificate.
+    An exchange that saves nothing is taken back and tried with another deal;
+    packing ends when all groups together meet the bound of their pool, after
+    ``patience`` deals in a row that saved nothing, or after ``rounds``.
     """
-    whole = pieces.where(F.col("length") == capacity).select("uid", (2 * F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = pieces.where(F.col("length") == capacity).select("uid", (2 * F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("group_gap"))
     items = pieces.where(F.col("length") < capacity).select("uid", "length")
     n = items.count()
-    done, before = [], None
-    for salt in range(rounds):
-        if not n:
-            break
-        packed = materialize(pack_groups(items, max(1, -(-n // (group << salt))), salt, capacity), "packed")
+    done: list[DataFrame] = []
+    kept, kept_made, failed = None, 0, 0
+    for salt in range(rounds if n else 0):
+        groups = max(1, -(-n // (group << min(salt, 4))))
+        packed = materialize(pack_groups(items, groups, salt, capacity), "packed")
         made = packed.where("offset = 0").count()
-        if before is not None and made >= before.where("offset = 0").count():  # an exchange that made no fewer sequences is taken back
+        if kept is not None and made >= kept_made:
             drop(packed)
-            done.append(before)
-            break
-        gap = F.when(F.col("bins") > F.col("bound"), capacity // 128).otherwise(capacity // 16)
+            failed += 1
+            if failed == patience or groups == 1:  # a single group is packed alike by every deal
+                break
+            continue
+        failed, gap = 0, F.when(F.col("bins") > F.col("bound"), capacity // 128).otherwise(capacity // 16)
         poor = F.col("fill") < capacity - gap
-        if salt == rounds - 1 or made <= bound(packed, capacity) or not (left := packed.where(poor).count()):
-            done.append(_ids(packed, salt))
+        if made <= bound(packed, capacity) or not (left := packed.where(poor).count()):
+            kept = _ids(packed, salt)
             break
         done.append(_ids(packed.where(~poor), salt))
-        before = _ids(packed.where(poor), salt)
+        kept = _ids(packed.where(poor), salt)
+        kept_made = kept.where("offset = 0").count()
         items, n = packed.where(poor).select("uid", "length"), left
     out = whole
-    for part in done:
-        out = out.unionByName(part.select("uid", "sequence_id", "offset"))
+    for part in done + ([kept] if kept is not None else []):
+        out = out.unionByName(part.select("uid", "sequence_id", "offset", (F.col("bins") - F.col("bound")).alias("group_gap")))
     return out
 
 
@@ -196,14 +234,15 @@ def _ids(packed: DataFrame, salt: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
-    """One row per piece: ``key, piece, start, length, ids_crc32, sequence_id, offset``.
+    """One row per piece: ``key, piece, start, length, ids_crc32, sequence_id, offset, group_gap``.
 
     A null text counts as empty and gives a piece of the end id alone; repeated
-    rows and null keys have pieces of their own; an empty table gives no rows.
+    rows and null keys have pieces of their own; other columns are not read;
+    an empty table gives no rows.
     """
     pieces = materialize(token_pieces(docs, path, capacity, end_id, key, text), "pieces")
     places = pack(pieces, capacity, group)
-    return pieces.join(places, "uid").select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pieces.join(places, "uid").select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group_gap")
 
 
 def bound(pieces: DataFrame, capacity: int = 1024) -> int:

@@ -1,6 +1,8 @@
 """The ten operators and the pipeline: known cases, brute-force versions, odd inputs."""
 
+import hashlib
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import bpe_automaton, cotraining, embeddings, exact_dedup, hosts, jaccard, langid, packing, pii, queries, warc
+from corvane.operators import skew
 from corvane.storage import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -74,14 +77,27 @@ def test_hosts(spark):
 
 
 def test_exact_dedup_collisions_and_odd(odd):
-    for hash128 in (exact_dedup.md5, lambda data: b"same"):
-        got = exact_dedup.exact_groups(odd, keep="min", hash128=hash128).collect()
-        same = [r for r in got if r["group_size"] == 4]
-        assert len(got) == len(ODD) and len(same) == 4 and {r["keep_id"] for r in same} == {4} and sum(r["kept"] for r in same) == 1
-        assert {r["keep_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
+    for hash128 in (exact_dedup.md5, lambda text: F.lit(b"same")):
+        for keep, best, short in (("min", 4, 1), ("max", 5, 2)):  # rows that repeat id and text: one stays
+            got = exact_dedup.exact_groups(odd, keep=keep, hash128=hash128).collect()
+            same = [r for r in got if r["group_size"] == 4]
+            assert len(got) == len(ODD) and len(same) == 4 and {r["keep_id"] for r in same} == {best} and [r["doc_id"] for r in same if r["kept"]] == [best]
+            assert {r["keep_id"] for r in got if r["doc_id"] in (1, 2)} == {short}
+    nobody = exact_dedup.exact_groups(odd.where("doc_id is null").unionAll(odd.where("doc_id is null"))).collect()
+    assert [r["keep_id"] for r in nobody] == [None, None] and sum(r["kept"] for r in nobody) == 1
     assert exact_dedup.exact_groups(odd.limit(0)).count() == 0
 
 
+def test_exact_dedup_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST_HOT", 4)
+    rows = [(i, "Hot" if i % 3 == 0 else f"t{i % 50}") for i in range(600)]
+    got = {r["doc_id"]: r for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), keep="max").collect()}
+    same: dict = {}
+    for i, t in rows:
+        same.setdefault(t, []).append(i)
+    assert all(got[i]["keep_id"] == max(same[t]) and got[i]["group_size"] == len(same[t]) and got[i]["kept"] == (i == max(same[t])) and got[i]["text_sha256"] == hashlib.sha256(t.lower().encode()).hexdigest() for i, t in rows)
+
+
 def test_bpe_equals_the_library(docs, odd):
     from tokenizers import Tokenizer
 
@@ -153,6 +169,16 @@ def test_jaccard_equals_brute_force(spark, docs, words, percent, heavy, paired,
     assert {r["doc_id"]: r["component_id"] for r in got} == component
 
 
+def test_jaccard_sets_that_share_half_an_id(spark, docs, monkeypatch):
+    whole = jaccard.set_id
+    monkeypatch.setattr(jaccard, "set_id", lambda s: (whole(s)[0] % 5, whole(s)[1]))
+    texts = {r["doc_id"]: r["text"] for r in docs.limit(60).collect()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sizes, component = brute_components(texts, 4, 85)
+    got = jaccard.near_duplicates(frame, words=4, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (sizes[i], component[i]) for i in texts}
+
+
 def test_jaccard_odd(odd):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] == 5} == {4}
@@ -206,6 +232,23 @@ def test_packing(spark, odd, docs):
     assert packing.pack_documents(odd.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_ids_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(path)
+    long = ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x" + "\t \u3000" * 2000 + "é<|endoftext|>" + " " * 5000, "q" * 100_000, "!" * 20_000]
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + long + [t or "" for _, t in ODD]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, group=40).collect()
+    got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows}
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array([*theirs.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        for p, (s, n) in enumerate(packing.cut(len(ids), 1024)):
+            want[i, p] = (s, n, zlib.crc32(ids[s : s + n].tobytes()))
+    assert got == want and len(rows) == len(want)
+
+
 def test_lower_bound_never_exceeds_a_packing():
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -263,6 +306,24 @@ def test_pipeline_against_brute_force(spark, docs):
 
 
 def test_pipeline_odd(spark, odd):
+    """Rows that repeat ids, texts or both; null, empty and very long texts; clashing columns."""
+    rows = {name: stage(spark, odd, SF) for name, stage in corpus_pipeline.STAGES}
+    same = {(4, "Same Text here now"), (5, "same text HERE now"), (None, "same text here now")}
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    once = [(1, None), (3, "  \n "), (4, "Same Text here now"), ODD[7], ODD[8]]
+    assert texts(rows["exact"]) == sorted(once, key=str)
+    assert texts(rows["near"]) == sorted([x for x in ODD if x not in same] + [(4, "Same Text here now")], key=str)
+    assert texts(rows["pii"]) == sorted(ODD, key=str) and all(df.columns == corpus_pipeline.COLUMNS for name, df in rows.items() if name != "pack")
+    assert {r["doc_id"] for r in rows["quality"].collect()} <= {i for i, _ in ODD}
+    assert rows["pack"].where("piece = 0").count() == len(ODD)
     for _, stage in corpus_pipeline.STAGES:
-        stage(spark, odd, SF).count()
-        stage(spark, odd.limit(0), SF).count()
+        assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_pipeline_ids_that_repeat(spark):
+    rows = [(1, "same"), (2, "same"), (2, "other unique text"), (3, "dup"), (3, "dup"), (3, "a b c d e f g h"), (9, "a b c d e f g h"), (9, "alone in the world of words")]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
+    want = sorted([(1, "same"), (2, "other unique text"), (3, "dup"), (3, "a b c d e f g h"), (9, "alone in the world of words")])
+    assert kept(corpus_pipeline.exact(spark, docs, SF)) == want
+    assert kept(corpus_pipeline.near(spark, docs, SF)) == want
