@@ -2,48 +2,77 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its
 predecessor kept; all but the last return the columns of ``documents``. Rows
-without a doc_id are never dropped as copies.
+are told apart by their place, not by doc_id, so a doc_id that repeats neither
+loses a text nor keeps a copy. Empty tables give empty ones; columns that
+``documents`` does not have are dropped.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import cotraining, exact_dedup, jaccard, packing, pii
-from corvane.storage import materialize
+from corvane.operators.skew import checked_broadcast
+from corvane.storage import drop, finished, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier scores at least one half."""
+    """Documents that the co-trained classifier scores at least one half.
+
+    Null and empty texts are scored like others by what features they have;
+    repeated rows fare alike; without labels of both kinds all stay.
+    """
     docs = docs.select(*COLUMNS)
     model = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return cotraining.score(docs, model, keep_all=True).where("score >= 0.5").select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written once, each row with a ``_key`` of its own that orders by doc_id, rows without one last."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("row"))
+    return materialize(docs.select(*COLUMNS).withColumn("_key", row), "numbered")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``_key`` is not in ``gone``; texts move only where that is too large to broadcast."""
+    rows = checked_broadcast(materialize(gone.select(F.col("_key.row").alias("_row")), "gone"))
+    return docs.join(rows, F.col("_key.row") == F.col("_row"), "left_anti").select(*COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for A-Z case, the one with the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    gone = exact_dedup.exact_groups(docs, keep="min").where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of rows whose texts are equal but for A-Z case, the one with the smallest doc_id.
+
+    One row of each group stays, also where doc_ids repeat; a row without a
+    doc_id stays only where no other has its text. Null and empty texts are
+    equal to each other.
+    """
+    rows = _numbered(docs)
+    return _without(rows, exact_dedup.exact_groups(rows, key="_key", keep="min").where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of Jaccard 0.8 on five-word shingles connect, the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    gone = jaccard.near_duplicates(docs, words=5, percent=80).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of rows that links of Jaccard 0.8 on five-word shingles connect, the one with the smallest doc_id.
+
+    Rows are told apart as in :func:`exact`. Null and wordless texts link with
+    nothing, so all of them stay.
+    """
+    rows = _numbered(docs)
+    return _without(rows, jaccard.near_duplicates(rows, key="_key", words=5, percent=80).where("_key != component_id"))
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by the name of its kind; n_chars follows the text."""
+    """Personal data replaced by the name of its kind; n_chars follows the text. Null texts stay null; every row stays."""
     return pii.mask_documents(docs.select(*COLUMNS), length="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens; a null or empty text is the end id alone, repeated rows have pieces of their own."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
@@ -56,8 +85,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    name, stage = STAGES[-1]
+        before, docs = docs, finished(functools.partial(stage, spark, docs, sf_dir), name)
+        drop(before)
+    _, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
 
 
