@@ -3,16 +3,17 @@
 Each language has a variable-order byte context tree: counts of the byte that
 follows every context of 0 to ``order`` bytes. A byte's probability comes from
 the longest context that was seen; a byte new to it pays that context's escape
-probability (method C: distinct followers over total plus distinct followers)
-and falls back to the next shorter one. The statistics are frozen after the
-fit, so each language's code length of a text is a sum of exact fixed-point
-costs, whatever order or partitioning the texts come in.
-
-The trees are compiled to one dense table (context and byte -> cost for every
-language), so that whole batches are scored by table lookups. Bytes are folded
-to a small alphabet first: A-Z to a-z, digits, spaces and punctuation to one
-code each, and the most frequent non-ASCII bytes of the sample to codes of
-their own, the others to one.
+probability (method C, without exclusions: distinct followers over total plus
+distinct followers) and falls back to the next shorter one, from the empty
+context to 1 in 256. Contexts that were never seen cost nothing to leave.
+
+The statistics are frozen after the fit. Every byte is its own symbol, and only
+contexts that were seen are stored, so the order is the same for any number of
+languages. For each depth a hash table maps the byte strings that any language
+has seen to their costs in every language; a byte is looked up at the full
+depth first, and the few that no language has seen there go on to the next.
+Costs are integers of 1/FRACTION bit, so a text's code length is the same sum
+whatever order or partitioning the texts come in.
 """
 
 from __future__ import annotations
@@ -29,135 +30,179 @@ from pyspark.sql import functions as F
 
 from corvane.llm.arrow import batch, byte_view
 
-ALPHABET = 48
-OTHER = 30
-FRACTION = 256  # costs are in 1/256 bit
+BASE = 257  # a byte is its value plus one, 0 stands before a text's start
+FRACTION = 1 << 24
 SEGMENT = 1 << 20
-TABLE_BYTES = 64 << 20
 _LETTER = regex.compile(r"\p{L}")
+_EMPTY = np.uint64(2**64 - 1)
+_ASCII_LETTER = np.zeros(256, np.uint8)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = 1
 
 
-def base_fold() -> np.ndarray:
-    """Byte -> code; 0 is the text's start, bytes from 128 are ``OTHER`` until a sample names the frequent ones."""
-    fold = np.full(256, 29, np.uint8)
-    for i in range(26):
-        fold[97 + i] = fold[65 + i] = i + 1
-    fold[[9, 10, 11, 12, 13, 32]] = 27
-    fold[48:58] = 28
-    fold[128:] = OTHER
-    return fold
-
-
-def windows(codes: np.ndarray, order: int) -> np.ndarray:
-    """The number formed by each code and the ``order`` codes before it; codes start with ``order`` codes of context."""
-    out = codes[order:].astype(np.int32)
+def grams(symbols: np.ndarray, order: int) -> np.ndarray:
+    """For every symbol from the ``order``-th on the number that it, as the lowest digit, forms with the ``order`` before it."""
+    out = symbols[order:].astype(np.uint64)
     for k in range(1, order + 1):
-        out += codes[order - k : len(codes) - k].astype(np.int32) * np.int32(ALPHABET**k)
+        out += symbols[order - k : len(symbols) - k].astype(np.uint64) * np.uint64(BASE**k)
     return out
 
 
-def padded(data: np.ndarray, fold: np.ndarray, order: int) -> np.ndarray:
-    codes = np.zeros(len(data) + order, np.uint8)
-    codes[order:] = fold[data]
-    return codes
+def padded(data: np.ndarray, order: int) -> np.ndarray:
+    symbols = np.zeros(len(data) + order, np.uint16)
+    symbols[order:] = data
+    symbols[order:] += 1
+    return symbols
+
+
+class Slots:
+    """Open addressing over distinct keys: a key's number, or -1."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.size = 1 << int(np.uint64(64) - self.shift)
+        self.keys = np.full(self.size, _EMPTY)
+        self.number = np.full(self.size, -1, np.int32)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.keys[at] == _EMPTY
+            self.keys[at[free]] = keys[left[free]]
+            here = self.keys[at] == keys[left]
+            self.number[at[here]] = left[here]
+            left, at = left[~here], (at[~here] + 1) & (self.size - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        out, held = self.number[at], self.keys[at]
+        left = np.flatnonzero((held != keys) & (held != _EMPTY))
+        out[held != keys] = -1
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (self.size - 1)
+            held = self.keys[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.number[at[hit]]
+            more = ~hit & (held != _EMPTY)
+            left, at = left[more], at[more]
+        return out
+
+
+@dataclass
+class Depth:
+    """What contexts of one length say: costs of the byte strings seen there and of leaving a context, a row per language."""
+
+    seen: Slots
+    costs: np.ndarray
+    contexts: Slots
+    escapes: np.ndarray
 
 
 @dataclass(frozen=True)
 class Model:
-    """Frozen statistics: per language the counts of every window of ``order + 1`` codes."""
+    """Frozen statistics: per language the counts of every string of ``order + 1`` symbols."""
 
     langs: tuple[str, ...]
     order: int
-    fold: np.ndarray
     grams: tuple[np.ndarray, ...]
     counts: tuple[np.ndarray, ...]
     key: str
 
-    def table(self) -> np.ndarray:
-        """Cost of the last code of every window, a row per window and a column per language."""
-        if self.key not in _TABLES:
-            _TABLES.clear()
-            out = np.empty((ALPHABET ** (self.order + 1), len(self.langs)), np.uint16)
-            for j in range(len(self.langs)):
-                full = np.zeros(ALPHABET ** (self.order + 1), np.float32)
-                full[self.grams[j]] = self.counts[j]
-                lower = np.full((1, ALPHABET), 1 / ALPHABET, np.float32)
-                for k in range(self.order + 1):
-                    c = full.reshape(-1, ALPHABET**k, ALPHABET).sum(0)
-                    total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True).astype(np.float32)
-                    if k:
-                        lower = np.tile(lower, (ALPHABET, 1))
-                    escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), np.float32(1))
-                    lower = np.where(c > 0, c / np.maximum(total + kinds, 1), escape * lower)
-                out[:, j] = np.minimum(np.rint(-np.log2(lower.reshape(-1)) * FRACTION), 65535)
-            _TABLES[self.key] = out
-        return _TABLES[self.key]
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 256, order: int = 3) -> Model:
-    """Learn from a bounded sample: about ``per_language`` rows of each language, chosen by a hash of ``key``.
+    def depths(self) -> list[Depth]:
+        if self.key not in _COMPILED:
+            _COMPILED.clear()
+            _COMPILED[self.key] = self._compile()
+        return _COMPILED[self.key]
+
+    def _compile(self) -> list[Depth]:
+        out: list[Depth] = []
+        shorter, lower = np.zeros(1, np.uint64), np.full((len(self.langs), 1), 8 * FRACTION, np.int64)
+        for k in range(self.order + 1):
+            parts = [np.unique(g % np.uint64(BASE ** (k + 1)), return_inverse=True) for g in self.grams]
+            keys = np.unique(np.concatenate([p for p, _ in parts]))
+            contexts, of = np.unique(keys // np.uint64(BASE), return_inverse=True)
+            down = np.searchsorted(shorter, keys % np.uint64(BASE**k)) if k else np.zeros(len(keys), np.int64)
+            costs, escapes = np.empty((len(self.langs), len(keys)), np.int64), np.empty((len(self.langs), len(contexts)), np.int64)
+            for j, (own, inverse) in enumerate(parts):
+                n = np.zeros(len(keys))
+                n[np.searchsorted(keys, own)] = np.bincount(inverse, weights=self.counts[j], minlength=len(own))
+                total, kinds = np.bincount(of, weights=n, minlength=len(contexts)), np.bincount(of, weights=n > 0, minlength=len(contexts))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escapes[j] = np.where(total > 0, np.rint(-np.log2(kinds / (total + kinds)) * FRACTION), 0)
+                    costs[j] = np.where(n > 0, np.rint(-np.log2(n / (total + kinds)[of]) * FRACTION), (escapes[j][of] + lower[j][down]))
+            out.append(Depth(Slots(keys), costs, Slots(contexts), escapes))
+            shorter, lower = keys, costs
+        return out
+
+
+_COMPILED: dict[str, list[Depth]] = {}
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 256, order: int = 4, languages: int = 1000) -> Model:
+    """Learn from a bounded sample: about ``per_language`` rows of each of the ``languages`` commonest languages, chosen by a hash of ``key``.
 
     Rows with a null text, language or key are not used. Whole texts are
-    counted. The number of languages is taken to be small; the order falls
-    where ``ALPHABET ** (order + 1)`` costs per language would pass
-    ``TABLE_BYTES``. Without rows the model knows no language.
+    counted. Without rows the model knows no language.
     """
-    spark = labelled.sparkSession
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where("lang is not null and text is not null and key is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = {r["lang"]: r["n"] for r in sizes.collect()}
     langs = tuple(sorted(sizes))
-    while order > 1 and 2 * len(langs) * ALPHABET ** (order + 1) > TABLE_BYTES:
-        order -= 1
     if not langs:
-        return Model((), order, base_fold(), (), (), "none")
+        return Model((), order, (), (), "none")
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))])
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 30)))
-
-    plain = base_fold()
-
-    def high(batches):
-        for b in batches:
-            data, offsets, _ = byte_view(b.column(0))
-            n = np.bincount(data[offsets[0] : offsets[-1]], minlength=256)
-            yield batch(HIGH, np.flatnonzero(n), n[np.flatnonzero(n)])
-
-    bytes_seen = sample.select("text").mapInArrow(high, "byte long, n long").where("byte >= 128").groupBy("byte").agg(F.sum("n").alias("n"))
-    fold = plain.copy()
-    for i, r in enumerate(sorted(bytes_seen.collect(), key=lambda r: (-r["n"], r["byte"]))[: ALPHABET - OTHER - 1]):
-        fold[r["byte"]] = OTHER + 1 + i
+    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * F.lit(float(1 << 30)))
 
     def count(batches):
         for b in batches:
             data, offsets, _ = byte_view(b.column(1))
             names = b.column(0).to_pylist()
             for name in sorted(set(names)):
-                got = [windows(padded(data[offsets[i] : offsets[i + 1]], fold, order), order) for i, x in enumerate(names) if x == name]
-                grams, n = np.unique(np.concatenate(got), return_counts=True)
-                yield batch(GRAMS, [name] * len(grams), grams, n)
+                got = [grams(padded(data[offsets[i] : offsets[i + 1]], order), order) for i, x in enumerate(names) if x == name]
+                found, n = np.unique(np.concatenate(got), return_counts=True)
+                yield batch(GRAMS, [name] * len(found), found.view(np.int64), n)
 
     found = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names, grams, n = found.column("lang").to_pylist(), found.column("gram").to_numpy(), found.column("n").to_numpy()
-    names = np.array(names, dtype=object)
+    names = np.array(found.column("lang").to_pylist(), dtype=object)
+    strings, n = found.column("gram").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
     at = [np.flatnonzero(names == k) for k in langs]
-    at = [i[np.argsort(grams[i])] for i in at]
-    del spark
-    parts = tuple(grams[i] for i in at), tuple(n[i].astype(np.float32) for i in at)
-    return Model(langs, order, fold, *parts, hashlib.md5(pickle.dumps((langs, order, fold, parts))).hexdigest())
+    at = [i[np.argsort(strings[i])] for i in at]
+    parts = tuple(strings[i] for i in at), tuple(n[i].astype(np.float64) for i in at)
+    return Model(langs, order, *parts, hashlib.md5(pickle.dumps((langs, order, parts))).hexdigest())
 
 
-HIGH = pa.schema([("byte", pa.int64()), ("n", pa.int64())])
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 SCORED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())])
 
 
+def _costs(model: Model, strings: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Summed costs of the strings from each start to the next, a column per language."""
+    put, left = [], np.arange(len(strings))
+    for k in range(model.order, -1, -1):
+        depth, keys = model.depths()[k], strings[left] % np.uint64(BASE ** (k + 1))
+        number = depth.seen.find(keys)
+        hit = number >= 0
+        put.append((left[hit], depth.costs, number[hit]))
+        left, keys = left[~hit], keys[~hit]
+        if not len(left):
+            break
+        number = depth.contexts.find(keys // np.uint64(BASE))
+        put.append((left[number >= 0], depth.escapes, number[number >= 0]))
+    out = np.empty((len(starts), len(model.langs)), np.int64)
+    for j in range(len(model.langs)):
+        cost = np.zeros(len(strings), np.int64)
+        cost[left] = 8 * FRACTION  # bytes that no language has seen
+        for at, costs, number in put:
+            cost[at] += costs[j][number]
+        out[:, j] = np.add.reduceat(cost, starts)
+    return out
+
+
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Cost of every text under every language, in 1/FRACTION bits; a text's bytes are taken a segment at a time."""
-    table = model.table()
     out = np.zeros((len(offsets) - 1, len(model.langs)), np.int64)
-    i = 0
+    order, i = model.order, 0
     while i < len(out):
         j = i + 1
         while j < len(out) and offsets[j + 1] - offsets[i] <= SEGMENT:
@@ -166,36 +211,43 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
             start, end = offsets[i], offsets[i + 1]
             for s in range(start, end, SEGMENT):
                 e = min(end, s + SEGMENT)
-                codes = padded(data[s:e], model.fold, model.order)
-                back = min(model.order, s - start)
+                symbols = padded(data[s:e], order)
+                back = min(order, s - start)
                 if back:
-                    codes[model.order - back : model.order] = model.fold[data[s - back : s]]
-                out[i] += table[windows(codes, model.order)].sum(0, dtype=np.int64)
+                    symbols[order - back : order] = data[s - back : s].astype(np.uint16) + 1
+                out[i] += _costs(model, grams(symbols, order), np.zeros(1, np.int64))[0]
         else:
             full = [k for k in range(i, j) if offsets[k + 1] > offsets[k]]
             if full:
-                codes = np.concatenate([padded(data[offsets[k] : offsets[k + 1]], model.fold, model.order) for k in full])
-                sizes = np.array([offsets[k + 1] - offsets[k] + model.order for k in full])
-                # a text's padding scores as context only: its windows are cut away by the starts below
-                cost = table[windows(np.concatenate([np.zeros(model.order, np.uint8), codes]), model.order)]
-                starts = np.cumsum(sizes) - sizes
-                edges = np.stack([starts, starts + model.order], 1).reshape(-1)
-                out[full] = np.add.reduceat(cost, edges, axis=0, dtype=np.int64)[1::2]
+                parts = [grams(padded(data[offsets[k] : offsets[k + 1]], order), order) for k in full]
+                sizes = np.array([len(p) for p in parts])
+                out[full] = _costs(model, np.concatenate(parts), np.cumsum(sizes) - sizes)
         i = j
     return out
 
 
+def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(valid), bool)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(full):
+        flags = _ASCII_LETTER[data[offsets[0] : offsets[-1]]]
+        out[full] = np.bitwise_or.reduceat(flags, offsets[full] - offsets[0]) > 0
+    for i in full[valid[full] & ~out[full]].tolist():  # the few texts without an ASCII letter
+        out[i] = _LETTER.search(column[i].as_py()) is not None
+    return out & valid
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``bits`` instead of the text column.
 
     ``lang_pred`` is the language with the smallest code length (ties: the
     first name), ``und`` where the text is null or has no letter or nothing was
     learned. ``score`` is the posterior of that language under equal priors (0
-    for ``und``), ``bits`` its code length.
+    for ``und``), ``bits`` its code length. Repeated rows and null keys pass
+    through; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     kept = [c for c in docs.columns if c != text]
-    held = spark.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         m = held.value
@@ -203,7 +255,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             column = b.column(len(kept))
             data, offsets, valid = byte_view(column)
-            known = np.array([bool(m.langs) and ok and _LETTER.search(t) is not None for t, ok in zip(column.to_pylist(), valid, strict=True)], bool)
+            known = _has_letter(column, data, offsets, valid) if m.langs else np.zeros(len(valid), bool)
             best, p, bits = np.full(len(known), len(m.langs)), np.zeros(len(known)), np.zeros(len(known))
             if known.any():
                 cost = code_lengths(m, data, offsets) / FRACTION

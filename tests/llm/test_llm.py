@@ -50,6 +50,58 @@ def test_langid_segments_and_batches_agree(docs):
     assert (langid.code_lengths(model, flat, cuts) == np.array(single)).all()
 
 
+WORDS = {
+    "de": "der die und nicht schön Straße über mit ein ist wir für", "en": "the and of that with this from have which would their",
+    "es": "el la que los mañana niño pero como muy está año", "fr": "le les des était où même très été garçon leur",
+    "it": "il che della più perché città sono questa anche gli", "nl": "het een van niet zijn voor maar ook werd deze",
+    "pl": "się jest nie że łódź które może więc być tego", "pt": "não uma são coração também ção mais então pelo",
+    "tr": "ve bir için değil çok şu ğ ışık olan karar", "el": "και το δεν που είναι από στην με για αυτό",
+    "ja": "これ は です 日本 の 言語 と ある 人 から", "ru": "и не что это как его было для они все",
+}
+
+
+def brute_bits(samples: list[bytes], order: int, text: bytes) -> float:
+    """Plain PPM: dictionaries of contexts, method C without exclusions; ``None`` stands before the start."""
+    seen: dict = {}
+    for s in samples:
+        line = [None] * order + list(s)
+        for i in range(order, len(line)):
+            for k in range(order + 1):
+                followers = seen.setdefault(tuple(line[i - k : i]), {})
+                followers[line[i]] = followers.get(line[i], 0) + 1
+    line, bits = [None] * order + list(text), 0.0
+    for i in range(order, len(line)):
+        for k in range(order, -1, -1):
+            followers = seen.get(tuple(line[i - k : i]))
+            if not followers:
+                continue
+            total = sum(followers.values()) + len(followers)
+            if line[i] in followers:
+                bits -= np.log2(followers[line[i]] / total)
+                break
+            bits -= np.log2(len(followers) / total)
+        else:
+            bits += 8
+    return bits
+
+
+def test_langid_of_twelve_languages_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    text = lambda lang, n: " ".join(rng.choice(WORDS[lang].split(), n))
+    train = [(i, text(k, 30), k) for i, k in enumerate(list(WORDS) * 5)]
+    probe = [text(k, 6) for k in WORDS] + ["zzz \x00 ÿ 漢字", "x", "Ωmega"]
+    for order in (2, 4):
+        model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), order=order)
+        assert model.order == order and model.langs == tuple(sorted(WORDS))
+        raw = [t.encode() for t in probe]
+        got = langid.code_lengths(model, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])) / langid.FRACTION
+        want = [[brute_bits([t.encode() for _, t, k in train if k == lang], order, t) for lang in model.langs] for t in raw]
+        assert np.allclose(got, want, rtol=0, atol=1e-4)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(probe)], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(rows, model).collect()}
+    assert [found[i] for i in range(12)] == list(WORDS)
+
+
 def test_langid_odd(odd):
     got = [r["lang_pred"] for r in langid.predict(odd.select("doc_id", "text"), langid.fit(odd)).collect()]
     assert got.count("und") == 3
