@@ -1,35 +1,52 @@
 """Quality classification by co-training two views of a document.
 
-The text view sees the text's content only, the metadata view its source,
-language and length only. Both learn from a bounded sample of labelled rows.
-For some rounds each scores a pool of unlabelled rows and hands the rows it is
-surest of, as pseudo-labels, to the other view's training set. Each view's
-score is then calibrated on labelled rows held out from the training, the two
-calibrated log-odds are combined by a third fit on the same rows, and the
+The text view sees the text only: character classes, repetition, and hashed
+words and word pairs. The metadata view sees source, language and the page that
+carries the document (host, domain, section, number of pages), and nothing that
+is computed from the text. Every document's features are written once.
+
+Both views learn from a bounded sample of labelled rows. In every round each
+view scores the whole pool of unlabelled rows and gives the ones it is surest
+of, by class and in the classes' proportions, to the other view as
+pseudo-labels; given rows leave the pool. How sure "surest" is comes from
+histograms of the whole pool. A gift weighs what the giver's surest rows are
+right beyond chance, on labelled rows held out from training, so a view without
+knowledge does no harm. The rows of a round that enter a fit are a bounded
+sample of all given ones.
+
+Each view is then calibrated on the held-out rows, the two calibrated log-odds
+are combined by a third fit there, without negative weights, and the
 combination scores every document.
 
-Views are additive models: every feature is cut at quantiles of the sample and
-each of its bins has a weight, fitted as a ridge-penalised logistic regression.
+Views are additive models: a numeric feature is cut at quantiles of the
+training rows, a category has a weight of its own where it is common there, and
+bins are weighted by a ridge-penalised logistic regression.
 """
 
 from __future__ import annotations
 
-import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from corvane.llm.arrow import byte_view
+from corvane.llm.hosts import domain_of, host_of, path_of
+from corvane.llm.shingles import mix, words_of
+from corvane.storage import materialize
 
 #: Character classes of the text view: lower, upper, digit, space, sentence mark, other ASCII mark, line break, non-ASCII.
 CLASSES = 8
-TEXT_FEATURES = CLASSES + 8
-META_BUCKETS = 64
+STATISTICS = CLASSES + 8
+WORD_BUCKETS, PAIR_BUCKETS = 32, 16
+TEXT_FEATURES = STATISTICS + WORD_BUCKETS + PAIR_BUCKETS
+META = ("source", "lang", "host", "domain", "section", "pages")
+HISTOGRAM = 4001  # bins of 0.01 of a view's log-odds, from -20 to 20
+_PAIR = np.uint64(0x9FB21C651E98DF25)
 
 
 def _classes() -> np.ndarray:
@@ -41,12 +58,13 @@ def _classes() -> np.ndarray:
     return at
 
 
+_CLASS_OF = _classes()
 
 
 def text_features(texts: list[str | None], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of content statistics per text; a null or empty text has zeros."""
+    """A row of content features per text; a null or empty text has zeros."""
     out = np.zeros((len(texts), TEXT_FEATURES))
-    for i, t in enumerate(texts):
+    for i, (t, hashes) in enumerate(zip(texts, words_of(data, offsets), strict=True)):
         if not t:
             continue
         counts = np.zeros(CLASSES, np.int64)
@@ -61,7 +79,7 @@ def text_features(texts: list[str | None], data: np.ndarray, offsets: np.ndarray
         common: dict[str, int] = {}
         for w in words:
             common[w] = common.get(w, 0) + 1
-        out[i, CLASSES:] = (
+        out[i, CLASSES:STATISTICS] = (
             np.log1p(n),
             (len(t) - n + 1) / n,
             len(common) / n,
@@ -71,165 +89,317 @@ def text_features(texts: list[str | None], data: np.ndarray, offsets: np.ndarray
             sum(not any(map(str.isalnum, w)) for w in words) / n,
             len(set(lines)) / len(lines),
         )
+        if len(hashes):
+            out[i, STATISTICS : STATISTICS + WORD_BUCKETS] = np.bincount((hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS) / len(hashes)
+        if len(hashes) > 1:
+            pairs = mix(hashes[:-1] * _PAIR + hashes[1:]) % np.uint64(PAIR_BUCKETS)
+            out[i, STATISTICS + WORD_BUCKETS :] = np.bincount(pairs.astype(np.int64), minlength=PAIR_BUCKETS) / len(pairs)
     return out
 
 
-_CLASS_OF = _classes()
-
-
-def meta_features(source: list, lang: list, length: list) -> np.ndarray:
-    """Hashed source, hashed language and log length; null values have buckets of their own."""
-    return np.array([[zlib.crc32(repr(s).encode()) % META_BUCKETS, zlib.crc32(repr(g).encode()) % META_BUCKETS, np.log1p(max(n or 0, 0))] for s, g, n in zip(source, lang, length, strict=True)]).reshape(-1, 3)
-
-
 @dataclass
 class Additive:
-    """Cuts per feature and a weight per bin."""
+    """A weight per bin: of numeric features by cuts, of categories by their common values, the last bin for all others."""
 
     cuts: list[np.ndarray]
+    category: bool
     weights: np.ndarray
 
     @staticmethod
-    def design(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    def design(x: np.ndarray, cuts: list[np.ndarray], category: bool) -> np.ndarray:
         """Bin numbers, each feature's after the one before."""
         out, base = np.empty(x.shape, np.int64), 1
         for j, c in enumerate(cuts):
-            out[:, j] = base + np.searchsorted(c, x[:, j], side="right")
+            at = np.searchsorted(c, x[:, j], side="left" if category else "right")
+            if category and len(c):
+                at = np.where(c[np.minimum(at, len(c) - 1)] == x[:, j], at, len(c))
+            out[:, j] = base + at
             base += len(c) + 1
         return out
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, bins: int, ridge: float = 1.0) -> Additive:
-        cuts = [np.unique(np.quantile(col, np.linspace(0, 1, bins + 1)[1:-1])) if len(np.unique(col)) > bins else np.unique(col)[1:] for col in x.T]
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, category: bool, values: int = 64, ridge: float = 1.0) -> Additive:
+        cuts = []
+        for j, col in enumerate(x.T):
+            if category:
+                found, n = np.unique(col, return_counts=True)
+                cuts.append(np.sort(found[np.argsort(-n, kind="stable")[:values]]))
+            else:
+                bins = 12 if j < STATISTICS else 3
+                cuts.append(np.unique(np.quantile(col, np.linspace(0, 1, bins + 1)[1:-1])) if len(np.unique(col)) > bins else np.unique(col)[1:])
         width = 1 + sum(len(c) + 1 for c in cuts)
-        rows = cls.design(x, cuts)
         dense = np.zeros((len(x), width))
         dense[:, 0] = 1
-        np.put_along_axis(dense, rows, 1, 1)
-        return cls(cuts, newton(dense, y, ridge))
+        np.put_along_axis(dense, cls.design(x, cuts, category), 1, 1)
+        return cls(cuts, category, newton(dense, y, weight, ridge))
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.weights[0] + self.weights[self.design(x, self.cuts)].sum(1)
+        return self.weights[0] + self.weights[self.design(x, self.cuts, self.category)].sum(1)
 
 
-def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression; the first column is the intercept."""
+def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
+    """Weights of a ridge-penalised logistic regression over weighted rows; the first column is the intercept."""
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+@dataclass
+class Gifts:
+    """What a view gives in a round: rows of the pool at or above ``high`` are called good, at or below ``low`` bad."""
+
+    low: float
+    high: float
+    trust: tuple[float, float]  # weights of bad and good pseudo-labels
+
+
+@dataclass
+class Round:
+    views: dict[str, Additive]
+    gifts: dict[str, Gifts]
+
+    def labels(self, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """By giving view: 1 good, 0 bad, -1 not given. Rows that the views disagree on are given by neither."""
+        out = {}
+        for name, g in self.gifts.items():
+            z = self.views[name].logit(x[name])
+            out[name] = np.where(z >= g.high, 1, np.where(z <= g.low, 0, -1))
+        a, b = out.values()
+        clash = (a >= 0) & (b >= 0) & (a != b)
+        a[clash] = b[clash] = -1
+        return out
+
+
 @dataclass
 class Model:
-    text: Additive
-    meta: Additive
+    views: dict[str, Additive]
     calibration: dict[str, np.ndarray]  # of each view: intercept and slope
     combined: np.ndarray  # intercept and a weight for each calibrated view
+    rounds: list[Round] = field(default_factory=list)
 
-    def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, x: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
         """Calibrated probability of good quality by text, by metadata, and together."""
-        a = self.calibration["text"][0] + self.calibration["text"][1] * self.text.logit(text)
-        b = self.calibration["meta"][0] + self.calibration["meta"][1] * self.meta.logit(meta)
+        a, b = (self.calibration[n][0] + self.calibration[n][1] * self.views[n].logit(x[n]) for n in VIEWS)
         logits = a, b, self.combined[0] + self.combined[1] * a + self.combined[2] * b
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in logits)
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 3, sure: float = 0.98, share: float = 0.1) -> Model | None:
-    """Co-train on labelled rows, every third of which is held out for calibration; None where the labels have one class only."""
+VIEWS = ("text", "meta")
+
+
+def histogram(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint((z + 20) * 100), 0, HISTOGRAM - 1).astype(np.int64)
+
+
+def surest(counts: np.ndarray, share: float, good: float) -> tuple[float, float]:
+    """``(low, high)`` limits of a view's log-odds beyond which lie at most ``share`` of the pool, the good and bad in proportion; an end bin that alone holds more is given whole."""
+    total = counts.sum()
+    below, above = np.cumsum(counts), np.cumsum(counts[::-1])
+    low = max(int(np.searchsorted(below, share * (1 - good) * total, side="right")) - 1, int(np.flatnonzero(counts)[0]))
+    high = HISTOGRAM - 1 - max(int(np.searchsorted(above, share * good * total, side="right")) - 1, int(np.flatnonzero(counts[::-1])[0]))
+    if low >= high:  # a view that tells nothing apart gives nothing
+        return -np.inf, np.inf
+    return low / 100 - 20 + 0.005, high / 100 - 20 - 0.005
+
+
+def trust(z: np.ndarray, y: np.ndarray, gifts: tuple[float, float]) -> tuple[float, float]:
+    """How far beyond chance the rows past each limit are right, 0 to 1, on held-out rows."""
+    out = []
+    for label, past in ((0, z <= gifts[0]), (1, z >= gifts[1])):
+        base = (y == label).mean()
+        right = ((y[past] == label).sum() + base) / (past.sum() + 1)
+        out.append(float(max(0.0, (right - base) / max(1 - base, 1e-9))))
+    return out[0], out[1]
+
+
+def combine(both: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Intercept and weights of the two calibrated views; a view that would count against itself is left out."""
+    ones, all_rows = np.ones(len(y)), np.ones(len(y))
+    w = newton(np.stack([ones, *both.T], 1), y, all_rows, 0.01)
+    if (w[1:] < 0).any():
+        best = int(np.argmax(w[1:]))
+        alone = newton(np.stack([ones, both[:, best]], 1), y, all_rows, 0.01)
+        w = np.zeros(3)
+        w[0], w[1 + best] = alone[0], max(alone[1], 0.0)
+    return w
+
+
+def cotrain(x: dict[str, np.ndarray], y: np.ndarray, pool, rounds: int = 3, share: float = 0.1) -> Model | None:
+    """Co-train on labelled rows, every third of which is held out; None where the labels have one class only.
+
+    ``pool.counts(views, before)`` gives each view's histogram over the rows
+    that no round of ``before`` gave away, and ``pool.given(round, before)``
+    rows that it gives now: features by view and labels by giving view.
+    """
     held = np.arange(len(y)) % 3 == 2
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return None
-    views = {"text": (text, pool_text, 12), "meta": (meta, pool_meta, 64)}
-    extra: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-    fitted: dict[str, Additive] = {}
+    train = {n: [(x[n][~held], y[~held], np.ones((~held).sum()))] for n in VIEWS}
 
-    def refit() -> None:
-        for name, (x, pool, bins) in views.items():
-            at = np.fromiter(extra[name], np.int64, len(extra[name]))
-            labels = np.fromiter(extra[name].values(), np.float64, len(at))
-            fitted[name] = Additive.fit(np.concatenate([x[~held], pool[at]]), np.concatenate([y[~held], labels]), bins)
+    def refit() -> dict[str, Additive]:
+        return {n: Additive.fit(*(np.concatenate(c) for c in zip(*train[n], strict=True)), n == "meta") for n in VIEWS}
 
-    refit()
+    views, past = refit(), []
     for _ in range(rounds):
-        gifts = {}
-        for name, other in (("text", "meta"), ("meta", "text")):
-            pool = views[name][1]
-            p = 1 / (1 + np.exp(-np.clip(fitted[name].logit(pool), -30, 30))) if len(pool) else np.zeros(0)
-            most = int(share * len(pool))
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")[:most]
-            gifts[other] = {int(i): float(p[i] > 0.5) for i in order if max(p[i], 1 - p[i]) >= sure}
-        for name, got in gifts.items():
-            extra[name] |= got
-        refit()
-    calibration = {n: newton(np.stack([np.ones(held.sum()), fitted[n].logit(views[n][0][held])], 1), y[held], 0.01) for n in views}
-    both = [calibration[n][0] + calibration[n][1] * fitted[n].logit(views[n][0][held]) for n in ("text", "meta")]
-    return Model(fitted["text"], fitted["meta"], calibration, newton(np.stack([np.ones(held.sum()), *both], 1), y[held], 0.01))
-
-
-def _features(docs: DataFrame, extra: list[str]) -> DataFrame:
+        counts = pool.counts(views, past)
+        if not counts["text"].sum():
+            break
+        limits = {n: surest(counts[n], share, y[~held].mean()) for n in VIEWS}
+        now = Round(views, {n: Gifts(*limits[n], trust(views[n].logit(x[n][held]), y[held], limits[n])) for n in VIEWS})
+        got, labels = pool.given(now, past)
+        for giver, taker in (VIEWS, VIEWS[::-1]):
+            some = labels[giver] >= 0
+            train[taker].append((got[taker][some], labels[giver][some].astype(np.float64), np.array(now.gifts[giver].trust)[labels[giver][some]]))
+        past.append(now)
+        views = refit()
+    ones = np.ones(held.sum())
+    calibration = {n: newton(np.stack([ones, views[n].logit(x[n][held])], 1), y[held], ones, 0.01) for n in VIEWS}
+    both = np.stack([calibration[n][0] + calibration[n][1] * views[n].logit(x[n][held]) for n in VIEWS], 1)
+    return Model(views, calibration, combine(both, y[held]), past)
+
+
+def _matrices(b) -> dict[str, np.ndarray]:
+    """The two feature matrices of a batch whose first columns are ``t`` and ``m``."""
+    flat = [np.asarray(b.column(i).flatten()).reshape(b.num_rows, -1) for i in (0, 1)] if b.num_rows else [np.zeros((0, TEXT_FEATURES)), np.zeros((0, len(META)))]
+    return {"text": flat[0].astype(np.float64), "meta": flat[1]}
+
+
+class Pool:
+    """All unlabelled rows of a feature table, scored where they are."""
+
+    def __init__(self, rows: DataFrame, sample: int):
+        self.rows, self.sample = rows, sample
+
+    def counts(self, views: dict[str, Additive], before: list[Round]) -> dict[str, np.ndarray]:
+        held = self.rows.sparkSession.sparkContext.broadcast((views, before))
+
+        def run(batches):
+            views, before = held.value
+            total = {n: np.zeros(HISTOGRAM, np.int64) for n in VIEWS}
+            for b in batches:
+                x = _matrices(b)
+                left = np.ones(b.num_rows, bool)
+                for r in before:
+                    left &= np.all([g < 0 for g in r.labels(x).values()], 0)
+                for n in VIEWS:
+                    total[n] += np.bincount(histogram(views[n].logit(x[n][left])), minlength=HISTOGRAM)
+            for i, n in enumerate(VIEWS):
+                at = np.flatnonzero(total[n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(at, pa.int32()), pa.array(total[n][at], pa.int64())], names=["view", "bin", "n"])
+
+        found = self.rows.select("t", "m").mapInArrow(run, "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toArrow()
+        out = {n: np.zeros(HISTOGRAM, np.int64) for n in VIEWS}
+        for i, n in enumerate(VIEWS):
+            here = found.column("view").to_numpy() == i
+            out[n][found.column("bin").to_numpy()[here]] = found.column("n").to_numpy()[here]
+        self.left = int(out["text"].sum())
+        return out
+
+    def given(self, now: Round, before: list[Round]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """About ``sample`` of the rows given in a round, chosen by a hash of the row."""
+        held = self.rows.sparkSession.sparkContext.broadcast((now, before))
+
+        def run(batches):
+            now, before = held.value
+            for b in batches:
+                x = _matrices(b)
+                labels = now.labels(x)
+                keep = np.any([g >= 0 for g in labels.values()], 0)
+                for r in before:
+                    keep &= np.all([g < 0 for g in r.labels(x).values()], 0)
+                at = pa.array(np.flatnonzero(keep), pa.int64())
+                extra = [pa.array(labels[n][keep], pa.int32()) for n in VIEWS]
+                yield pa.RecordBatch.from_arrays([*(pa.RecordBatch.take(b, at).column(i) for i in range(3)), *extra], names=["t", "m", "draw", *VIEWS])
+
+        rows = self.rows.select("t", "m", "draw").mapInArrow(run, "t array<float>, m array<int>, draw double, text int, meta int")
+        rate = min(1.0, self.sample / max(1.0, 0.2 * self.left))
+        got = rows.where(F.col("draw") < rate).limit(4 * self.sample).toArrow().combine_chunks()
+        got = got.sort_by("draw").to_batches()
+        if not got:
+            return {"text": np.zeros((0, TEXT_FEATURES)), "meta": np.zeros((0, len(META)), np.int32)}, {n: np.zeros(0, np.int64) for n in VIEWS}
+        return _matrices(got[0]), {n: got[0].column(3 + i).to_numpy().astype(np.int64) for i, n in enumerate(VIEWS)}
+
+
+def features(docs: DataFrame, pages: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """``key, doc_id, t, m, draw`` of every row of ``docs(doc_id, text, source, lang)``, written once.
+
+    ``pages(page_id, url)`` adds where a document was found: of the pages whose
+    path has its number as a part, the host and path that come first.
+    """
+
     def run(batches):
         for b in batches:
             t = text_features(b.column(0).to_pylist(), *byte_view(b.column(0))[:2])
-            m = meta_features(*(b.column(i).to_pylist() for i in (1, 2, 3)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(np.concatenate([t, m], 1)), pa.list_(pa.float64())), *b.columns[4:]], names=["x", *extra])
-
-    rows = docs.select("text", "source", "lang", F.length("text").cast("long").alias("length"), *extra)
-    return rows.mapInArrow(run, StructType([StructField("x", ArrayType(DoubleType())), *docs.select(*extra).schema.fields]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, rounds: int = 3) -> Model | None:
-    """Fit from about ``sample`` labelled rows and as many unlabelled ones, chosen by a hash of ``doc_id``.
+            flat = pa.ListArray.from_arrays(np.arange(len(t) + 1, dtype=np.int32) * TEXT_FEATURES, pa.array(t.reshape(-1), pa.float32()))
+            yield pa.RecordBatch.from_arrays([flat, *b.columns[1:]], names=["t", "key", "doc_id", "source", "lang", "seed"])
+
+    inputs = docs.select("text", F.col(key).alias("key"), "doc_id", "source", "lang", F.xxhash64("text").alias("seed"))
+    rows = inputs.mapInArrow(run, StructType([StructField("t", ArrayType(FloatType())), *inputs.drop("text").schema.fields]))
+    if pages is None:
+        found = rows.withColumn("host", F.lit(None).cast("string")).withColumn("path", F.lit(None).cast("string")).withColumn("pages", F.lit(None).cast("long"))
+    else:
+        url = F.col("url")
+        number = F.regexp_extract(path_of(url), r"/([0-9]{1,18})(?:[/.]|$)", 1)
+        carried = pages.select(F.when(number != "", number.cast("long")).alias("doc_id"), host_of(url).alias("host"), path_of(url).alias("path")).where("doc_id is not null")
+        carried = carried.groupBy("doc_id").agg(F.min(F.struct("host", "path")).alias("at"), F.count(F.lit(1)).alias("pages")).select("doc_id", "at.host", "at.path", "pages")
+        found = rows.join(carried, "doc_id", "left")
+    section = F.regexp_extract("path", "^/([^/]*)/", 1)
+    values = (F.col("source"), F.col("lang"), F.col("host"), domain_of(F.col("host")), section, F.least("pages", F.lit(8)))
+    coded = F.array(*[F.when(v.isNull(), 0).otherwise(F.hash(v)) for v in values])
+    draw = F.pmod(F.xxhash64("doc_id", "seed"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return materialize(found.select("key", "doc_id", "t", coded.alias("m"), draw.alias("draw")), "features")
+
+
+def fit(rows: DataFrame, labels: DataFrame, sample: int = 6000, rounds: int = 3) -> Model | None:
+    """Fit from about ``sample`` labelled rows of :func:`features`, chosen by a hash of id and text, and the pool of all others.
 
     ``labels(doc_id, quality)``; a document labelled more than once counts as
-    good only if all its labels say so, null labels do not count. None where
-    there are no labels of both kinds: every document then scores 1.
+    good only if all its labels say so, null labels do not count. Each round
+    adds about ``sample`` pseudo-labelled rows at most. Rows that repeat id and
+    text share a hash: should they be too many, four times ``sample`` are taken.
+    None where there are no labels of both kinds.
     """
-    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, total = marked.count(), docs.count()
-    if not n or not total:
+    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.least(F.min("quality"), F.lit(1)).alias("quality"))
+    n = marked.count()
+    if not n:
         return None
     chance = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = marked.where(chance < min(1.0, sample / n))
-    rows = docs.select("doc_id", "text", "source", "lang")
-    labelled = rows.join(F.broadcast(some), "doc_id")  # of about `sample` rows
-    pool = rows.where(chance < min(1.0, sample / total)).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti")
+    some = marked.where(chance < min(1.0, sample / n)).limit(4 * sample)
+    some = F.broadcast(some)  # at most 4 * sample rows
+    got = rows.join(some, "doc_id").select("t", "m", "draw", "doc_id", "quality").limit(4 * sample).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("draw", "ascending")]).to_batches()
+    if not got:
+        return None
+    pool = Pool(rows.join(some.select("doc_id"), "doc_id", "left_anti"), sample)
+    return cotrain(_matrices(got[0]), got[0].column(4).to_numpy().astype(np.float64), pool, rounds)
 
-    def matrix(df: DataFrame, *more: str) -> tuple[np.ndarray, ...]:
-        got = _features(df, ["doc_id", *more]).toPandas().sort_values("doc_id", kind="stable")
-        x = np.stack(got["x"]) if len(got) else np.zeros((0, TEXT_FEATURES + 3))
-        return x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:], *(got[c].to_numpy(np.float64) for c in more)
 
-    text, meta, y = matrix(labelled, "quality")
-    pool_text, pool_meta = matrix(pool)
-    return cotrain(text, meta, np.minimum(y, 1.0), pool_text, pool_meta, rounds)
+def score(rows: DataFrame, model: Model | None) -> DataFrame:
+    """``key, text_score, meta_score, score`` of every row of :func:`features`; without a model every score is 1."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    schema = rows.select("key").schema.add("text_score", "double").add("meta_score", "double").add("score", "double")
 
+    def run(batches):
+        for b in batches:
+            got = [np.ones(b.num_rows)] * 3 if held.value is None else held.value.scores(_matrices(b))
+            yield pa.RecordBatch.from_arrays([b.column(2), *(pa.array(g, pa.float64()) for g in got)], names=schema.names)
 
-def score(docs: DataFrame, model: Model | None, keep_all: bool = False) -> DataFrame:
-    """``doc_id, text_score, meta_score, score`` of every row of ``docs(doc_id, text, source, lang)``; with ``keep_all`` all columns and these.
+    return rows.select("t", "m", "key").mapInArrow(run, schema)
 
-    Null and empty texts have the features of an empty text; rows repeat as
-    they do in ``docs``; without a model every score is 1.
-    """
-    spark = docs.sparkSession
-    own = docs.columns if keep_all else ["doc_id"]
-    held = spark.sparkContext.broadcast(model)
-    schema = docs.select(*own).schema.add("text_score", "double").add("meta_score", "double").add("score", "double")
-    inputs = docs.select(F.col("text").alias("_t"), F.col("source").alias("_s"), F.col("lang").alias("_l"), F.length("text").cast("long").alias("_n"), *[F.col(c).alias(f"c_{c}") for c in own])
 
-    def run(batches):
-        for b in batches:
-            if held.value is None:
-                got = [np.ones(b.num_rows)] * 3
-            else:
-                t = text_features(b.column(0).to_pylist(), *byte_view(b.column(0))[:2])
-                got = held.value.scores(t, meta_features(*(b.column(i).to_pylist() for i in (1, 2, 3))))
-            yield pa.RecordBatch.from_arrays([*b.columns[4:], *(pa.array(g, pa.float64()) for g in got)], names=schema.names)
+def classify(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, key: str = "doc_id", sample: int = 6000, rounds: int = 3) -> DataFrame:
+    """``key, text_score, meta_score, score`` of every row of ``docs(doc_id, text, source, lang)``.
 
-    return inputs.mapInArrow(run, schema)
+    Null and empty texts have the features of an empty text; null metadata is a
+    value of its own; repeated rows score alike; without labels of both kinds
+    every score is 1; other columns are not read; an empty table gives an empty
+    one.
+    """
+    rows = features(docs, pages, key)
+    return score(rows, fit(rows, labels, sample, rounds)).withColumnRenamed("key", key)

@@ -24,9 +24,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    model = cotraining.fit(docs, _table(spark, sf_dir, "labels"))
-    return cotraining.score(docs, model).withColumn("kept", F.col("score") >= 0.5)
+    scored = cotraining.classify(*(_table(spark, sf_dir, name) for name in ("documents", "labels", "pages")))
+    return scored.withColumn("kept", F.col("score") >= 0.5)
 
 
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,8 +113,59 @@ def test_quality_accuracy_and_odd(spark, odd):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = queries.op2_quality(spark, sf).join(labels, "doc_id").collect()
     assert sum(r["kept"] == (r["quality"] == 1) for r in got) / len(got) > 0.97
-    model = cotraining.fit(odd, labels.limit(0))
-    assert model is None and {r["score"] for r in cotraining.score(odd, model).collect()} == {1.0}
+    assert [r["score"] for r in cotraining.classify(odd, labels.limit(0)).collect()] == [1.0] * len(ODD)
+    some = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    pages = spark.createDataFrame([(1, "http://a.b/en/4"), (2, None), (None, "x://c/en/4/")], "page_id long, url string")
+    got = cotraining.classify(odd, some, pages).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] == 5}) == 1
+    assert cotraining.classify(odd.limit(0), some, pages.limit(0)).count() == 0
+
+
+def _two_views(spark, n=3000, seed=6):
+    """Texts and sources that each tell good from bad, independently; few labels."""
+    rng = np.random.default_rng(seed)
+    good = rng.random(n) < 0.7
+    source = [f"{'g' if (g if rng.random() < 0.93 else not g) else 'b'}{rng.integers(0, 12)}" for g in good]
+    nouns = {True: "river mountain garden letter window music teacher harbour".split(), False: "casino bonus winner jackpot crypto viagra deal click".split()}
+    text = [" ".join(rng.choice(nouns[bool(g if rng.random() < 0.85 else not g)]) for _ in range(12)) for g in good]
+    docs = spark.createDataFrame([(i, t, s, "en") for i, (t, s) in enumerate(zip(text, source, strict=True))], "doc_id long, text string, source string, lang string")
+    return docs, spark.createDataFrame([(i, int(good[i])) for i in range(45)], "doc_id long, quality int"), good
+
+
+def test_each_view_learns_from_the_other(spark):
+    docs, labels, good = _two_views(spark)
+    rows = cotraining.features(docs)
+    right = {}
+    for rounds in (0, 4):
+        got = cotraining.score(rows, cotraining.fit(rows, labels, rounds=rounds)).collect()
+        right[rounds] = {c: np.mean([(r[c] >= 0.5) == good[r["key"]] for r in got]) for c in ("text_score", "meta_score", "score")}
+    assert right[4]["text_score"] > right[0]["text_score"] + 0.01 and right[4]["meta_score"] > right[0]["meta_score"] + 0.01
+    assert right[4]["score"] > 0.95 and right[4]["score"] >= max(right[4]["text_score"], right[4]["meta_score"]) - 0.01
+
+
+def test_exchange_equals_brute_force(spark):
+    """The rounds' gifts, recounted row by row over the whole feature table."""
+    docs, labels, _ = _two_views(spark)
+    rows = cotraining.features(docs)
+    model = cotraining.fit(rows, labels, rounds=3)
+    table = rows.join(labels, "doc_id", "left_anti").toPandas()
+    x = {"text": np.stack(table["t"]).astype(np.float64), "meta": np.stack(table["m"])}
+    left = np.ones(len(table), bool)
+    assert len(model.rounds) == 3 and all(w >= 0 for w in model.combined[1:])
+    for r in model.rounds:
+        given = np.zeros(len(table), bool)
+        for view, gifts in r.gifts.items():
+            z = r.views[view].logit(x[view])
+            cells = np.clip(np.rint((z + 20) * 100), 0, 4000)
+            bad, fine = z[left] <= gifts.low, z[left] >= gifts.high
+            quota = {"bad": 0.1 * left.sum(), "fine": 0.1 * left.sum()}
+            for some, name in ((bad, "bad"), (fine, "fine")):  # at most its share of the pool, unless one cell alone holds more
+                assert some.sum() <= quota[name] or len(set(cells[left][some])) == 1
+            assert np.isinf(gifts.low) or (bad.any() and fine.any())
+        for labels_of in r.labels(x).values():
+            given |= labels_of >= 0
+        assert given[left].any()
+        left &= ~given
 
 
 def test_hosts(spark):
@@ -339,8 +390,7 @@ def test_pipeline_against_brute_force(spark, docs):
     """Each stage on its own input."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     one = materialize(corpus_pipeline.quality(spark, docs, SF), "t")
-    model = cotraining.fit(docs.select(*corpus_pipeline.COLUMNS), labels)
-    want = {r["doc_id"] for r in cotraining.score(docs, model).collect() if r["score"] >= 0.5}
+    want = {r["doc_id"] for r in cotraining.classify(docs, labels, spark.read.parquet(f"{SF}/pages.parquet")).collect() if r["score"] >= 0.5}
     assert {r["doc_id"] for r in one.collect()} == want and one.columns == corpus_pipeline.COLUMNS
     two = materialize(corpus_pipeline.exact(spark, one, SF), "t")
     first: dict = {}
