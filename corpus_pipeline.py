@@ -22,17 +22,6 @@ from corvane.storage import drop, finished, materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier scores at least one half.
-
-    Null and empty texts are scored like others by what features they have;
-    repeated rows fare alike; without labels of both kinds all stay.
-    """
-    docs = docs.select(*COLUMNS)
-    model = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return cotraining.score(docs, model, keep_all=True).where("score >= 0.5").select(*COLUMNS)
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` written once, each row with a ``_key`` of its own that orders by doc_id, rows without one last."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("row"))
@@ -45,6 +34,17 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(rows, F.col("_key.row") == F.col("_row"), "left_anti").select(*COLUMNS)
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier scores at least one half.
+
+    Null and empty texts are scored like others by what features they have;
+    repeated rows fare alike; without labels of both kinds all stay.
+    """
+    rows = _numbered(docs)
+    labels, pages = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("labels", "pages"))
+    return _without(rows, cotraining.classify(rows, labels, pages, key="_key").where("score < 0.5"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose texts are equal but for A-Z case, the one with the smallest doc_id.
 
