@@ -23,6 +23,6 @@ def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total
     return rows.join(few, on).unionByName(cold)
 
 
-def checked_broadcast(df: DataFrame) -> DataFrame:
-    """``df``, a narrow table, marked for a broadcast where it has at most MOST_BROADCAST rows."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def checked_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, a narrow table, marked for a broadcast where it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
