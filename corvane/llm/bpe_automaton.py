@@ -28,6 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
+#: Lower cases of letters that Unicode has given one since version 15, which the library knows and str.lower does not.
+_NEWER_CASES = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
+    **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
 
 
 def byte_letters() -> list[str]:
@@ -271,6 +277,7 @@ class Tokenizer:
                 text = pattern.sub(new, text)
             else:  # letter by letter, so that a final sigma is like any other
                 text = text.replace("\u03a3", "\u03c3").lower()
+                text = text if text.isascii() else text.translate(_NEWER_CASES)
         return text
 
     def words(self, text: str) -> tuple[list[str], list[str]]:

@@ -25,9 +25,10 @@ from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from corvane.llm.arrow import take
 from corvane.operators.components import Forest, connected_components
+from corvane.operators.skew import join_hot
 from corvane.storage import drop, materialize
 
-MOST_CELLS = 4096
+MOST_CELLS = 16_384  # beyond 40 million vectors cells grow instead; centres of 512 dimensions take 64 MB
 
 
 def spherical_kmeans(x: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
@@ -106,17 +107,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     components link with nothing; neither do vectors of different lengths.
     ``n_links`` counts other rows, equal vectors included. Keys are taken to be
     unique; rows with null keys take part as copies do but have null results.
-    The centres are fitted on about ``sample`` vectors; they and the number of
-    cells bear on the time only, every link is found.
+    The centres are fitted on about ``sample`` vectors, at least four a cell;
+    they and the number of cells bear on the time only, every link is found.
+    Other columns are not read; an empty table gives an empty one.
     """
     values = F.col(vector)
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), values.alias("raw"), norm.alias("norm"))
-    usable = F.col("label").isNotNull() & F.col("norm").isNotNull() & (F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < float("inf"))
-    rows = rows.select("id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.transform("raw", lambda v: v.cast("double") / F.col("norm"))).alias("vec"))
+    # by the largest component first, so that no square overflows or vanishes
+    largest = F.aggregate(values, F.lit(0.0), lambda s, v: F.when(s.isNull() | v.isNull() | F.isnan(v), F.lit(None).cast("double")).otherwise(F.greatest(s, F.abs(v.cast("double")))))
+    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), values.alias("raw"), largest.alias("largest"))
+    usable = F.col("label").isNotNull() & F.col("largest").isNotNull() & (F.col("largest") > 0) & (F.col("largest") < float("inf"))
+    rows = rows.select("id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.transform("raw", lambda v: v.cast("double") / F.col("largest"))).alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, v: s + v * v))
+    rows = rows.withColumn("norm", norm).select("id", "label", F.transform("raw", lambda v: v / F.col("norm")).alias("vec"))
     classes = materialize(rows.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("class_id is not null"), "vectors")
     total = classes.count()
     k = min(MOST_CELLS, max(1, total // (10 * cell_size)))
+    sample = max(sample, 4 * k)
     chance = F.pmod(F.xxhash64("class_id"), F.lit(1 << 30)) < F.lit(float(1 << 30) * min(1.0, sample / max(total, 1)))
     drawn = classes.where(chance).select("class_id", "vec").toPandas().sort_values("class_id")
     centres = {}
@@ -158,8 +164,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     counts = found.where("kind = 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("linked"))
     groups = connected_components(found.where("kind = 1").select("a", "b"))
     known = classes.join(counts, "class_id", "left").join(groups.withColumnRenamed("id", "class_id"), "class_id", "left")
-    known = known.select("label", "vec", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "class_id").alias("component"))
-    drop(placed)
-    out = rows.join(known, ["label", "vec"], "left")
+    known = known.select("label", "vec", "n", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "class_id").alias("component"))
+    known = materialize(known, "known")
+    drop(placed, found)
+    # a class of null keys only has no row in ``known``, nor has a vector that cannot be used
+    usable = rows.where("vec is not null")
+    out = join_hot(usable, known, ["label", "vec"], "n", classes.agg(F.sum("n").alias("n")).first()["n"] or 0).select("id", "links", "component")
+    alone = usable.where("id is null").join(known.select("label", "vec"), ["label", "vec"], "left_anti").union(rows.where("vec is null"))
+    out = out.unionByName(alone.select("id", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("component")))
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -4,6 +4,10 @@ A page's outcome is bad or good where its document is labelled. Rates of bad
 outcomes are shrunk through beta-binomial priors: the corpus is the prior of a
 public suffix, the suffix of a registered domain, the domain of a host. Each
 level's prior strength is its intra-class correlation by the method of moments.
+Levels are those of the name alone, without user and port. A public suffix is
+the last label; a registry's second-level label and a country's; or the name of
+a service whose customers have subdomains. An IPv4 address is a level of its
+own throughout.
 A host is blocked where the lower bound of its posterior rate lies above a
 limit; rules on host suffix and path prefix come first.
 """
@@ -13,6 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.skew import join_hot
+from corvane.storage import materialize
+
+#: Labels under which registries of countries give out names, and services that give out subdomains.
+SECOND = ("ac", "co", "com", "edu", "gen", "go", "gob", "gov", "govt", "gouv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+SERVICES = ("appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "tumblr.com", "vercel.app", "web.app", "wordpress.com")
+_LONG = rf"(^|\.)(({'|'.join(SECOND)})\.[a-z][a-z]|{'|'.join(s.replace('.', chr(92) + '.') for s in SERVICES)})$"
+_ADDRESS = r"^[0-9]+(\.[0-9]+){3}$"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -47,13 +60,25 @@ def first_fit(rules: tuple[Rule, ...], host: Column, path: Column) -> tuple[Colu
     return rule, verdict
 
 
+def name_of(host: Column) -> Column:
+    """The host without user, port and final dot."""
+    return F.regexp_extract(host, r"^(?:.*@)?(.*?)(?::[0-9]*)?\.?$", 1)
+
+
+def _last(host: Column, labels: int) -> Column:
+    """That many last labels of the name under a plain suffix, one more under a long one; an address whole."""
+    name = name_of(host)
+    short, long = (F.substring_index(name, ".", -n) for n in (labels, labels + 1))
+    return F.when(name.rlike(_ADDRESS), name).when(name.rlike(_LONG), long).otherwise(short)
+
+
 def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]*)\.?$", 1)
+    return _last(host, 1)
 
 
 def domain_of(host: Column) -> Column:
-    """The public suffix, taken to be the last label, and the label before it."""
-    return F.regexp_extract(host, r"([^.]*\.?[^.]*?)\.?$", 1)
+    """The public suffix and the label before it, where there is one."""
+    return _last(host, 2)
 
 
 def _strength(cells: DataFrame) -> float:
@@ -105,7 +130,10 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...], li
     # pages of one host and number count together, so that hot hosts shrink before they move; pages without a number have no outcome
     visits = named.select("host", F.when(number != "", number.cast("long")).alias("number")).where("number is not null").groupBy("host", "number").agg(F.count(F.lit(1)).alias("pages"))
     counted = visits.join(outcome.where("bad is not null"), F.col("number") == F.col("doc_id")).groupBy("host").agg(F.sum("pages").alias("n"), F.sum(F.col("pages") * F.col("bad")).alias("k"))
-    cells = named.select("host").distinct().join(counted, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"))
+    seen = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    cells = materialize(seen.join(counted, "host", "left").select("host", "pages", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k")), "hosts")
     rule, verdict = first_fit(rules, F.col("host"), F.col("path"))
-    known = reputation(cells, z).select("host", "rate", "low")
-    return named.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("low") > limit, "block").otherwise("allow")).alias("verdict"), F.round("rate", 6).alias("rate"))
+    known = reputation(cells, z).join(cells.select("host", "pages"), "host")
+    known = materialize(known.select("host", "rate", "low", "pages"), "reputation")
+    total = cells.agg(F.sum("pages").alias("n")).first()["n"] or 0
+    return join_hot(named, known, ["host"], "pages", total).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("low") > limit, "block").otherwise("allow")).alias("verdict"), F.round("rate", 6).alias("rate"))

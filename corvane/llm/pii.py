@@ -7,8 +7,9 @@ validates what it found; no parser backtracks, so long runs cost linear time.
 
 The base kinds are fixed by a contract: email, ip, card and phone, each
 leftmost and non-overlapping, failing matches dropped without a retry. The
-method adds ``iban`` (cue: the word IBAN or an upper-case country start; valid
-by remainder 97), ``ssn`` (cue: the letters SSN), ``account`` (cue: the word
+method adds ``iban`` (cue: the word IBAN; or, without it, a country's letters
+at the start of a word, which then need two digits after them, that country's
+length and at least eight digits; valid by remainder 97), ``ssn`` (cue: the letters SSN), ``account`` (cue: the word
 account, acct or konto, then 6 to 18 digits) and ``userinfo`` (cue: ``://``,
 then ``name:password@``). Positions are code points, ends exclusive.
 """
@@ -32,13 +33,20 @@ _ALNUM = frozenset(_LETTERS) | _DIGITS
 _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | {"-"}
 _PHONE = _DIGITS | frozenset(" ().-")
-#: The cue words of the added kinds.
-_CUES = {"iban": "iban", "IBAN": "iban", "Iban": "iban", "ssn": "ssn", "SSN": "ssn", "account": "account", "Account": "account", "ACCOUNT": "account", "acct": "account", "konto": "account", "Konto": "account"}
+#: The cue words of the added kinds, each also found capitalised and in capitals.
+_CUES = {"iban": "iban", "ssn": "ssn", "account": "account", "acct": "account", "konto": "account"}
+#: Countries and the lengths of their account numbers.
+_COUNTRIES = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "TR": 26,
+}
 
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for word, kind in {"@": "at", "+": "plus", "://": "scheme", **{d: "digit" for d in "0123456789"}, **_CUES}.items():
+    cues = {form: kind for word, kind in _CUES.items() for form in (word, word.capitalize(), word.upper())}
+    for word, kind in {"@": "at", "+": "plus", "://": "scheme", **{d: "digit" for d in "0123456789"}, **cues, **dict.fromkeys(_COUNTRIES, "country")}.items():
         a.add_word(word, (kind, len(word)))
     a.make_automaton()
     return a
@@ -147,6 +155,24 @@ def _iban(text: str, start: int) -> Span | None:
     return None
 
 
+def _country(text: str, start: int) -> Span | None:
+    """From a country's letters at ``start``: its account number in groups, without the cue word."""
+    if start and text[start - 1] in _ALNUM or _run(text, start + 2, _DIGITS) < start + 4:
+        return None
+    left, at, digits = _COUNTRIES[text[start : start + 2]], start, []
+    while left and at < len(text):
+        if text[at] in _ALNUM:
+            digits.append(text[at])
+            left -= 1
+        elif text[at] != " " or text[at - 1] == " ":
+            return None
+        at += 1
+    code = "".join(digits).upper()
+    if left or (at < len(text) and text[at] in _ALNUM) or sum(c in _DIGITS for c in code) < 10:
+        return None
+    return (start, at) if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else None
+
+
 def _after_cue(text: str, at: int) -> int:
     """Past separators and words like "no" or "number" that stand between a cue and its value."""
     end = min(len(text), at + 24)
@@ -211,6 +237,8 @@ def find(text: str) -> dict[str, list[Span]]:
                 while at < len(text) and text[at] in " :#" and at < end + 6:
                     at += 1
                 span, name = _iban(text, at), "iban"
+            elif kind == "country":
+                span, name = _country(text, last - 1), "iban"
             elif kind == "ssn":
                 span, name = _ssn(text, end), "ssn"
             else:

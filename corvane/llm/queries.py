@@ -76,8 +76,10 @@ with named as (
     numbered as (select host, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[/.]|$)', 1), '') as bigint) number from named),
     outcome as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 when quality is not null or toxic is not null then 0 end) bad from labels where doc_id is not null group by 1),
     counted as (select host, count(*) n, sum(bad) k from numbered join outcome on number = doc_id where bad is not null group by 1),
-    cells as (select host, regexp_extract(host, '([^.]*\.?[^.]*?)\.?$', 1) dom, regexp_extract(host, '([^.]*)\.?$', 1) suf, coalesce(n, 0)::bigint n, coalesce(k, 0)::bigint k
-        from (select distinct host from named) left join counted using (host)),
+    plain as (select host, regexp_extract(host, '^(?:.*@)?(.*?)(?::[0-9]*)?\.?$', 1) bare from (select distinct host from named)),
+    parts as (select host, bare, string_split(bare, '.') p, regexp_matches(bare, '{hosts._ADDRESS}') address, regexp_matches(bare, '{hosts._LONG}')::int long from plain),
+    cells as (select host, case when address then bare else array_to_string(p[-2 - long:], '.') end dom, case when address then bare else array_to_string(p[-1 - long:], '.') end suf, coalesce(n, 0)::bigint n, coalesce(k, 0)::bigint k
+        from parts left join counted using (host)),
     domains as (select suf, dom, sum(n)::bigint n, sum(k)::bigint k from cells group by 1, 2),
     suffixes as (select suf, sum(n)::bigint n, sum(k)::bigint k from domains group by 1),
     total as (select (coalesce(sum(k), 0) + 0.5::double) / (coalesce(sum(n), 0) + 1.0::double) mean from suffixes),

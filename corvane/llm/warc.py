@@ -1,11 +1,13 @@
 """WARC archives with an external, globally ordered capture index.
 
 Writing: each task writes archives of gzip-compressed records and, next to each
-archive, an index run sorted by URL key and time. Merging: the runs are split
-into key ranges at keys drawn from all of them; for each range a loser tree
-merges up to ``FAN_IN`` runs as streams, in as many passes as that takes, so
-memory holds one line per run. Reading: the merged index tells where each
-record lies; archives are read front to back and digests are checked.
+archive, an index run sorted by URL key and time. Merging: a loser tree merges
+up to ``FAN_IN`` runs as streams, in as many passes as that takes, so memory
+holds one line per run. The first pass merges whole runs; every later one also
+cuts the key range of its inputs into up to ``FAN_IN`` parts, at keys drawn
+from all runs, so that tasks and files stay as many as after the first pass and
+of like size. Reading: the merged index tells where each record lies; archives
+are read front to back, a few to a task, and digests are checked.
 
 Files are written through ``pyarrow.fs`` to the shared folder under names that
 no other attempt uses; only what a finished task reports is read again.
@@ -25,9 +27,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.skew import checked_broadcast
 from corvane.storage import materialize, new_path
 
 FAN_IN = 64
+MOST_RANGES = 50_000  # beyond it ranges grow; about 16 keys a range are drawn to the driver
+MOST_TASKS = 20_000
 SPARSE = 256  # lines between entries of a run's own index
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -182,14 +187,16 @@ def write_archives(pages: DataFrame, archive_bytes: int = 64 << 20, min_revisit_
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("size"))
     ids = rows.where(F.col("page_id").isNotNull() & (F.col("size") >= min_revisit_bytes)).select("page_id", "sha1", "size")
-    first = ids.groupBy("sha1", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    revisits = ids.distinct().join(first, ["sha1", "size"]).where("page_id != refers_to")
-    dealt = rows.join(revisits, ["page_id", "sha1", "size"], "left").select("page_id", "url", "html", "refers_to")
+    first = ids.groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    # written first: where it is too large to broadcast, a hot payload's pages can then be split over tasks
+    first = checked_broadcast(materialize(first, "payloads"), 500_000)
+    refers_to = F.when(F.col("page_id") != F.col("first"), F.col("first"))
+    dealt = rows.join(first, ["sha1", "size"], "left").select("page_id", "url", "html", refers_to.alias("refers_to"))
     base = new_path(spark, "archives")
     fs_base = base
 
     def write(batches):
-        # 2020-01-01 and a second for each page number: the table has no capture time of its own
+        # 2020-01-01 and a microsecond for each page number: the table has no capture time of its own
         import datetime
 
         start = datetime.datetime(2020, 1, 1)
@@ -211,7 +218,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = 64 << 20, min_revisit_
                     fs, path = _fs(name + ".warc.gz")
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     state.update(out=fs.open_output_stream(path, compression=None, buffer_size=1 << 20), uri=name + ".warc.gz", run=name + ".run", at=0, entries=[])
-                date = (start + datetime.timedelta(seconds=(page_id or 0) % 300_000_000)).strftime("%Y-%m-%dT%H:%M:%SZ")
+                date = (start + datetime.timedelta(microseconds=(page_id or 0) % (1 << 57))).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
                 data, _ = record(page_id, url, date, text.encode(), refers_to)
                 packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                 member = packer.compress(data) + packer.flush()
@@ -229,51 +236,70 @@ def write_archives(pages: DataFrame, archive_bytes: int = 64 << 20, min_revisit_
 INDEX = "url_key string, captured string, page_id long, archive string, offset long, length long, key_range int, position long"
 
 
+def _splits(manifest: DataFrame, ranges: int, runs: int) -> list[tuple]:
+    """Keys that cut the captures into about ``ranges`` ranges of like size."""
+    if ranges < 2:
+        return []
+    keys = manifest.select(F.explode("keys").alias("key"))
+    share = min(1.0, 16 * ranges / max(1, 17 * runs))
+    drawn = sorted(_key(r["key"].encode() + b"\t") for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(share * (1 << 30))).collect())
+    return sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
+
+
 def merge_index(manifest: DataFrame, range_records: int = 100_000, fan_in: int = FAN_IN) -> DataFrame:
-    """The global index: every capture with its place in order, ``(key_range, position)``; runs are merged by loser trees."""
+    """The global index: every capture with its place in order, ``(key_range, position)``; runs are merged by loser trees.
+
+    Ranges hold about ``range_records`` captures, or more where that would make
+    over MOST_RANGES of them. An empty manifest gives an empty index.
+    """
     spark = manifest.sparkSession
     total = manifest.agg(F.sum("records").alias("n"), F.count(F.lit(1)).alias("runs")).first()
     n, runs = total["n"] or 0, total["runs"]
-    ranges = max(1, -(-n // range_records))
-    splits: list[tuple] = []
-    if ranges > 1:  # about 20,000 keys at most, drawn from all runs' own
-        keys = manifest.select(F.explode("keys").alias("key"))
-        share = min(1.0, 20_000 / max(1, 17 * runs))
-        drawn = sorted(_key(r["key"].encode() + b"\t") for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).collect())
-        splits = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
-    edges = [None, *splits, None]
-    pieces = manifest.select("run", F.explode(F.sequence(F.lit(0), F.lit(len(splits)))).alias("key_range"))
-    base = new_path(spark, "runs")
-    first = True
+    splits = _splits(manifest, min(MOST_RANGES, max(1, -(-n // range_records))), runs)
+    edges = spark.sparkContext.broadcast([None, *splits, None])  # at most MOST_RANGES keys
+    ranges, base = len(splits) + 1, new_path(spark, "runs")
+    width, first = ranges, True  # every run covers ``width`` ranges from ``low`` on
+    pieces = manifest.select("run", F.lit(0).alias("low"))
+
+    def bounds(low: int, width: int) -> tuple[tuple | None, tuple | None]:
+        return edges.value[low], edges.value[min(low + width, ranges)]
+
+    def cut(rows: DataFrame, width: int, narrow: int) -> DataFrame:
+        """A row for each part of ``narrow`` ranges that a run has."""
+        if narrow == width:
+            return rows
+        low = F.explode(F.sequence(F.col("low"), F.least(F.col("low") + (width - 1), F.lit(ranges - 1)), F.lit(narrow)))
+        return rows.select("run", low.alias("low"))
+
     while runs > fan_in:
-        groups = -(-runs // fan_in)
-        dealt = pieces.groupBy("key_range", F.pmod(F.xxhash64("run"), F.lit(groups)).alias("grp")).agg(F.sort_array(F.collect_list("run")).alias("runs"))  # of about fan_in runs each
+        groups, narrow = -(-runs // fan_in), width if first else -(-width // fan_in)
+        dealt = cut(pieces, width, narrow).withColumn("grp", F.pmod(F.xxhash64("run"), F.lit(groups)))
+        tasks = min(MOST_TASKS, groups * -(-ranges // narrow))  # counted, since the rows do not show how much they stand for
+        dealt = dealt.repartition(tasks, "low", "grp").groupBy("low", "grp").agg(F.sort_array(F.collect_list("run")).alias("runs"))  # of about fan_in runs each
 
-        def combine(batches, bounded=first):
+        def combine(batches, narrow=narrow):
             for b in batches:
-                for r, paths in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for low, paths in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                     name = f"{base}/{uuid.uuid4().hex}.run"
                     fs, path = _fs(name)
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    low, high = (edges[r], edges[r + 1]) if bounded else (None, None)
-                    _write_run(name, iter(LoserTree([_read_run(p, low, high) for p in paths])))
-                    yield pa.RecordBatch.from_pydict({"run": [name], "key_range": [r]}, schema=pa.schema([("run", pa.string()), ("key_range", pa.int32())]))
+                    _write_run(name, iter(LoserTree([_read_run(p, *bounds(low, narrow)) for p in paths])))
+                    yield pa.RecordBatch.from_pydict({"run": [name], "low": [low]}, schema=pa.schema([("run", pa.string()), ("low", pa.int32())]))
 
-        pieces = materialize(dealt.mapInArrow(combine, "run string, key_range int"), "runs")
-        runs, first = groups, False
-    last = pieces.groupBy("key_range").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+        pieces = materialize(dealt.mapInArrow(combine, "run string, low int"), "runs")
+        runs, width, first = groups, narrow, False
+    last = cut(pieces, width, 1).repartition(min(MOST_TASKS, ranges), "low").groupBy("low").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
-    def final(batches, bounded=first):
+    def final(batches):
         names = [x.split()[0] for x in INDEX.split(", ")]
         for b in batches:
             for r, paths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                low, high = (edges[r], edges[r + 1]) if bounded else (None, None)
                 rows: list[tuple] = []
 
                 def out(rows=rows):
                     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=names)
 
-                for position, (key, line) in enumerate(LoserTree([_read_run(p, low, high) for p in paths])):
+                for position, (key, line) in enumerate(LoserTree([_read_run(p, *bounds(r, 1)) for p in paths])):
                     archive, at, size = line.decode().rstrip("\n").split("\t")[3:]
                     rows.append((*key[:2], None if key[2] < 0 else key[2], archive, int(at), int(size), r, position))
                     if len(rows) == 8192:
@@ -288,9 +314,14 @@ def merge_index(manifest: DataFrame, range_records: int = 100_000, fan_in: int =
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, key_range int, position long"
 
 
-def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The record at every place of ``index``, digests checked; with ``with_payload`` its bytes too (null for revisits)."""
-    near = index.repartition("archive").sortWithinPartitions("archive", "offset")
+def read_archives(index: DataFrame, with_payload: bool = False, archives: int | None = None) -> DataFrame:
+    """The record at every place of ``index``, digests checked; with ``with_payload`` its bytes too (null for revisits).
+
+    ``archives`` says how many there are, which sets the number of tasks; an
+    empty index gives no records.
+    """
+    tasks = [min(MOST_TASKS, max(1, archives))] if archives is not None else []
+    near = index.repartition(*tasks, "archive").sortWithinPartitions("archive", "offset")
     names = [x.split()[0] for x in READ.split(", ")] + ["payload"] * with_payload
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
@@ -322,5 +353,6 @@ def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write, merge the index and read back: one row per row of ``pages``; an empty table gives an empty one."""
-    return read_archives(merge_index(write_archives(pages, min_revisit_bytes=min_revisit_bytes)))
+    """Write, merge the index and read back: one row per row of ``pages``; other columns are not read, an empty table gives an empty one."""
+    manifest = write_archives(pages, min_revisit_bytes=min_revisit_bytes)
+    return read_archives(merge_index(manifest), archives=manifest.count())

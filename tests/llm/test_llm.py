@@ -179,6 +179,25 @@ def test_hosts(spark):
     assert hosts.judge_pages(pages.limit(0), labels.limit(0), ()).count() == 0
 
 
+def test_host_levels(spark):
+    names = {"a.b.example.co.uk:8080": ("co.uk", "example.co.uk"), "bob:pw@x.github.io": ("github.io", "x.github.io"), "example.com.": ("com", "example.com"), "com": ("com", "com"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "": ("", ""), "x" * 5000 + ".org": ("org", "x" * 5000 + ".org")}
+    rows = spark.createDataFrame([(n,) for n in names], "host string").select("host", hosts.suffix_of(F.col("host")).alias("s"), hosts.domain_of(F.col("host")).alias("d")).collect()
+    assert {r["host"]: (r["s"], r["d"]) for r in rows} == names
+
+
+def test_hosts_block_by_reputation(spark, monkeypatch):
+    """A table in which one domain's pages are bad, whose new host is blocked with them; a hot clean host, odd columns, very long urls."""
+    monkeypatch.setattr(skew, "MOST_HOT", 4)
+    urls = [(i, f"http://h{i % 4}.bad.co.uk:80/en/{i}") for i in range(200)] + [(i, f"https://hot.fine.co.uk/en/{i}?x") for i in range(200, 800)] + [(i, f"http://s{i % 9}.example.org/de/{i}") for i in range(800, 1000)]
+    urls += [(1000, "http://new.bad.co.uk/about"), (1001, "http://new.fine.co.uk/x"), (1002, "http://" + "y" * 100_000 + ".org/"), (None, None), (None, None)]
+    pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("rate", F.lit(0)).withColumn("pages", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i >= 200 or i % 10 == 0), 0) for i in range(1000)], "doc_id long, quality int, toxic int")
+    got = hosts.judge_pages(pages, labels, ()).collect()
+    verdict = {r["page_id"]: r["verdict"] for r in got}
+    assert len(got) == len(urls) and all(verdict[i] == ("block" if i < 200 else "allow") for i in range(1000))
+    assert (verdict[1000], verdict[1001], verdict[1002], verdict[None]) == ("block", "allow", "allow", "allow")
+
+
 def test_exact_dedup_collisions_and_odd(odd):
     for hash128 in (exact_dedup.md5, lambda text: F.lit(b"same")):
         for keep, best, short in (("min", 4, 1), ("max", 5, 2)):  # rows that repeat id and text: one stays
@@ -204,7 +223,7 @@ def test_exact_dedup_hot_text(spark, monkeypatch):
 def test_bpe_equals_the_library(docs, odd):
     from tokenizers import Tokenizer
 
-    extra = ["Σίσυφος ΟΔΟΣ", "a<|endoftext|>B", "\x1c\x1d a\u0085b", "İ ﬁ ½ Ⅷ", "aaaaaaaaaaaaaaaa", "don't I'LL"]
+    extra = ["\u1c89 \ua7cb\ua7dc \U00010d50\U00016ea0 X", "Σίσυφος ΟΔΟΣ", "a<|endoftext|>B", "\x1c\x1d a\u0085b", "İ ﬁ ½ Ⅷ", "aaaaaaaaaaaaaaaa", "don't I'LL"]
     texts = [r["text"] for r in docs.limit(40).collect()] + extra + [t or "" for _, t in ODD]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         ours, theirs = bpe_automaton.compile_tokenizer(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
@@ -227,6 +246,28 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_order_over_many_passes(spark):
+    """All pages of a table: many ranges, four passes, odd rows and clashing columns; order and records as a sort gives them."""
+    table = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
+    rows = [tuple(r) for r in table] + [(10**9 + i, None if i % 2 else "http://dup.org/", "same" if i % 3 else "") for i in range(40)] + [(2 * 10**9, "http://long.org/", "é" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("archive", F.lit("clash")).withColumn("sha1", F.lit(1)).withColumn("first", F.lit(2))
+    manifest = warc.write_archives(pages.repartition(6), archive_bytes=1500)
+    assert manifest.count() > 27
+    got = warc.read_archives(warc.merge_index(manifest, range_records=10, fan_in=3), with_payload=True, archives=manifest.count()).collect()
+    assert len({r["key_range"] for r in got}) >= 3 and len(got) == len(rows)
+    in_order = [(r["url_key"], r["captured"], r["page_id"]) for r in sorted(got, key=lambda r: (r["key_range"], r["position"]))]
+    assert in_order == sorted(in_order) and [k for k, *_ in in_order] == sorted(warc.url_key(u) for _, u, _ in rows)
+    first: dict = {}
+    for i, _, h in sorted(rows):
+        first.setdefault(h or "", i)
+    text = {i: h or "" for i, _, h in rows}
+    for r in got:
+        h = text[r["page_id"]]
+        revisit = first[h] != r["page_id"]
+        assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(h.encode()), warc.payload_digest(h.encode()), "revisit" if revisit else "response", first[h] if revisit else None)
+        assert r["payload"] == (None if revisit else h.encode())
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in range(9):
@@ -315,9 +356,22 @@ def test_embeddings_miss_no_link_at_any_number_of_cells(spark, cell_size):
     x[2000:] = x[:2000] + 0.35 * rng.normal(size=(2000, 64))  # pairs on both sides of the threshold, in no clusters
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame, cell_size=cell_size).collect()}
-    want = (unit @ unit.T >= 0.93).sum(1) - 1
-    assert want.sum() > 1000 and [got[i] for i in range(4000)] == want.tolist()
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(frame, cell_size=cell_size).collect()}
+    linked = unit @ unit.T >= 0.93
+    want, component = linked.sum(1) - 1, np.arange(4000)
+    while (lower := np.where(linked, component[None], 4000).min(1)).tolist() != component.tolist():
+        component = lower
+    assert want.sum() > 1000 and [got[i]["n_links"] for i in range(4000)] == want.tolist()
+    assert [got[i]["component_id"] for i in range(4000)] == component.tolist() and all(got[i]["kept"] == (component[i] == i) for i in range(4000))
+
+
+def test_embeddings_of_any_size_repeated_and_without_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MOST_HOT", 4)
+    rows = [(1, [1e200, 0.0], 1), (2, [1e200, 0.0], 1), (3, [1e-200, 0.0], 1), (4, [0.0, 5e-324], 1), (None, [3.0, 0.0], 1), (None, [0.0, 1.0], 2), (5, [1e308, 1e308], 3), (5, [1e308, 1e308], 3), (6, None, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n", F.lit("clash")).withColumn("links", F.lit(0)).withColumn("norm", F.lit(0))
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(frame).collect()), key=str)
+    want = [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 1, 5, True), (5, 1, 5, True), (6, 0, 6, True), (None, 0, None, False), (None, 3, 1, False)]
+    assert got == sorted(want, key=str)
 
 
 def test_packing(spark, odd, docs):
@@ -384,6 +438,17 @@ def test_pii_equals_patterns(docs, odd):
     found = pii.find("IBAN: DE89 3704 0044 0532 0130 00, SSN 123-45-6789; ftp://bob:pw@host.org/ account no. 12345678")
     assert [len(found[k]) for k in ("iban", "ssn", "userinfo", "account")] == [1, 1, 1, 1]
     assert len(pii.find_spans(odd).collect()) == len(ODD)
+    for text, kind, n in (("pay DE89 3704 0044 0532 0130 00 now", "iban", 1), ("NL91ABNA0417164300.", "iban", 1), ("xDE89370400440532013000", "iban", 0), ("DE88 3704 0044 0532 0130 00", "iban", 0), ("SE20 some words that go on and on", "iban", 0), ("Acct 12345678", "account", 1), ("ACCT: 12345", "account", 0), ("Ssn 123-45-6789", "ssn", 1), ("ssn 000-45-6789", "ssn", 0), ("ftp://bob@host", "userinfo", 0)):
+        assert len(pii.find(text)[kind]) == n, text
+
+
+def test_pii_query_digests(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op10_pii(spark, SF).collect():
+        spans = brute_spans(docs[r["doc_id"]] or "")
+        base = ",".join(f"{k}:{s}:{e}" for k in PATTERNS for s, e in spans[k])
+        assert [r[f"n_{k}"] for k in PATTERNS] == [len(spans[k]) for k in PATTERNS] and r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
 
 
 def test_pipeline_against_brute_force(spark, docs):
