@@ -170,7 +170,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     # a class of null keys only has no row in ``known``, nor has a vector that cannot be used
     usable = rows.where("vec is not null")
     out = join_hot(usable, known, ["label", "vec"], "n", classes.agg(F.sum("n").alias("n")).first()["n"] or 0).select("id", "links", "component")
-    alone = usable.where("id is null").join(known.select("label", "vec"), ["label", "vec"], "left_anti").union(rows.where("vec is null"))
+    alone = usable.where("id is null").join(known.select("label", "vec"), ["label", "vec"], "left_anti").select("id").union(rows.where("vec is null").select("id"))
     out = out.unionByName(alone.select("id", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("component")))
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
