@@ -19,10 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
+from corvane.functions.text import let
 from corvane.llm.arrow import take
 from corvane.operators.components import Forest, connected_components
 from corvane.operators.skew import join_hot
@@ -31,6 +32,26 @@ from corvane.storage import drop, materialize
 MOST_CELLS = 16_384  # beyond 40 million vectors cells grow instead; centres of 512 dimensions take 64 MB
 
 
+def unit(values: Column) -> Column:
+    """A vector over its length, in double precision; null where it is null, zero or holds null or non-finite components.
+
+    It is scaled by its largest component first, so that no square overflows or
+    vanishes. Each step is bound once: written as columns, the optimiser would
+    put the length into the loop over the components.
+    """
+
+    def largest(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda m, x: F.when(m.isNull() | x.isNull() | F.isnan(x), F.lit(None).cast("double")).otherwise(F.greatest(m, F.abs(x.cast("double")))))
+
+    def scaled(v: Column, by: Column) -> Column:
+        return F.transform(v, lambda x: x.cast("double") / by)
+
+    def over_length(v: Column) -> Column:
+        return let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: scaled(v, n))
+
+    return let(values, lambda v: let(largest(v), lambda m: F.when((m > 0) & (m < float("inf")), let(scaled(v, m), over_length))))
+
+
 def spherical_kmeans(x: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
     """``k`` unit centres of unit rows, from evenly spread starting rows; a centre left without rows keeps its place."""
     centres = x[np.linspace(0, len(x) - 1, k).astype(np.int64)].copy()
@@ -111,14 +132,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     they and the number of cells bear on the time only, every link is found.
     Other columns are not read; an empty table gives an empty one.
     """
-    values = F.col(vector)
-    # by the largest component first, so that no square overflows or vanishes
-    largest = F.aggregate(values, F.lit(0.0), lambda s, v: F.when(s.isNull() | v.isNull() | F.isnan(v), F.lit(None).cast("double")).otherwise(F.greatest(s, F.abs(v.cast("double")))))
-    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), values.alias("raw"), largest.alias("largest"))
-    usable = F.col("label").isNotNull() & F.col("largest").isNotNull() & (F.col("largest") > 0) & (F.col("largest") < float("inf"))
-    rows = rows.select("id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.transform("raw", lambda v: v.cast("double") / F.col("largest"))).alias("raw"))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, v: s + v * v))
-    rows = rows.withColumn("norm", norm).select("id", "label", F.transform("raw", lambda v: v / F.col("norm")).alias("vec"))
+    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.when(F.col(label).isNotNull(), unit(F.col(vector))).alias("vec"))
+    rows = rows.select("id", F.when(F.col("vec").isNotNull(), F.col("label")).alias("label"), "vec")
     classes = materialize(rows.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("class_id is not null"), "vectors")
     total = classes.count()
     k = min(MOST_CELLS, max(1, total // (10 * cell_size)))
