@@ -10,9 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The Turkish letter classes and letter folds.
+# The Turkish letter classes, and what counts as white space at the ends of a text. The rules' patterns below are fixed values too.
 UPPER = "A-ZÇĞİÖŞÜ"
 LOWER = "a-zçğıöşü"
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _sub(c: Column, pattern: str, new: str) -> Column:
@@ -26,7 +27,7 @@ def let(c: Column, rule: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, in the Unicode sense."""
-    return _sub(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 @F.pandas_udf(StringType())
@@ -59,8 +60,14 @@ def join_abbreviations(c: Column) -> Column:
 
 
 def join_spaced(c: Column, letters: str) -> Column:
-    """Join three or more single characters of a class that white space sets apart."""
-    return _sub(c, rf"(?U)(?<=\b[{letters}]\s{{1,16}}[{letters}])\s+(?=[{letters}]\b)|(?<=\b[{letters}])\s+(?=[{letters}]\s{{1,16}}[{letters}]\b)", "")
+    """Join three or more single characters of a class that white space sets apart: spaces and tabs between them go, line breaks stay.
+
+    A chain is walked from match to match: its first character sees two more
+    ahead, any later one the next; white space that stays is stepped over.
+    """
+    one = f"[{letters}]"
+    first, later = rf"\b(?={one}\s+{one}\s+{one}\b)", rf"\G(?!\A)(?={one}\s+{one}\b)"
+    return _sub(c, rf"(?U)(?:{first}|{later})({one})[ \t]*|\G(?!\A)([\s&&[^ \t]])(?=\s*{one}\b)[ \t]*", "$1$2")
 
 
 def fix_spacing(c: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvane.functions import text as T
 
@@ -31,7 +30,8 @@ def unseen(hits: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
 
 def first_wins(hits: DataFrame, order: list, key: str = "id") -> DataFrame:
     """The first hit of each id."""
-    return hits.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
+    first = hits.groupBy(key).agg(F.min_by(F.struct(*hits.columns), F.struct(*order)).alias("first"))  # shrinks before it moves, unlike a window
+    return first.select("first.*")
 
 
 def enrich(hits: DataFrame, court: str, fetched_at) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.acquisition import is_corrupt
+from corvane.operators.matching import overlapping
+from corvane.operators.skew import checked_broadcast
+
 IGNORED = -100
 
 
@@ -47,7 +51,7 @@ def classify(words: DataFrame, terms: DataFrame, word: str = "word") -> DataFram
     exact = known.select(F.col("term").alias("w"), "several")
     parts = known.where("several").select(F.explode(F.split("term", " ")).alias("w")).distinct().withColumn("in_phrase", F.lit(True))
     longer = known.where("length(term) > 4").select("term")
-    inside = distinct.join(longer, F.contains(F.col("w"), F.col("term")), "left_semi").withColumn("has_term", F.lit(True))
+    inside = overlapping(distinct, longer.withColumn("priority", F.lit(1.0)), "w", "w").select("w").distinct().withColumn("has_term", F.lit(True))
     named = distinct.join(exact, "w", "left").join(parts, "w", "left").join(inside, "w", "left")
     kind = F.when(~F.col("several"), "single").when(F.col("several"), "phrase").when(F.col("in_phrase") | F.col("has_term"), "partial").otherwise("none")
     named = named.select("w", kind.alias("class"))
@@ -66,6 +70,37 @@ def consecutive(words: DataFrame, phrases: DataFrame, key: str = "sample_id", or
     return out
 
 
+def shares(counts: dict[str, Column]) -> dict[str, Column]:
+    """Percentages of masked, kept and replaced positions among the labelled ones; null where there are none."""
+    labelled = counts["masked"] + counts["kept"] + counts["replaced"]
+    return {f"{k}_share": F.when(labelled > 0, 100.0 * counts[k] / labelled) for k in ("masked", "kept", "replaced")}
+
+
+def named(samples: DataFrame, vocabulary: DataFrame, key: str = "sample_id") -> DataFrame:
+    """``key, pos, token, label, original`` of ``samples(key, input_ids, labels)``: ids by ``vocabulary(id, token)``; -100 looks up id 0; ids without a token have null."""
+    at = F.posexplode(F.arrays_zip("input_ids", "labels")).alias("pos", "x")
+    rows = samples.select(key, at).select(key, "pos", F.col("x.input_ids").alias("id"), F.col("x.labels").alias("label"))
+    rows = rows.withColumn("of", F.when(F.col("label") == IGNORED, 0).otherwise(F.col("label")))
+    few = checked_broadcast(vocabulary.select("id", "token"))
+    rows = rows.join(few, "id", "left")
+    return rows.join(few.select(F.col("id").alias("of"), F.col("token").alias("original")), "of", "left").select(key, "pos", "token", "label", "original")
+
+
+def progress(rows: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """Saved and corrupt rows of every group, and of all in a row with a null group."""
+    bad = is_corrupt(F.col(text))
+    return rows.rollup(by).agg(F.count_if(~bad).alias("saved"), F.count_if(bad).alias("corrupted"), F.count(F.lit(1)).alias("total"))
+
+
+def table_text(rows: DataFrame, title: str) -> str:
+    """A small table as aligned text under a title: a report for people. All rows are shown, so pass aggregates."""
+    names = rows.columns
+    cells = [names, *([("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in rows.collect())]
+    wide = [max(len(r[i]) for r in cells) for i in range(len(names))]
+    lines = ["  ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in cells]
+    return "\n".join([title, "=" * len(title), *lines])
+
+
 def ratio_bin(ratio: Column) -> Column:
     """Fifths of [0, 1); 1 is in none."""
     c = F.lit(None).cast("int")

@@ -1,22 +1,20 @@
-"""Whole-word masking of token windows: a density-tiered offline mode and a fixed-rate online mode.
-
-Both take words of windows and give selected words; a replacement step then
-gives each token its outcome. Every random choice is a keyed hash.
-"""
+"""Parts of masking as DataFrame operations: lexicon words, rates, padding. Masked samples are made in :mod:`corvane.operators.masked`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corvane.functions.keyed import uniform
 from corvane.operators.matching import CELL_BITS, cells
-from corvane.operators.windows import add_specials
 
 # Tokens whose words are never masked offline.
 PROTECTED = ("ve", "veya", "ile", "bir", "bu", "şu", "o", "ki", "da", "de", "ama", "fakat", "için", "gibi", "çünkü", ".", ",", ":", ";", "!", "?", "(", ")", "[", "]", "{", "}", "-", "/", "\\", "'", '"', "`", "’", "“", "”", "…", "«", "»")
+# A phrase's priority; least density of lexicon words, mask rate and their share of it, the last pair for any density; chances of the mask and of a random id; the online rate and its share of lexicon words.
 PHRASE_PRIORITY = 5.0
+DENSITY_TIERS = ((0.30, 0.25, 0.75), (0.15, 0.20, 0.65), (0.05, 0.18, 0.55))
+FLOORS = (0.12, 0.35)
+OUTCOME, LEGAL_OUTCOME = (0.80, 0.10), (0.90, 0.05)
+ONLINE_RATE, BIAS = 0.15, 0.70
 
 
 def word_map(tokens: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -37,95 +35,14 @@ def word_map(tokens: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFra
     return both.select(key, "word_id", F.when(F.col("is_phrase"), PHRASE_PRIORITY).otherwise(F.col("priority")).alias("priority"), F.coalesce("is_phrase", F.lit(False)).alias("is_phrase"))
 
 
-def window_tokens(tokens: DataFrame, windows: DataFrame, key: str = "doc_id", width: int = 510) -> DataFrame:
-    """Tokens of every window: ``key, chunk, pos`` counted within the window."""
-    start = F.col("start")
-    reach = F.sequence(F.floor(start / width), F.floor((start + (width - 1)) / width))  # the one or two stretches of ``width`` that a window touches
-    starts = windows.select(key, "chunk", "start", F.explode(reach).alias("stretch"))
-    rows = tokens.withColumn("stretch", F.floor(F.col("pos") / width)).join(starts, [key, "stretch"]).where((start <= F.col("pos")) & (F.col("pos") < start + width))
-    return rows.select(*[c for c in tokens.columns if c != "pos"], "chunk", (F.col("pos") - start).alias("pos"))
-
-
 def rates(density: Column) -> tuple[Column, Column]:
     """Mask rate and legal share by the density of legal words."""
-    tiers = ((0.30, 0.25, 0.75), (0.15, 0.20, 0.65), (0.05, 0.18, 0.55))
-    rate, share = F.lit(0.12), F.lit(0.35)
-    for limit, r, s in reversed(tiers):
+    rate, share = (F.lit(x) for x in FLOORS)
+    for limit, r, s in reversed(DENSITY_TIERS):
         rate, share = F.when(density > limit, r).otherwise(rate), F.when(density > limit, s).otherwise(share)
     return F.least(F.greatest(rate, F.lit(0.12)), F.lit(0.28)).cast("double"), F.least(F.greatest(share, F.lit(0.35)), F.lit(0.80)).cast("double")
 
 
-def words_of_windows(tokens: DataFrame, windows: DataFrame, key: str = "doc_id", word: str = "word_id", **aggregates: Column) -> DataFrame:
-    """A row per word of a window. The windows' rows are dealt by window once, for this grouping and the budgets after it."""
-    placed = window_tokens(tokens, windows, key)
-    return placed.repartition(key, "chunk").groupBy(key, "chunk", F.col(word).alias("word_id")).agg(*[a.alias(name) for name, a in aggregates.items()])
-
-
-def offline_words(tokens: DataFrame, windows: DataFrame, legal: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row per word of a window, with its class and the window's budgets. Words meet the lexicon before windows multiply them."""
-    marked = tokens.select(key, "pos", "word_id", F.col("token").isin(*PROTECTED).alias("protected")).join(legal, [key, "word_id"], "left")
-    words = words_of_windows(marked, windows, key, first_pos=F.min("pos"), protected=F.bool_or("protected"), priority=F.max("priority"), is_phrase=F.coalesce(F.bool_or("is_phrase"), F.lit(False)))
-    w = Window.partitionBy(key, "chunk")
-    density = F.count("priority").over(w).cast("double") / F.count(F.lit(1)).over(w)
-    rate, share = rates(F.col("density"))
-    out = words.withColumn("density", density).withColumn("rate", rate).withColumn("share", share)
-    out = out.withColumn("maskable", F.count(F.when(~F.col("protected"), 1)).over(w))
-    out = out.withColumn("budget", F.greatest(F.lit(1), F.floor(F.col("maskable").cast("double") * F.col("rate")).cast("int")))
-    return out.withColumn("legal_budget", F.floor(F.col("budget").cast("double") * F.col("share")).cast("int"))
-
-
-def offline_select(words: DataFrame, seed: str = "select", key: str = "doc_id") -> DataFrame:
-    """The words to mask: all of phrases, then legal ones by priority within their budget, then others up to the whole budget."""
-    free = words.where(~F.col("protected"))
-    kind = F.when(F.col("priority").isNull(), 2).when(F.col("is_phrase"), 0).otherwise(1)
-    free = free.withColumn("kind", kind).withColumn("u", uniform(seed, key, "chunk", "word_id"))
-    order = F.when(F.col("kind") == 2, F.col("u")).otherwise(-F.coalesce("priority", F.lit(0.0)))
-    by_kind = Window.partitionBy(key, "chunk", "kind")
-    w = Window.partitionBy(key, "chunk")
-    ranked = free.withColumn("place", F.row_number().over(by_kind.orderBy(order, "first_pos"))).withColumn("phrases", F.count(F.when(F.col("kind") == 0, 1)).over(w)).withColumn("others", F.count(F.when(F.col("kind") == 1, 1)).over(w))
-    taken = F.least(F.greatest(F.col("legal_budget") - F.col("phrases"), F.lit(0)), F.col("others"))
-    fit = (F.col("kind") == 0) | ((F.col("kind") == 1) & (F.col("place") <= taken)) | ((F.col("kind") == 2) & (F.col("place") <= F.col("budget") - F.col("phrases") - taken))
-    return ranked.where(fit).select(key, "chunk", "word_id", "kind")
-
-
-def online_select(words: DataFrame, rate: float = 0.15, bias: float = 0.70, seed: str = "select", key: str = "doc_id") -> DataFrame:
-    """Selected rows of ``words(key, chunk, word_id, legal)``: a fixed rate, ``bias`` of it legal; legal budget left over goes to the others."""
-    rows = words.withColumn("u", uniform(seed, key, "chunk", "word_id"))
-    w = Window.partitionBy(key, "chunk")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(key, "chunk", "legal").orderBy("u", "word_id"))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("n_legal", F.count(F.when(F.col("legal"), 1)).over(w))
-    total = F.greatest(F.lit(1), F.floor(F.col("n").cast("double") * F.lit(float(rate))).cast("int"))
-    wanted = F.floor(total.cast("double") * F.lit(float(bias))).cast("int")
-    took = F.least(wanted, F.col("n_legal"))
-    return rows.where(F.when(F.col("legal"), F.col("place") <= took).otherwise(F.col("place") <= total - took)).select(key, "chunk", "word_id", "legal")
-
-
-def outcome(u: Column, legal: Column | bool = False, mask: float = 0.80, random: float = 0.10) -> Column:
-    """``mask``, ``random`` or ``keep``; words of the lexicon are masked at 0.90 and 0.05 offline."""
-    plain = F.when(u < mask, "mask").when(u < mask + random, "random").otherwise("keep")
-    return plain if legal is False else F.when(legal, F.when(u < 0.90, "mask").when(u < 0.95, "random").otherwise("keep")).otherwise(plain)
-
-
-def random_id(u: Column, vocabulary: int) -> Column:
-    """A uniform id of the vocabulary, special ones included."""
-    return F.floor(u * F.lit(float(vocabulary))).cast("int")
-
-
-def samples(tokens: DataFrame, selected: DataFrame, vocabulary: int, mask_id: int, legal: Column | bool = False, key: str = "doc_id", first: int = 0, last: int = 2, seed: str = "replace") -> DataFrame:
-    """``key, chunk, input_ids, labels`` of every window in ``tokens(key, chunk, pos, word_id, id)``, special tokens around it.
-
-    Each token of a word in ``selected(key, chunk, word_id, ...)`` has its own
-    outcome; its label is the id it had, also where it is kept, and that of all
-    other tokens is -100. ``legal`` is a column of ``selected``. Special tokens
-    come after the selection, so none is masked or labelled.
-    """
-    rows = tokens.join(selected.withColumn("chosen", F.lit(True)), [key, "chunk", "word_id"], "left")
-    out = outcome(uniform(seed, key, "chunk", "pos"), legal)
-    put = F.when(F.col("chosen").isNull() | (out == "keep"), F.col("id")).when(out == "mask", F.lit(mask_id)).otherwise(random_id(uniform("random", key, "chunk", "pos"), vocabulary))
-    token = F.struct("pos", put.cast("int").alias("put"), F.when(F.col("chosen"), F.col("id")).otherwise(-100).cast("int").alias("label"))
-    windows = rows.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(token)).alias("x"))  # a window has at most its width of tokens
-    return windows.select(key, "chunk", add_specials(F.col("x.put"), first, last).alias("input_ids"), add_specials(F.col("x.label"), -100, -100).alias("labels"))
-
-
 def pad(ids: Column, size: Column, filler: int) -> Column:
     """``ids`` filled up to ``size`` on the right."""
     return F.concat(ids, F.array_repeat(F.lit(filler), (size - F.size(ids)).cast("int")))

@@ -7,6 +7,10 @@ corpus. So texts are cut in Arrow batches where they are read, without a shuffle
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -18,6 +22,90 @@ _TOKEN = regex.compile(TOKEN.replace(r"\s", r" \t-\r"))  # the JVM's \s is ASCII
 MOST_ROWS = 1 << 17  # rows to gather before a batch is handed on
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """A text's tokens: ids, character offsets (ends exclusive) and word numbers, which count up from 0."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    strings: list[str] | None = None
+
+
+class RegexTokenizer:
+    """The tokens of :data:`TOKEN` with ids of their own.
+
+    There is no vocabulary: an id is a keyed hash of the token, above the
+    special ids 0 to 4, so different tokens can share one.
+    """
+
+    around, mask_id, special_ids = (0, 2), 4, frozenset()
+
+    def __init__(self, vocabulary: int = 32_000):
+        self.vocabulary = vocabulary
+        self._ids: dict[str, int] = {}
+
+    def _id(self, token: str) -> int:
+        if len(self._ids) > 500_000:
+            self._ids.clear()
+        u = int(hashlib.md5(f"id|{token}".encode(), usedforsecurity=False).hexdigest()[:8], 16) / 4294967296.0
+        return self._ids.setdefault(token, 5 + int(u * (self.vocabulary - 5)))
+
+    def __call__(self, text: str) -> Tokens:
+        found = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        strings = [f[0] for f in found]
+        known = self._ids
+        bounds = np.array([f[1:] for f in found], np.int64).reshape(-1, 2)
+        fresh = np.ones(len(found), np.int64)
+        fresh[1:] = bounds[1:, 0] != bounds[:-1, 1]
+        ids = np.array([known[t] if t in known else self._id(t) for t in strings], np.int64)
+        return Tokens(ids, bounds[:, 0], bounds[:, 1], np.cumsum(fresh) - 1, strings)
+
+    def protected(self, tokens: Iterable[str]):
+        """A test that tells which of a text's tokens are among ``tokens``."""
+        known = frozenset(tokens)
+        return lambda found: np.fromiter((t in known for t in found.strings), bool, len(found.strings))
+
+
+class LibraryTokenizer:
+    """A tokenizers file: its ids, offsets and words. Tokens without a word continue the one before."""
+
+    def __init__(self, path: str, first: str, last: str, mask: str):
+        with open(path, encoding="utf-8") as f:
+            self.text = f.read()
+        inner = self._load()
+        self.around = inner.token_to_id(first), inner.token_to_id(last)
+        self.mask_id, self.vocabulary = inner.token_to_id(mask), inner.get_vocab_size()
+        if None in (*self.around, self.mask_id):
+            raise ValueError("the vocabulary lacks one of the special tokens")
+        self.special_ids = frozenset({*self.around, self.mask_id})
+
+    def _load(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.text)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_inner"}
+
+    def __call__(self, text: str) -> Tokens:
+        if not hasattr(self, "_inner"):
+            self._inner = self._load()
+        found = self._inner.encode(text, add_special_tokens=False)
+        offsets = np.array(found.offsets, np.int64).reshape(-1, 2)
+        words = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
+        words = np.maximum.accumulate(np.maximum(words, 0)) if len(words) else words
+        if len(words):  # numbered without gaps
+            words = np.cumsum(np.concatenate([[0], words[1:] != words[:-1]]))
+        return Tokens(np.array(found.ids, np.int64), offsets[:, 0], offsets[:, 1], words)
+
+    def protected(self, tokens: Iterable[str]):
+        """A test that tells which tokens have the id of one of ``tokens`` that is a single token."""
+        single = [x.ids[0] for x in (self._load().encode(t, add_special_tokens=False) for t in tokens) if len(x.ids) == 1]
+        return lambda found: np.isin(found.ids, single)
+
+
 def token_count(c):
     return F.size(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)))
 

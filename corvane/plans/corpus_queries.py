@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.keyed import uniform
-from corvane.operators import acquisition, analysis, lexicon, masking, matching, sampling, tokens, windows
+from corvane.operators import acquisition, analysis, lexicon, masked, masking, matching, sampling, tokens
 from corvane.plans.fixtures import frame, values
 from corvane.plans.text_queries import _N, _TOK, counts, docs
 from corvane.sources import sinks
@@ -35,6 +35,11 @@ def u(*keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 8))::bigint / 4294967296.0::double)"
 
 
+def u4(salt: str, number: str, key: str = "doc_id", chunk: str = "chunk") -> str:
+    """The same for numbered things of a window, four to an MD5."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{salt}', {key}, {chunk}, ({number}) // 4)), 8 * (({number}) % 4)::int + 1, 8))::bigint / 4294967296.0::double)"
+
+
 # ---- lexicon
 
 _LINES = [("a b c d e f g h i, jj kkk; l",), ('"(Haciz);"',), ("  ",), ("x",), ("ceza",), ("ceza",)]
@@ -159,37 +164,49 @@ rated as (select *, (case when density > 0.30 then 0.25 when density > 0.15 then
 budget as (select *, greatest(1, floor(maskable::double * rate))::int budget, floor(greatest(1, floor(maskable::double * rate)) * share)::int legal_budget from rated)"""
 _SELECT = f"""
 ranked as (select *, row_number() over (partition by doc_id, chunk, kind order by case when kind = 2 then u else -coalesce(priority, 0) end, first_pos) place, count(*) filter (kind = 0) over (partition by doc_id, chunk) phrases, count(*) filter (kind = 1) over (partition by doc_id, chunk) others
-    from (select *, case when priority is null then 2 when is_phrase then 0 else 1 end kind, {u("'select'", 'doc_id', 'chunk', 'word_id')} u from budget where not protected)),
+    from (select *, case when priority is null then 2 when is_phrase then 0 else 1 end kind, {u4("select", "word_id")} u from budget where not protected)),
 chosen as (select doc_id, chunk, word_id, kind from (select *, least(greatest(legal_budget - phrases, 0), others) taken from ranked) where kind = 0 or (kind = 1 and place <= taken) or (kind = 2 and place <= budget - phrases - taken))"""
 
 
-def offline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.windows(counts(spark, sf_dir), windows.offline_starts(F.col("n"))).select("doc_id", "chunk", "start")
+def lexicon_terms(spark: SparkSession) -> DataFrame:
+    return frame(spark, TERMS, "idx int, term string, priority double").drop("idx")
+
+
+def offline(spark: SparkSession, sf_dir: str, samples: bool = False) -> DataFrame:
+    return masked.masked_windows(docs(spark, sf_dir), lexicon_terms(spark), masked.Offline, samples=samples)
+
 
+def online(spark: SparkSession, sf_dir: str, samples: bool = False, **options) -> DataFrame:
+    return masked.masked_windows(docs(spark, sf_dir), lexicon_terms(spark), masked.Online, samples=samples, **options)
 
-def offline_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masking.offline_words(tokens.tokenize(docs(spark, sf_dir)), offline_windows(spark, sf_dir), word_map(spark, sf_dir))
 
+def chosen(rows: DataFrame, legal: bool = False) -> DataFrame:
+    """Counts and sums of chosen words by window and kind."""
+    each = rows.select("doc_id", "chunk", F.explode(F.arrays_zip("words", "kinds")).alias("x")).select("doc_id", "chunk", F.col("x.words").alias("word_id"), F.col("x.kinds").alias("kind"))
+    name = (F.col("kind") < 2).alias("legal") if legal else F.col("kind")
+    return each.groupBy("doc_id", "chunk", name).agg(F.count(F.lit(1)).alias("n"), F.sum("word_id").alias("words"))
 
-@query("mask_budget_offline", f"with {_BUDGET} select doc_id, chunk, round(max(density), 9) density, max(rate) rate, max(share) share, max(maskable)::bigint maskable, max(budget)::int budget, max(legal_budget)::int legal_budget from budget group by 1, 2")
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    each = rows.select("doc_id", "chunk", F.explode(F.arrays_zip("places", "outcomes")).alias("x"))
+    name = F.element_at(F.array(*map(F.lit, ("mask", "random", "keep"))), F.col("x.outcomes") + 1)
+    return each.groupBy("doc_id", "chunk", name.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.places").cast("long")).alias("places"))
+
+
+@query("mask_budget_offline", f"with {_BUDGET} select doc_id, chunk, round(max(density), 9) density, max(rate) rate, max(share) share, max(maskable)::int maskable, max(budget)::int budget, max(legal_budget)::int legal_budget from budget group by 1, 2")
 def mask_budget_offline(spark, sf_dir):
-    w = offline_words(spark, sf_dir)
-    return w.groupBy("doc_id", "chunk").agg(F.round(F.max("density"), 9).alias("density"), *[F.max(c).alias(c) for c in ("rate", "share", "maskable", "budget", "legal_budget")])
+    return offline(spark, sf_dir).select("doc_id", "chunk", F.round("density", 9).alias("density"), "rate", "share", "maskable", "budget", "legal_budget")
 
 
 @query("mask_select_offline", f"with {_BUDGET}, {_SELECT} select doc_id, chunk, kind::int kind, count(*) n, sum(word_id)::bigint words from chosen group by 1, 2, 3")
 def mask_select_offline(spark, sf_dir):
-    return masking.offline_select(offline_words(spark, sf_dir)).groupBy("doc_id", "chunk", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("word_id").cast("long")).alias("words"))
+    return chosen(offline(spark, sf_dir))
 
 
-@query("mask_replace_offline", f"""with {_BUDGET}, {_SELECT}, outs as (select c.doc_id, c.chunk, t.pos, c.kind < 2 legal, {u("'replace'", 'c.doc_id', 'c.chunk', 't.pos')} r from chosen c join {_CTOK} t on c.doc_id = t.doc_id and c.chunk = t.chunk and c.word_id = t.word_id)
-    select doc_id, chunk, case when legal then case when r < 0.90 then 'mask' when r < 0.95 then 'random' else 'keep' end else case when r < 0.80 then 'mask' when r < 0.80::double + 0.10::double then 'random' else 'keep' end end outcome, count(*) n, sum(pos)::bigint places from outs group by all""")
+@query("mask_replace_offline", f"""with {_BUDGET}, {_SELECT}, outs as (select c.doc_id, c.chunk, t.pos, c.kind < 2 legal, {u4("replace", "t.pos", "c.doc_id", "c.chunk")} r from chosen c join {_CTOK} t on c.doc_id = t.doc_id and c.chunk = t.chunk and c.word_id = t.word_id)
+    select doc_id, chunk, case when legal then case when r < 0.90 then 'mask' when r < 0.90::double + 0.05::double then 'random' else 'keep' end else case when r < 0.80 then 'mask' when r < 0.80::double + 0.10::double then 'random' else 'keep' end end outcome, count(*) n, sum(pos)::bigint places from outs group by all""")
 def mask_replace_offline(spark, sf_dir):
-    chosen = masking.offline_select(offline_words(spark, sf_dir))
-    placed = masking.window_tokens(tokens.tokenize(docs(spark, sf_dir)).select("doc_id", "pos", "word_id"), offline_windows(spark, sf_dir))
-    rows = chosen.join(placed, ["doc_id", "chunk", "word_id"])
-    out = masking.outcome(uniform("replace", "doc_id", "chunk", "pos"), F.col("kind") < 2)
-    return rows.select("doc_id", "chunk", out.alias("outcome"), "pos").groupBy("doc_id", "chunk", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("places"))
+    return outcomes(offline(spark, sf_dir, True))
 
 
 @query("density_rates", "select * from (values (0.31::double, 0.25::double, 0.75::double), (0.30, 0.20, 0.65), (0.15, 0.18, 0.55), (0.05, 0.12, 0.35)) t(density, rate, share)")
@@ -206,76 +223,56 @@ _OTOK = f"(select t.doc_id, c.chunk, t.pos - c.start pos, word_id, legal from {_
 
 def _online_sql(word: str) -> str:
     return f"""with groups as (select doc_id, chunk, {word} word_id, bool_or(legal) legal from {_OTOK} group by all),
-    ranked as (select *, row_number() over (partition by doc_id, chunk, legal order by {u("'select'", 'doc_id', 'chunk', 'word_id')}, word_id) place, count(*) over c n, count(*) filter (legal) over c n_legal from groups window c as (partition by doc_id, chunk)),
+    ranked as (select *, row_number() over (partition by doc_id, chunk, legal order by {u4("select", "word_id")}, word_id) place, count(*) over c n, count(*) filter (legal) over c n_legal from groups window c as (partition by doc_id, chunk)),
     sized as (select *, greatest(1, floor(n::double * 0.15::double)) total from ranked), cut as (select *, least(floor(total * 0.70::double), n_legal) took from sized)
     select doc_id, chunk, legal, count(*) n, sum(word_id)::bigint words from cut where case when legal then place <= took else place <= total - took end group by all"""
 
 
-def _online(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
-    starts = windows.windows(counts(spark, sf_dir), windows.online_starts(F.col("n")))
-    words = masking.words_of_windows(legal_tokens(spark, sf_dir).select("doc_id", "pos", "word_id", "legal"), starts, word=word, legal=F.bool_or("legal"))
-    return masking.online_select(words).groupBy("doc_id", "chunk", "legal").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("word_id").cast("long")).alias("words"))
-
-
 @query("mask_online", _online_sql("word_id"))
 def mask_online(spark, sf_dir):
-    return _online(spark, sf_dir, "word_id")
+    return chosen(online(spark, sf_dir), legal=True)
 
 
 @query("mask_online_no_wwm", _online_sql("pos"))
 def mask_online_no_wwm(spark, sf_dir):
-    return _online(spark, sf_dir, "pos")
-
-
-@query("mask_outcome_online", f"select doc_id, case when r < 0.80 then 'mask' when r < 0.80::double + 0.10::double then 'random' else 'keep' end outcome from (select doc_id, {u("'replace'", 'doc_id')} r from documents)")
-def mask_outcome_online(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", masking.outcome(uniform("replace", "doc_id")).alias("outcome"))
+    return chosen(online(spark, sf_dir, whole_words=False), legal=True)
 
 
 # masked samples; the tokeniser has no vocabulary, so a token's id is a keyed hash of it above the special ids 0 to 4
 VOCABULARY, MASK_ID = 32_000, 4
 _OUT = "case when r < 0.80 then 'mask' when r < 0.80::double + 0.10::double then 'random' else 'keep' end"
-_OUT_LEGAL = f"case when legal then case when r < 0.90 then 'mask' when r < 0.95 then 'random' else 'keep' end else {_OUT} end"
+_OUT_LEGAL = f"case when legal then case when r < 0.90 then 'mask' when r < 0.90::double + 0.05::double then 'random' else 'keep' end else {_OUT} end"
 _CHOSEN = f"chosen as (select doc_id, chunk, word_id, legal from ({_online_sql('word_id').replace('select doc_id, chunk, legal, count(*) n, sum(word_id)::bigint words from cut', 'select doc_id, chunk, legal, word_id from cut').removesuffix(' group by all')}))"
 
 
-def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.floor(uniform("id", "token") * F.lit(float(VOCABULARY - 5))).cast("int") + 5
-    return tokens.tokenize(docs(spark, sf_dir)).select("doc_id", "pos", "word_id", ids.alias("id"))
-
-
-def online_chosen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Windows' starts and the words that :func:`mask_online` selects in them."""
-    starts = windows.windows(counts(spark, sf_dir), windows.online_starts(F.col("n"))).select("doc_id", "chunk", "start")
-    words = masking.words_of_windows(legal_tokens(spark, sf_dir).select("doc_id", "pos", "word_id", "legal"), starts, legal=F.bool_or("legal"))
-    return starts, masking.online_select(words)
-
-
 def _samples_sql(chosen: str, starts: str, out: str) -> str:
     return f"""with {chosen}, drawn as (select t.doc_id, c.chunk, t.pos - c.start pos, t.word_id, (5 + floor({u("'id'", 't.token')} * {VOCABULARY - 5}::double))::int id from {_TOK} t join {starts} c on t.doc_id = c.doc_id and t.pos >= c.start and t.pos < c.start + 510),
-    outs as (select d.*, c.word_id is not null chosen, legal, {u("'replace'", 'd.doc_id', 'd.chunk', 'd.pos')} r, floor({u("'random'", 'd.doc_id', 'd.chunk', 'd.pos')} * {VOCABULARY}::double)::int other from drawn d left join chosen c on c.doc_id = d.doc_id and c.chunk = d.chunk and c.word_id = d.word_id),
+    outs as (select d.*, c.word_id is not null chosen, legal, {u4("replace", "d.pos", "d.doc_id", "d.chunk")} r, floor({u4("random", "d.pos", "d.doc_id", "d.chunk")} * {VOCABULARY}::double)::int other from drawn d left join chosen c on c.doc_id = d.doc_id and c.chunk = d.chunk and c.word_id = d.word_id),
     put as (select *, {out} outcome from outs)
     select doc_id, chunk, [0]::int[] || list(case when not chosen or outcome = 'keep' then id when outcome = 'mask' then {MASK_ID} else other end order by pos)::int[] || [2]::int[] input_ids, [-100]::int[] || list(case when chosen then id else -100 end order by pos)::int[] || [-100]::int[] labels from put group by 1, 2"""
 
 
-@query("mask_tokens_online", f"with {_CHOSEN}, outs as (select t.doc_id, t.chunk, t.pos, {u("'replace'", 't.doc_id', 't.chunk', 't.pos')} r from chosen c join {_OTOK} t on c.doc_id = t.doc_id and c.chunk = t.chunk and c.word_id = t.word_id) select doc_id, chunk, {_OUT} outcome, count(*) n, sum(pos)::bigint places from outs group by all")
+@query("mask_tokens_online", f"with {_CHOSEN}, outs as (select t.doc_id, t.chunk, t.pos, {u4("replace", "t.pos", "t.doc_id", "t.chunk")} r from chosen c join {_OTOK} t on c.doc_id = t.doc_id and c.chunk = t.chunk and c.word_id = t.word_id) select doc_id, chunk, {_OUT} outcome, count(*) n, sum(pos)::bigint places from outs group by all")
 def mask_tokens_online(spark, sf_dir):
-    starts, chosen = online_chosen(spark, sf_dir)
-    placed = masking.window_tokens(tokens.tokenize(docs(spark, sf_dir)).select("doc_id", "pos", "word_id"), starts)
-    out = masking.outcome(uniform("replace", "doc_id", "chunk", "pos"))
-    return chosen.join(placed, ["doc_id", "chunk", "word_id"]).select("doc_id", "chunk", out.alias("outcome"), "pos").groupBy("doc_id", "chunk", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("places"))
+    return outcomes(online(spark, sf_dir, True))
+
+
+@query("mask_outcome_online", f"with {_CHOSEN}, outs as (select t.doc_id, t.chunk, t.pos, {u4("replace", "t.pos", "t.doc_id", "t.chunk")} r from chosen c join {_OTOK} t on c.doc_id = t.doc_id and c.chunk = t.chunk and c.word_id = t.word_id) select doc_id, {_OUT} outcome, count(*) n from outs group by all")
+def mask_outcome_online(spark, sf_dir):
+    return outcomes(online(spark, sf_dir, True)).groupBy("doc_id", "outcome").agg(F.sum("n").alias("n"))
 
 
 @query("mask_samples_online", _samples_sql(_CHOSEN, _OCH, _OUT))
 def mask_samples_online(spark, sf_dir):
-    starts, chosen = online_chosen(spark, sf_dir)
-    return masking.samples(masking.window_tokens(token_ids(spark, sf_dir), starts), chosen, VOCABULARY, MASK_ID)
+    return online(spark, sf_dir, True).select("doc_id", "chunk", "input_ids", "labels")
+
 
+_OFFLINE_SAMPLES = _samples_sql(f"{_BUDGET}, {_SELECT.replace('chosen as (select doc_id, chunk, word_id, kind from', 'chosen as (select doc_id, chunk, word_id, kind < 2 legal from')}", _CHUNKS, _OUT_LEGAL)
 
-@query("mask_samples_offline", _samples_sql(f"{_BUDGET}, {_SELECT.replace('chosen as (select doc_id, chunk, word_id, kind from', 'chosen as (select doc_id, chunk, word_id, kind < 2 legal from')}", _CHUNKS, _OUT_LEGAL))
+
+@query("mask_samples_offline", _OFFLINE_SAMPLES)
 def mask_samples_offline(spark, sf_dir):
-    chosen = masking.offline_select(offline_words(spark, sf_dir)).withColumn("legal", F.col("kind") < 2)
-    return masking.samples(masking.window_tokens(token_ids(spark, sf_dir), offline_windows(spark, sf_dir)), chosen, VOCABULARY, MASK_ID, F.col("legal"))
+    return offline(spark, sf_dir, True).select("doc_id", "chunk", "input_ids", "labels")
 
 
 # ---- sampling
@@ -304,14 +301,19 @@ def worker_shards(spark, sf_dir):
 _ORD = f"(select doc_id, n, (row_number() over (order by {u("'order'", 'doc_id')}, doc_id) - 1) p from {_N})"
 
 
-@query("batch_pad", f"""select p // 8 batch_id, doc_id, (max(n) over (partition by p // 8))::int width, n::int real, ((max(n) over (partition by p // 8)) - n)::int padding from {_ORD} qualify count(*) over (partition by p // 8) = 8""")
+@query("batch_pad", f"""with samples as ({_samples_sql(_CHOSEN, _OCH, _OUT)}),
+    placed as (select *, row_number() over (order by {u("'order'", 'doc_id', 'chunk')}, doc_id, chunk) - 1 p from samples),
+    wide as (select *, p // 8 batch_id, max(len(input_ids)) over (partition by p // 8) width from placed qualify count(*) over (partition by p // 8) = 8)
+    select batch_id, doc_id, chunk, list_resize(input_ids, width, 1)::int[] input_ids, list_resize(labels, width, -100)::int[] labels, len(input_ids)::int "real" from wide""")
 def batch_pad(spark, sf_dir):
+    """Masked samples in shuffled batches of eight, padded to the longest of their batch; an incomplete last batch goes."""
     from pyspark.sql.window import Window
 
-    placed = sampling.shuffle_order(counts(spark, sf_dir), "doc_id")
-    rows = sampling.batches(placed, "position", 8, drop_last=True).withColumn("width", F.max("n").over(Window.partitionBy("batch_id")))
-    mask = masking.pad(F.array_repeat(F.lit(1), F.col("n")), F.col("width"), 0)
-    return rows.select("batch_id", "doc_id", F.size(mask).alias("width"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("real"), (F.size(mask) - F.col("n")).alias("padding"))
+    rows = mask_samples_online(spark, sf_dir).withColumn("_u", uniform("order", "doc_id", "chunk"))
+    placed = sampling.with_position(rows, ["_u", "doc_id", "chunk"]).drop("_u")
+    size = F.size("input_ids")
+    rows = sampling.batches(placed, "position", 8, drop_last=True).withColumn("width", F.max(size).over(Window.partitionBy("batch_id")))
+    return rows.select("batch_id", "doc_id", "chunk", masking.pad(F.col("input_ids"), F.col("width"), 1).alias("input_ids"), masking.pad(F.col("labels"), F.col("width"), -100).alias("labels"), size.alias("real"))
 
 
 _PAD = [(0, [7, 8, 9], [-100, 8, -100]), (0, [5], [5]), (1, [4], None)]
@@ -401,10 +403,35 @@ def reconstruct_words(spark, sf_dir):
     return analysis.reconstruct(sample_tokens(spark)).drop("word_no")
 
 
-@query("mask_outcome_stats", "select * from (values (1::int, 1::int, 1::int, 1::int, 1::int), (2, 2, 0, 0, 0)) t(id, unmasked, masked, kept, replaced)")
+@query("mask_outcome_stats", "select * from (values (1::int, 1::int, 1::int, 1::int, 1::int, 100 / 3.0::double, 100 / 3.0::double, 100 / 3.0::double), (2, 2, 0, 0, 0, null, null, null)) t(id, unmasked, masked, kept, replaced, masked_share, kept_share, replaced_share)")
 def mask_outcome_stats(spark, sf_dir):
     rows = frame(spark, [(1, [99, 5, 7, 9], [4, 5, 8, -100]), (2, [1, 2], [-100, -100])], "id int, ids array<int>, labels array<int>")
-    return rows.select("id", *[c.alias(n) for n, c in analysis.outcomes("ids", "labels", 99).items()])
+    counts = analysis.outcomes("ids", "labels", 99)
+    return rows.select("id", *[c.alias(n) for n, c in {**counts, **analysis.shares(counts)}.items()])
+
+
+@query("mask_outcomes_of_samples", f"""with samples as ({_OFFLINE_SAMPLES}), each as (select doc_id, chunk, unnest(input_ids) i, unnest(labels) l from samples)
+    select doc_id, chunk, count(*) filter (l = -100) unmasked, count(*) filter (l != -100 and i = {MASK_ID}) masked, count(*) filter (l != -100 and i != {MASK_ID} and i = l) kept, count(*) filter (l != -100 and i != {MASK_ID} and i != l) replaced from each group by 1, 2""")
+def mask_outcomes_of_samples(spark, sf_dir):
+    """What masking did to every sample, counted from its ids and labels alone."""
+    counts = analysis.outcomes("input_ids", "labels", MASK_ID)
+    return mask_samples_offline(spark, sf_dir).select("doc_id", "chunk", *[c.cast("long").alias(n) for n, c in counts.items()])
+
+
+@query("sample_words", f"""with samples as ({_OFFLINE_SAMPLES}), each as (select doc_id, chunk, unnest(labels) l, generate_subscripts(labels, 1) - 1 pos from samples)
+    select doc_id, chunk, count(*) n, sum(pos)::bigint places, count(*) filter (l % 7 = 0) named from each where l != -100 and l % 3 != 0 group by 1, 2""")
+def sample_words(spark, sf_dir):
+    """Labelled tokens of every sample by a vocabulary that names two ids of three, every seventh with a mark."""
+    vocabulary = spark.range(VOCABULARY).where("id % 3 != 0").select(F.col("id").cast("int").alias("id"), F.concat(F.when(F.col("id") % 7 == 0, "▁").otherwise(""), F.col("id").cast("string")).alias("token"))
+    samples = mask_samples_offline(spark, sf_dir).withColumn("sample_id", F.struct("doc_id", "chunk"))
+    rows = analysis.named(samples, vocabulary).where(F.col("label") != analysis.IGNORED).where("original is not null")
+    return rows.groupBy("sample_id.doc_id", "sample_id.chunk").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("places"), F.count_if(F.col("original").startswith("▁")).alias("named"))
+
+
+@query("progress_counts", "select source, count(*) filter (not contains(text, 'tion')) saved, count(*) filter (contains(text, 'tion')) corrupted, count(*) total from documents group by rollup (source)")
+def progress_counts(spark, sf_dir):
+    marked = docs(spark, sf_dir).withColumn("text", F.when(F.contains("text", F.lit("tion")), acquisition.CORRUPT[0]).otherwise(F.col("text")))
+    return analysis.progress(marked, "source")
 
 
 @query("classify_words", "select * from (values ('Ceza', 'single'), ('mahkemesi', 'partial'), ('hacizli', 'partial'), ('cezalı', 'none')) t(word, class)")
@@ -412,26 +439,21 @@ def classify_words(spark, sf_dir):
     return analysis.classify(frame(spark, [("Ceza",), ("mahkemesi",), ("hacizli",), ("cezalı",)], "word string"), frame(spark, [("ceza",), ("haciz",), ("ağır ceza mahkemesi",)], "term string"))
 
 
-_WORDS = "(select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 place from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') w from documents where lang = 'en'))"
+_WORDS = "(select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 place from (select doc_id, regexp_extract_all(lower(text), '\\p{L}+') w from documents))"
 _CLASS = "case when word in ('the', 'and', 'that') then 'single' when word in ('of', 'thing') or contains(word, 'thing') or contains(word, 'ingth') then 'partial' else 'none' end"
 
 
-_ALL_WORDS = "(select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 place from (select doc_id, regexp_extract_all(lower(text), '\\p{L}+') w from documents))"
-
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("place", "word"))
 
-def words(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """Words of English documents, as the SQL of the first six queries has them, or of ``every`` document."""
-    rows = docs(spark, sf_dir) if every else docs(spark, sf_dir).where("lang = 'en'")
-    return rows.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+" if every else "[a-z]+"), F.lit(0))).alias("place", "word"))
 
-
-def classified(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    return analysis.classify(words(spark, sf_dir, every), frame(spark, [("the",), ("and",), ("that",), ("thing",), ("ingth",), ("of thing",)], "term string"))
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.classify(words(spark, sf_dir), frame(spark, [("the",), ("and",), ("that",), ("thing",), ("ingth",), ("of thing",)], "term string"))
 
 
 @query("class_share", f"select class, count(*) n, round(100.0::double * count(*) / sum(count(*)) over (), 6) share from (select case when word in ('thing', 'ingth') then 'single' else {_CLASS} end class from {_WORDS}) group by 1")
-def class_share(spark, sf_dir, every=False):
-    rows = classified(spark, sf_dir, every).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+def class_share(spark, sf_dir):
+    rows = classified(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql.window import Window
 
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # over a row per class
@@ -439,51 +461,38 @@ def class_share(spark, sf_dir, every=False):
 
 
 @query("consecutive_phrases", f"""select doc_id, phrase, count(*) n, sum("start")::bigint places from (select doc_id, place "start", word || ' ' || lead(word) over w phrase from {_WORDS} window w as (partition by doc_id order by place)) where phrase in ('of the', 'in the', 'the and') group by 1, 2""")
-def consecutive_phrases(spark, sf_dir, every=False):
-    found = analysis.consecutive(words(spark, sf_dir, every), frame(spark, [("of the",), ("in the",), ("the and",)], "phrase string"), "doc_id")
+def consecutive_phrases(spark, sf_dir):
+    found = analysis.consecutive(words(spark, sf_dir), frame(spark, [("of the",), ("in the",), ("the and",)], "phrase string"), "doc_id")
     return found.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("start").cast("long")).alias("places"))
 
 
-@query("top_words", f"select word, count(*) n from {_WORDS} group by word order by count(*) desc, min(doc_id * 1000000 + place) limit 15")
-def top_words(spark, sf_dir, every=False):
-    first = F.min(F.col("doc_id") * 1_000_000 + F.col("place"))
-    return words(spark, sf_dir, every).groupBy("word").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).orderBy(F.desc("n"), "first").limit(15).select("word", "n")
+@query("top_words", f"select word, count(*) n from {_WORDS} group by word order by count(*) desc, min({{'d': doc_id, 'p': place}}) limit 15")
+def top_words(spark, sf_dir):
+    first = F.min(F.struct("doc_id", "place"))
+    return words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).orderBy(F.desc("n"), "first").limit(15).select("word", "n")
 
 
 _RATIO = "(select doc_id, count(*) filter (word in ('the', 'and', 'that', 'of', 'in'))::double / count(*) r, count(*) n from " + _WORDS + " group by 1)"
 
 
-def ratios(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    return words(spark, sf_dir, every).groupBy("doc_id").agg((F.count_if(F.col("word").isin("the", "and", "that", "of", "in")).cast("double") / F.count(F.lit(1))).alias("r"), F.count(F.lit(1)).alias("n"))
+def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).groupBy("doc_id").agg((F.count_if(F.col("word").isin("the", "and", "that", "of", "in")).cast("double") / F.count(F.lit(1))).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 @query("ratio_histogram", f"select (case when r < 1 then floor(r * 5) end)::int bin, count(*) n from {_RATIO} group by 1")
-def ratio_histogram(spark, sf_dir, every=False):
-    return ratios(spark, sf_dir, every).groupBy(analysis.ratio_bin(F.col("r")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def ratio_histogram(spark, sf_dir):
+    return ratios(spark, sf_dir).groupBy(analysis.ratio_bin(F.col("r")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ratio_mean", f"select round(avg(r), 9) mean_ratio, sum(n)::bigint total_words, count(*) samples from {_RATIO}")
-def ratio_mean(spark, sf_dir, every=False):
-    return ratios(spark, sf_dir, every).agg(F.round(F.avg("r"), 9).alias("mean_ratio"), F.sum("n").alias("total_words"), F.count(F.lit(1)).alias("samples"))
+def ratio_mean(spark, sf_dir):
+    return ratios(spark, sf_dir).agg(F.round(F.avg("r"), 9).alias("mean_ratio"), F.sum("n").alias("total_words"), F.count(F.lit(1)).alias("samples"))
 
 
 @query("word_length_stats", f"select round(avg(length(word)), 9) mean, quantile_cont(length(word), 0.5)::double median, max(length(word))::int longest from {_WORDS}")
-def word_length_stats(spark, sf_dir, every=False):
+def word_length_stats(spark, sf_dir):
     n = F.length("word")
-    return words(spark, sf_dir, every).agg(F.round(F.avg(n), 9).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.max(n).alias("longest"))
-
-
-def _over_all(name: str) -> None:
-    """The query of English words again, over every document and with words of any letters."""
-    run = QUERIES[name]
-
-    @query(f"{name}_all", ORACLES[name].replace(_WORDS, _ALL_WORDS))
-    def over_all(spark, sf_dir):
-        return run(spark, sf_dir, every=True)
-
-
-for _name in ("class_share", "consecutive_phrases", "top_words", "ratio_histogram", "ratio_mean", "word_length_stats"):
-    _over_all(_name)
+    return words(spark, sf_dir).agg(F.round(F.avg(n), 9).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.max(n).alias("longest"))
 
 
 @query("phrase_sample_rate", "select role, count(*) samples, count(*) filter (contains(lower(text), 'of the')) with_phrase, round(100.0::double * count(*) filter (contains(lower(text), 'of the')) / count(*), 6) rate from conversations group by 1")
@@ -493,16 +502,16 @@ def phrase_sample_rate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(n.alias("samples"), hit.alias("with_phrase"), F.round(F.lit(100.0) * hit / n, 6).alias("rate"))
 
 
-@query("throughput_windows", "select time_bucket(interval '30 seconds', ts) started, round(sum(value) / 30, 6) per_second, count(*) steps from events group by 1")
+@query("throughput_windows", "select time_bucket(interval '30 seconds', ts) started, round(sum(value) / 30, 6) per_second, round(sum(user_id) / 30.0::double, 6) other_per_second, count(*) steps, round(30000.0::double / count(*), 6) mean_step_ms from events group by 1")
 def throughput_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "30 seconds").alias("w")).agg(F.round(F.sum("value") / 30, 6).alias("per_second"), F.count(F.lit(1)).alias("steps"))
-    return rows.select(F.col("w.start").alias("started"), "per_second", "steps")
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "30 seconds").alias("w")).agg(F.round(F.sum("value") / 30, 6).alias("per_second"), F.round(F.sum("user_id") / 30, 6).alias("other_per_second"), F.count(F.lit(1)).alias("steps"))
+    return rows.select(F.col("w.start").alias("started"), "per_second", "other_per_second", "steps", F.round(F.lit(30000.0) / F.col("steps"), 6).alias("mean_step_ms"))
 
 
-@query("perplexity", "select event_type, round(avg(value), 6) loss, case when avg(value) < 100 then round(exp(avg(value) / 100), 6) else 'Infinity'::double end ppl from events group by 1")
+@query("perplexity", "select event_type, round(avg(value), 6) loss, case when avg(value) < 100 then exp(round(avg(value), 6)) else 'Infinity'::double end ppl from events group by 1")
 def perplexity(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("loss"))
-    return rows.select("event_type", F.round("loss", 6).alias("loss"), F.when(F.col("loss") < 100, F.round(analysis.perplexity(F.col("loss") / 100), 6)).otherwise(F.lit(float("inf"))).alias("ppl"))
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("loss"))
+    return rows.select("event_type", "loss", analysis.perplexity(F.col("loss")).alias("ppl"))
 
 
 @query("retention_topk", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) rn from events) where rn <= 3")

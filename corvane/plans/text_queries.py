@@ -45,7 +45,7 @@ _rule("tx_escape_decode", T.escape_decode, [(r"a\nb", "a\nb"), (r"x\/y", "x/y"),
 _rule("tx_control_fixture", T.control_strip, [("a.\nB\tc", "a.Bc"), ("so­ft​x﻿", "softx"), ("mi‌x", "mi‌x")])
 _rule("tx_control_space", lambda c: T.control_strip(c, "space"), [("a.\nB\tc", "a. B c")])
 _rule("tx_dotted_abbrev", T.join_abbreviations, [("T. C. Yargıtay", "T.C. Yargıtay"), ("A. B. C.", "A.B.C."), ("x. y.", "x. y.")])
-_rule("tx_spaced_letters", T.fix_spacing, [("T U T U K L U sanık", "TUTUKLU sanık"), ("Ğ  A  Ğ b", "ĞAĞ b"), ("k a r a r", "karar"), ("a b", "a b")])
+_rule("tx_spaced_letters", T.fix_spacing, [("T U T U K L U sanık", "TUTUKLU sanık"), ("Ğ  A  Ğ b", "ĞAĞ b"), ("k a r a r", "karar"), ("a b", "a b"), ("a\nb\nc d", "a\nb\ncd"), ("a" + " " * 17 + "b" + "\t" * 40 + "c x", "abcx"), ("a b cd", "a b cd"), ("x. a b c.", "x. abc."), ("a \n b c", "a\nbc")])
 _rule("tx_broken_spacing", T.fix_broken_spacing, [("Ğ  A  Ğ b", "ĞAĞb"), ("T. C.\nx", "T.C. x"), ("  a   bb ", "a bb")])
 _rule("tx_digit_join", T.join_digits, [("2020 5237 sayılı", "20205237 sayılı"), ("1 2 a 3", "12 a 3")])
 _rule("tx_acronyms", T.statute_acronyms, [("t c k", "TCK"), ("T M K ve hmk", "TMK ve HMK"), ("CMK", "CMK")])
@@ -103,6 +103,34 @@ def lengths(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.length(t).alias("original_length"), F.length(F.regexp_replace(t, r"\s+", " ")).alias("cleaned_length"), (F.length(t) >= 50).alias("long_enough"))
 
 
+_R = "regexp_replace"
+_ESCAPED = "text"
+for _old, _new in (("\\n", "chr(10)"), ("\\t", "chr(9)"), ("\\r", "chr(13)"), ("\\\\", "chr(92)"), ("\\/", "'/'"), ('\\"', "chr(34)"), ("\\'", "chr(39)")):
+    _ESCAPED = f"replace({_ESCAPED}, {chr(39) + _old.replace(chr(39), chr(39) * 2) + chr(39)}, {_new})"
+_DIGITS = rf"{_R}({_R}(text, '([0-9])\s+([0-9])', '\1\2', 'g'), '([0-9])\s+([0-9])', '\1\2', 'g')"
+_DOTTED = rf"{_R}({_R}(text, '\.\s+([{T.UPPER}]\.)', '.\1', 'g'), '\.\s+([{T.UPPER}]\.)', '.\1', 'g')"
+_SLUG = rf"trim({_R}({_R}(lower(translate(text, 'ığüşöç', 'igusoc')), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\s-]', '', 'g'), '[-\s]+', '_', 'g'))"
+
+
+_TRIM = "trim({}, chr(9) || chr(10) || chr(13) || ' ')"
+
+
+def _over_documents(name: str, rule, sql: str) -> None:
+    """A rule over every document, beside its fixture."""
+
+    @query(f"{name}_documents", f"select doc_id, md5({sql}) digest, length({sql})::bigint n from documents")
+    def run(spark, sf_dir):
+        c = rule(F.col("text"))
+        return docs(spark, sf_dir).select("doc_id", F.md5(c).alias("digest"), F.length(c).cast("long").alias("n"))
+
+
+_over_documents("tx_escape_decode", T.escape_decode, _ESCAPED)
+_over_documents("tx_digit_join", T.join_digits, _DIGITS)
+_over_documents("tx_dotted_abbrev", T.join_abbreviations, _DOTTED)
+_over_documents("tx_slug", T.slug, _SLUG)
+_over_documents("tx_split_terms", lambda c: F.array_join(T.split_terms(c), "|"), f"array_to_string([{_TRIM.format('x')} for x in regexp_split_to_array(text, '[,;()]') if {_TRIM.format('x')} != ''], '|')")
+
+
 _CLEANED = f"(select doc_id, lang, source, t, len from (select doc_id, lang, source, trim(regexp_replace({_BODY}, '\\s+', ' ', 'g'), ' ') t, length(trim(regexp_replace({_BODY}, '\\s+', ' ', 'g'), ' ')) len from (select *, regexp_replace(text, '{CONTROL}', '', 'g') t from documents)) where len >= 50)"
 _COUNTED = f"(select *, len(regexp_extract_all(t, '{TOKEN}'))::int n from {_CLEANED})"
 

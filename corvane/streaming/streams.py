@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.text import strip
+from corvane.sources import readers
 from corvane.storage import new_path
 
 
@@ -17,7 +19,13 @@ def read_table(spark: SparkSession, path: str, files_per_trigger: int = 8) -> Da
 
 def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """Documents as whole files, a few at a time."""
-    return spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", 16).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("text"))
+    return spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", 16).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("text"))
+
+
+def dataset(spark: SparkSession, path: str, streaming: bool = False, glob: str = "*.txt", least: int = 0) -> DataFrame:
+    """Documents of a folder, ``path, text``, as a table or as a stream: the same rows either way."""
+    rows = text_files(spark, path, glob) if streaming else readers.text_files(spark, path, glob)
+    return rows.where(F.length("text") >= least)
 
 
 def first_wins(stream: DataFrame, key: str = "id", time: str | None = None) -> DataFrame:

@@ -2,17 +2,22 @@
 
 import json
 import random
+import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.functions.keyed import uniform
-from corvane.operators import analysis, masking, matching, sampling, tokens, windows
+from corvane.config import Settings
+from corvane.operators import analysis, masked, masking, matching, sampling, tokens, windows
 from corvane.operators.components import connected_components
 from corvane.plans import corpus_queries
 from corvane.sources import readers, sinks
-from corvane.sources.search_api import SearchReader, SearchSource
+from corvane.sources.search_api import SearchReader, SearchSource, SearchStream
 from corvane.storage import spread
+from corvane.streaming import streams
 
 
 def test_window_counts_match_closed_forms(spark):
@@ -43,13 +48,13 @@ def test_components_of_long_paths_with_shuffled_ids(spark):
 def test_analysis_over_all_documents_leaves_out_no_language(spark, tmp_path):
     rows = [(1, "the house", "en"), (2, "Die schöne Straße", "de"), (3, "été", None), (4, None, "fr")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    run = {n: corpus_queries.QUERIES[n](spark, str(tmp_path)) for n in ("ratio_mean_all", "top_words_all", "word_length_stats_all", "class_share_all", "ratio_histogram_all", "consecutive_phrases_all")}
-    mean = run["ratio_mean_all"].first()
+    run = {n: corpus_queries.QUERIES[n](spark, str(tmp_path)) for n in ("ratio_mean", "top_words", "word_length_stats", "class_share", "ratio_histogram", "consecutive_phrases")}
+    mean = run["ratio_mean"].first()
     assert (mean["samples"], mean["total_words"]) == (3, 6)
-    assert {r["word"] for r in run["top_words_all"].collect()} == {"the", "house", "die", "schöne", "straße", "été"}
-    assert run["word_length_stats_all"].first()["longest"] == 6
-    assert sum(r["n"] for r in run["class_share_all"].collect()) == 6 and sum(r["n"] for r in run["ratio_histogram_all"].collect()) == 3
-    assert run["consecutive_phrases_all"].count() == 0
+    assert {r["word"] for r in run["top_words"].collect()} == {"the", "house", "die", "schöne", "straße", "été"}
+    assert run["word_length_stats"].first()["longest"] == 6
+    assert sum(r["n"] for r in run["class_share"].collect()) == 6 and sum(r["n"] for r in run["ratio_histogram"].collect()) == 3
+    assert run["consecutive_phrases"].count() == 0
 
 
 def test_masked_samples_hold_an_outcome_for_every_selected_token(spark):
@@ -122,22 +127,69 @@ def test_spans_longer_than_a_cell(spark):
     hits = spark.createDataFrame([(1, "x " * 60, 2.0, 30, 150), (1, "xx", 3.0, 0, 2)], "doc_id int, term string, priority double, s long, e long")
     found = {r["word_id"]: (r["priority"], r["is_phrase"]) for r in masking.word_map(toks, hits).collect()}
     assert found == {0: (3.0, False), **{i: (5.0, True) for i in range(10, 50)}}
-    starts = spark.createDataFrame([(1, 0, 0), (1, 1, 7), (1, 2, 63)], "doc_id int, chunk int, start int")
-    placed = sorted((r["chunk"], r["pos"], r["word_id"]) for r in masking.window_tokens(toks, starts, width=10).collect())
-    assert placed == [(c, p, s + p) for c, s in ((0, 0), (1, 7), (2, 63)) for p in range(10)]
 
 
 def test_online_budget_moves_to_other_words(spark):
-    words = spark.createDataFrame([(1, 0, i, i < 4) for i in range(100)], "doc_id int, chunk int, word_id int, legal boolean")
-    got = masking.online_select(words).groupBy("legal").count().collect()
-    assert {r["legal"]: r["count"] for r in got} == {True: 4, False: 11}
-
-
-def test_outcome_shares(spark):
-    rows = spark.range(20_000).select(masking.outcome(uniform("replace", "id")).alias("o"), masking.outcome(uniform("replace", "id"), F.lit(True)).alias("l"))
-    for column, want in (("o", {"mask": 0.8, "random": 0.1, "keep": 0.1}), ("l", {"mask": 0.9, "random": 0.05, "keep": 0.05})):
-        got = {r[column]: r["count"] / 20_000 for r in rows.groupBy(column).count().collect()}
-        assert all(abs(got[k] - v) < 0.01 for k, v in want.items())
+    docs = spark.createDataFrame([(1, " ".join(["lex"] * 4 + ["other"] * 96))], "doc_id int, text string")
+    (row,) = masked.masked_windows(docs, spark.createDataFrame([("lex", 1.0)], "term string, priority double"), masked.Online).collect()
+    assert (row["kinds"].count(1), row["kinds"].count(2), row["budget"]) == (4, 11, 15) and set(row["words"][:4]) == {0, 1, 2, 3}
+
+
+def test_outcome_shares():
+    u = masked.uniforms("replace", 1, 0, 0, 19_999)
+    for kind, want in ((2, (0.8, 0.1, 0.1)), (1, (0.9, 0.05, 0.05))):
+        got = np.bincount(masked.Offline.outcome(None, u, np.full(20_000, kind)), minlength=3) / 20_000
+        assert np.abs(got - want).max() < 0.01
+    assert (masked.uniforms("replace", 1, 0, 5, 11) == u[5:12]).all()
+
+
+def test_masking_guards(spark):
+    """Texts whose folding changes their length match nothing; special and protected tokens stay; odd rows have no windows."""
+    terms = spark.createDataFrame([("and", 2.0), (None, 1.0)], "term string, priority double")
+    tokens_of = tokens.RegexTokenizer()
+    grows = masked.Lexicon([("and", 2.0)], fold=lambda t: t.lower().replace("x", "xx"))
+    assert np.isnan(grows.words("x and", tokens_of("x and"))[0]).all() and grows.words("y and", tokens_of("y and"))[0][1] == 2.0
+    text = "ve bir , and word " * 60
+    rows = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (4, "too short"), (None, text), (6, "ve " * 30)], "doc_id int, text string")
+    got = masked.masked_windows(rows.withColumn("chunk", F.lit("clash")), terms, masked.Offline).collect()
+    assert {r["doc_id"] for r in got} == {1, 6, None} and not [r for r in got if r["doc_id"] == 6][0]["words"]
+    for r in got:
+        there = [t for t in tokens_of(text if r["doc_id"] != 6 else "ve " * 30).strings[r["start"] : r["start"] + r["size"]]]
+        assert {there[p] for p in r["places"]} <= {"and", "word"}
+    assert sorted(map(str, (r for r in got if r["doc_id"] == 1)))[::2] == sorted(map(str, (r for r in got if r["doc_id"] == 1)))[1::2]
+
+
+def test_library_tokenizer_makes_samples(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    names = [a["content"] for a in json.loads(open(path, encoding="utf-8").read())["added_tokens"]][:2]
+    tokenizer = tokens.LibraryTokenizer(path, names[0], names[-1], names[0])
+    text = "the river and the mountain " * 40
+    found = tokenizer(text)
+    theirs = Tokenizer.from_file(path).encode(text, add_special_tokens=False)
+    assert found.ids.tolist() == theirs.ids and [tuple(x) for x in np.stack([found.starts, found.ends], 1)] == theirs.offsets and found.words[0] == 0 and (np.diff(found.words) <= 1).all()
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    for policy in (masked.Offline, masked.Online):
+        for r in masked.masked_windows(docs, spark.createDataFrame([("river", 1.0)], "term string, priority double"), policy, tokenizer).collect():
+            assert len(r["input_ids"]) == len(r["labels"]) == r["size"] + 2 and (r["input_ids"][0], r["input_ids"][-1]) == tokenizer.around
+            own = found.ids[r["start"] : r["start"] + r["size"]].tolist()
+            chosen = {p for p, x in enumerate(r["labels"][1:-1]) if x != -100}
+            assert chosen == set(r["places"]) and all(r["labels"][p + 1] == own[p] for p in chosen)
+            assert all(r["input_ids"][p + 1] == own[p] for p in range(r["size"]) if p not in chosen)
+    assert tokenizer.protected(["the"])(found).any()
+
+
+def test_spaced_letters_equal_plain_regex(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abÇ1. \t\n ") for _ in range(rng.randrange(40))) for _ in range(4000)] + ["a " * 20_000 + "b"]
+    classes = [text.UPPER, text.LOWER, r"\d", text.UPPER + text.LOWER]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for letters in classes:
+        got = {r["i"]: r["c"] for r in rows.select("i", text.join_spaced(F.col("t"), letters).alias("c")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == re.sub(rf"\b(?:[{letters}]\s+){{2,}}[{letters}]\b", lambda m: m.group().replace(" ", "").replace("\t", ""), t), (letters, t)
 
 
 def test_positions_are_whole(spark):
@@ -155,7 +207,10 @@ def test_readers_and_sinks(spark, tmp_path):
     rows = readers.json_lines(spark, str(tmp_path))
     total = [r for r in readers.file_stats(rows).collect() if r["source_file"] is None][0]
     assert (total["read"], total["saved"], total["skipped"], total["errors"]) == (3, 1, 1, 1)
-    (tmp_path / "b.txt").write_text("  a whole\nfile ")
+    assert [(r["id"], r["text"]) for r in readers.with_text(rows, "empty").collect()] == [("1", "x"), ("2", "")] and readers.with_text(rows).count() == 1
+    (tmp_path / "blank.jsonl").write_text("\t\n \u00a0\n")
+    assert readers.json_lines(spark, str(tmp_path / "blank.jsonl")).count() == 0
+    (tmp_path / "b.txt").write_text("  a whole\nfile \n\n\t")
     assert [r["text"] for r in readers.text_files(spark, str(tmp_path)).collect()] == ["a whole\nfile"]
     assert readers.json_file(spark, str(tmp_path / "missing.json")).count() == 0
     sinks.append_json(spark.createDataFrame([("g", 1)], "g string, v int"), str(tmp_path / "out"), "g")
@@ -173,6 +228,53 @@ def test_search_source(spark):
     assert SearchSource.name() == "search_api"
 
 
+def test_samples_are_read_in_file_order(spark, tmp_path):
+    for name, first in (("a", 0), ("b", 10)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"input_ids": [i, 1], **({"labels": [-100, i]} if i % 2 else {})}) + "\n" for i in range(first, first + 10)) + "{bad\n\n")
+    rows = readers.pretokenized(spark, str(tmp_path), max_samples=13).collect()
+    assert sorted(r["input_ids"][0] for r in rows) == list(range(13)) and sorted(r["position"] for r in rows) == list(range(13))
+    assert all(r["attention_mask"] == [1, 1] and r["labels"] == ([-100, r["input_ids"][0]] if r["input_ids"][0] % 2 else [-100, -100]) for r in rows)
+    assert readers.pretokenized(spark, str(tmp_path)).count() == 20
+    assert [r["input_ids"][0] for r in sorted(readers.masked_samples(spark, str(tmp_path), cap=6).collect(), key=lambda r: r["sample_id"])] == [1, 3, 5]
+
+
+def test_stream_and_table_of_files_agree(spark, tmp_path):
+    for i, t in enumerate(["one\n", " two \t", "\n"]):
+        (tmp_path / f"{i}.txt").write_text(t)
+    table, stream = (streams.dataset(spark, str(tmp_path), streaming, least=1) for streaming in (False, True))
+    assert sorted(r["text"] for r in table.collect()) == sorted(r["text"] for r in streams.drain(stream).collect()) == ["one", "two"]
+
+
+def test_search_errors_and_retries(monkeypatch):
+    import urllib.error
+
+    options = {"queries": json.dumps([{"query": "q"}] * 20), "pause": "0", "url": "http://127.0.0.1:9", "index": "i"}
+    for error in (urllib.error.URLError("down"), TimeoutError(), json.JSONDecodeError("bad", "", 0), ConnectionResetError()):
+        def fail(*_, error=error, **__):
+            raise error
+        monkeypatch.setattr("urllib.request.urlopen", fail)
+        reader = SearchReader(options)
+        assert list(reader.read(reader.partitions()[0])) == []
+        with pytest.raises(RuntimeError):
+            list(SearchReader({**options, "on_error": "fail"}).read(reader.partitions()[0]))
+    answers = [(0, []), (503, []), (429, []), (200, [{"id": 7}]), (200, [])]
+    reader = SearchReader({**options, "retry": "3"}, lambda o, q: answers.pop(0))
+    assert [r[2] for r in reader.read(reader.partitions()[0])] == ["7"] and len(answers) == 1
+    stream = SearchStream(options, lambda o, q: (200, []))
+    assert stream.initialOffset() == {"next": 0} and stream.latestOffset() == {"next": 8} and stream.latestOffset() == {"next": 16} and stream.latestOffset() == {"next": 20}
+    again = SearchStream(options)  # started anew from a checkpoint
+    again.commit({"next": 16})
+    assert again.latestOffset() == {"next": 20} and len(again.partitions({"next": 16}, {"next": 20})) == 4
+
+
+def test_settings_and_reports(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"batch_size": "16", "epochs": 2, "unknown": 1, "seed": null}')
+    found = Settings.load(str(tmp_path / "s.json"))
+    assert (found.batch_size, found.epochs, found.seed) == (16, 2, "order")
+    assert found.override(epochs=0, batch_size=4).epochs == 2 and found.override(explicit=True, epochs=0).epochs == 0
+    assert analysis.table_text(spark.createDataFrame([("a", 1.5), ("bb", None)], "name string, x double"), "T") == "T\n=\nname  x\na     1.500\nbb"
+
+
 def test_steps():
     assert analysis.steps(1000, 8, 4, 3) == (96, 9)
 
