@@ -382,8 +382,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     members = materialize(_members(_entries(docs, text, words, percent, heavy, small, clash)), "members")
     length = members.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("sid", "n", "pos")).alias("hub"))
-    lists = materialize(members.join(length.where("df > 1"), "token"), "lists")
-    drop(members)
+    length = materialize(length.where("df > 1"), "lengths")
+    lists = materialize(join_hot(members, length, ["token"], "df", length.agg(F.sum("df").alias("n")).first()["n"] or 0), "lists")
+    drop(members, length)
     # short lists: every pair that may link at its first common shingle
     x, y = (lists.where(F.col("df") <= MOST_PAIRED).select("token", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "n", "pos")]) for i in (1, 2))
     pairs = x.join(y, "token").where((F.col("sid1") < F.col("sid2")) & _may_link(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent))
@@ -398,9 +399,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     groups = connected_components(linked)
     drop(maybe, wanted)
     # long lists that still hold several components form clusters
-    placed = long.select("token", "sid", "n", "hub").join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("known", F.coalesce("component", "sid"))
-    mixed = placed.groupBy("token").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo != hi").select("token")
-    placed = materialize(placed.join(mixed, "token", "left_semi").select("sid", "n", "known", F.col("hub.sid").alias("hub")), "mixed")
+    placed = long.select("token", "sid", "n", F.col("hub.sid").alias("hub")).join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("known", F.coalesce("component", "sid"))
+    all_placed = materialize(placed, "placed")
+    tokens = materialize(all_placed.groupBy("token").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.count(F.lit(1)).alias("df")), "tokens")
+    mixed = join_hot(all_placed, tokens.where("lo != hi"), ["token"], "df", tokens.agg(F.sum("df").alias("n")).first()["n"] or 0)
+    placed = materialize(mixed.select("sid", "n", "known", "hub"), "mixed")
+    drop(all_placed, tokens)
     clusters = connected_components(placed.where("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")))
     clusters = clusters.join(placed.select(F.col("sid").alias("id"), "n", "known").distinct(), "id")
     links = materialize(_within_clusters(clusters, bodies, percent), "links")
