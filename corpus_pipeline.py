@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import cotraining, exact_dedup, jaccard, packing, pii
+from corvane.llm.arrow import bound_batches
 from corvane.operators.skew import checked_broadcast
 from corvane.storage import drop, finished, materialize
 
@@ -24,6 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` written once, each row with a ``_key`` of its own that orders by doc_id, rows without one last."""
+    bound_batches(docs.sparkSession)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("row"))
     return materialize(docs.select(*COLUMNS).withColumn("_key", row), "numbered")
 
@@ -68,11 +70,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by the name of its kind; n_chars follows the text. Null texts stay null; every row stays."""
+    bound_batches(spark)
     return pii.mask_documents(docs.select(*COLUMNS), length="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens; a null or empty text is the end id alone, repeated rows have pieces of their own."""
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe_automaton, cotraining, embeddings, exact_dedup, hosts, jaccard, langid, packing, pii, warc
+from corvane.llm.arrow import bound_batches
 
 RULES = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
