@@ -10,6 +10,9 @@ puts shingles that head many lists (heavy ones) last, so a passage that many
 documents share stays out of the lists of documents that are otherwise their
 own; a document keeps heavy shingles in its prefix only where it has nothing
 else, that is within a group of near copies. Heavy lists are split by salt.
+Which shingles are heavy is counted on prefixes with a margin, since light
+shingles move up where heavy ones leave; so no light list grows long by chance,
+which would make one cluster of documents that have little in common.
 
 Only lists of bounded length are expanded into pairs, at first common shingles
 and where sketches leave a link possible. Members of a longer list are first
@@ -55,6 +58,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def counted(n: int, percent: int) -> int:
+    """Length of a prefix by hash with a margin for the shingles that move up where heavy ones leave."""
+    size = n - needed(n, percent) + 1
+    return min(n, size + max(2, size // 4))
+
+
 def set_id(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, as two signed numbers."""
     h = xxhash.xxh3_128_intdigest(shingles.tobytes())
@@ -124,7 +133,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """A row per document: key, set size, 128-bit set id, and the prefix by hash alone."""
+    """A row per document: key, set size, 128-bit set id, and the counted prefix by hash alone."""
 
     def run(batches):
         for b in batches:
@@ -137,7 +146,7 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFra
                 a.append(x)
                 c.append(y)
                 sketches.append(sketch(s).tobytes())
-                tokens.append(s[: len(s) - needed(len(s), percent) + 1 if len(s) else 0].view(np.int64))
+                tokens.append(s[: counted(len(s), percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), *batch(SETS, n, a, c, sketches, tokens).columns], names=[key, *SETS.names])
 
     ids = docs.select(key).schema.fields[0]
@@ -343,6 +352,21 @@ def _within_clusters(clusters: DataFrame, bodies: DataFrame, percent: int) -> Da
     return rows.groupBy("component", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+def _heavy(found: DataFrame, heavy_from: int) -> tuple[np.ndarray, int]:
+    """Shingles that head at least ``heavy_from`` lists, sorted, and that number; it is raised where they would be more than MOST_HEAVY."""
+    lists = found.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    lists = materialize(lists.where(F.col("df") >= heavy_from), "heavy")
+    left = 0
+    for r in lists.groupBy("df").agg(F.count(F.lit(1)).alias("lists")).orderBy(F.desc("df")).collect():
+        left += r["lists"]
+        if left > MOST_HEAVY:
+            heavy_from = r["df"] + 1
+            break
+    heavy = lists.where(F.col("df") >= heavy_from).select("token").toArrow()
+    drop(lists)
+    return np.sort(heavy.column("token").to_numpy().astype(np.int64).view(np.uint64)), heavy_from
+
+
 def _classes(found: DataFrame, key: str) -> DataFrame:
     """A row per distinct set: its id, rows, smallest key and sketch, and the ends of the other halves of the ids that share ``sid``."""
     rows = found.where("n_shingles > 0").groupBy("sid")
@@ -360,7 +384,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     are copies of each other; other columns are not read; an empty table gives
     an empty one.
     """
-    found = materialize(_sets(docs, key, text, words, percent), "sets")
+    found = written = materialize(_sets(docs, key, text, words, percent), "sets")
     classes = materialize(_classes(found, key), "classes")
     # about 3 at 10 ** 10 distinct sets, since chance alone makes ids agree
     clash = frozenset(r["sid"] for r in classes.where("lo != hi").select("sid").collect())
@@ -370,15 +394,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         classes = materialize(_classes(found, key), "classes")
         if classes.where("lo != hi").limit(1).count():
             raise ValueError("two sets share both halves of their ids with others")
-    sets = found.select(key, "n_shingles", "sid")
+    sets = materialize(found.select(key, "n_shingles", "sid"), "sizes")
     sketches = classes.select("sid", "sketch")
-    lists = found.select("sid", "n_shingles", F.explode("tokens").alias("token"))
-    total = found.agg(F.sum(F.size("tokens")).alias("rows"), F.count_if(F.col("n_shingles") > 0).alias("full")).first()
-    heavy_from = max(heavy_from, -(-(total["rows"] or 0) // MOST_HEAVY))
-    heavy = lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= heavy_from).select("token").toArrow()
-    heavy = np.sort(heavy.column("token").to_numpy().astype(np.int64).view(np.uint64))
-    cost = lists.where(F.col("n_shingles") <= MOST_ENUMERATED).agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("token").alias("lists")).first()
+    full = sets.where("n_shingles > 0").count()
+    heavy, bound = _heavy(found, heavy_from)
+    paired = bound if bound > heavy_from else MOST_PAIRED  # light lists are paired in full, so they never form clusters
+    first = F.slice("tokens", 1, (F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100) + 1).cast("int"))
+    cost = found.where(F.col("n_shingles").between(1, MOST_ENUMERATED)).select(F.explode(first).alias("token"))
+    cost = cost.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("token").alias("lists")).first()
     small = boundary(percent, cost["rows"], cost["lists"])
+    drop(written)
 
     members = materialize(_members(_entries(docs, text, words, percent, heavy, small, clash)), "members")
     length = members.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("sid", "n", "pos")).alias("hub"))
@@ -386,10 +411,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     lists = materialize(join_hot(members, length, ["token"], "df", length.agg(F.sum("df").alias("n")).first()["n"] or 0), "lists")
     drop(members, length)
     # short lists: every pair that may link at its first common shingle
-    x, y = (lists.where(F.col("df") <= MOST_PAIRED).select("token", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "n", "pos")]) for i in (1, 2))
+    x, y = (lists.where(F.col("df") <= paired).select("token", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "n", "pos")]) for i in (1, 2))
     pairs = x.join(y, "token").where((F.col("sid1") < F.col("sid2")) & _may_link(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent))
     # long lists: every member with the hub
-    long = lists.where(F.col("df") > MOST_PAIRED)
+    long = lists.where(F.col("df") > paired)
     star = long.where((F.col("sid") != F.col("hub.sid")) & _may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
     pairs = pairs.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")).union(star.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))).distinct()
     maybe = materialize(_possible(pairs, sketches, percent), "pairs")
@@ -419,6 +444,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     names = materialize(grouped.groupBy("grp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets")), "names")
     named = materialize(join_hot(grouped, names, ["grp"], "sets", classes.count()).select("sid", "rows", "component_id"), "named")
     drop(classes, grouped, names, groups)
-    full = join_hot(sets.where("n_shingles > 0"), named, ["sid"], "rows", total["full"])
+    full = join_hot(sets.where("n_shingles > 0"), named, ["sid"], "rows", full)
     full = full.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
     return full.unionByName(sets.where("n_shingles = 0").select(key, "n_shingles", F.col(key).alias("component_id")))

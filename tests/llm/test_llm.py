@@ -323,6 +323,47 @@ def test_jaccard_sets_that_share_half_an_id(spark, docs, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (sizes[i], component[i]) for i in texts}
 
 
+def common_phrases(n: int = 90) -> dict:
+    """Documents of their own words, each with two of a few phrases that many share; and one near copy."""
+    rng = np.random.default_rng(3)
+    texts = {}
+    for i in range(n):
+        own = [f"w{i}x{j}" for j in range(120)]
+        for at, phrase in zip((20, 80), rng.integers(0, 6, 2), strict=True):
+            own[at : at + 8] = [f"p{phrase}q{j}" for j in range(8)]
+        texts[i] = " ".join(own)
+    return texts | {n: texts[0] + " more"}
+
+
+def test_jaccard_chance_makes_no_cluster(spark, monkeypatch):
+    """What many documents share by chance stays heavy in large tables, where the number of heavy shingles is bounded."""
+    met = []
+    within = jaccard._within_clusters
+    monkeypatch.setattr(jaccard, "_within_clusters", lambda clusters, *rest: met.append(clusters.count()) or within(clusters, *rest))
+    monkeypatch.setattr(jaccard, "MOST_PAIRED", 8)
+    monkeypatch.setattr(jaccard, "MOST_HEAVY", 40)
+    texts = common_phrases()
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = jaccard.near_duplicates(frame, words=4, percent=85, heavy_from=8).collect()
+    sizes, component = brute_components(texts, 4, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (sizes[i], component[i]) for i in texts}
+    assert component[90] == 0 and met == [0]
+
+
+def test_jaccard_more_heavy_shingles_than_are_broadcast(spark, monkeypatch):
+    met = []
+    within = jaccard._within_clusters
+    monkeypatch.setattr(jaccard, "_within_clusters", lambda clusters, *rest: met.append(clusters.count()) or within(clusters, *rest))
+    monkeypatch.setattr(jaccard, "MOST_PAIRED", 4)
+    monkeypatch.setattr(jaccard, "MOST_HEAVY", 1)
+    texts = common_phrases()
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = jaccard.near_duplicates(frame, words=4, percent=85, heavy_from=4).collect()
+    sizes, component = brute_components(texts, 4, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (sizes[i], component[i]) for i in texts}
+    assert met == [0]
+
+
 def test_jaccard_odd(odd):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] == 5} == {4}
