@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -364,6 +365,22 @@ def test_jaccard_more_heavy_shingles_than_are_broadcast(spark, monkeypatch):
     assert met == [0]
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        found = disk.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    table = materialize(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "t")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 100
+
+
 def test_jaccard_odd(odd):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] == 5} == {4}
