@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-BATCH_BYTES = "8m"
+BATCH_BYTES = "1m"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

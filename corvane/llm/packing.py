@@ -14,6 +14,7 @@ until nothing is left to certify or to save.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterable
 
@@ -56,8 +57,13 @@ class Encoder:
         if any(x >= y for x, y in zip(made, made[1:], strict=False)):
             raise ValueError("ids must follow merge order")
         ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items() if k not in self.added}
+        self.ranks = ranks
         self.words = tiktoken.Encoding("words", pat_str=Tokenizer.BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    @functools.cached_property
+    def whole(self) -> tiktoken.Encoding:
+        """For long runs only, which few workers meet: it holds the vocabulary once more."""
+        return tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
 
     def _plain(self, text: str) -> list[int]:
         if len(text) < 4096:

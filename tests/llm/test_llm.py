@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import bpe_automaton, cotraining, embeddings, exact_dedup, hosts, jaccard, langid, packing, pii, queries, warc
+from corvane.llm import arrow, bpe_automaton, cotraining, embeddings, exact_dedup, hosts, jaccard, langid, packing, pii, queries, shingles, warc
 from corvane.operators import skew
 from corvane.storage import materialize
 
@@ -552,3 +553,36 @@ def test_pipeline_ids_that_repeat(spark):
     want = sorted([(1, "same"), (2, "other unique text"), (3, "dup"), (3, "a b c d e f g h"), (9, "alone in the world of words")])
     assert kept(corpus_pipeline.exact(spark, docs, SF)) == want
     assert kept(corpus_pipeline.near(spark, docs, SF)) == want
+
+
+def test_pipeline_batches_are_small(spark):
+    """Whole texts reach a Python worker about a megabyte at a time."""
+    texts = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+    arrow.bound_batches(spark)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    got = texts.mapInArrow(run, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 64 and max(r["size"] for r in got) < 1.5 * (1 << 20)
+
+
+def test_shingles_hash_in_small_memory(monkeypatch):
+    """What a worker holds while it hashes does not depend on the batch, and where segments end changes no hash."""
+    data = np.frombuffer(b"some words of a document " * 160_000, np.uint8)
+    offsets = np.arange(0, len(data) + 1, 4000)
+    monkeypatch.setattr(shingles, "_POWERS", shingles._Powers())
+    tracemalloc.start()
+    try:
+        words = sum(len(w) for w in shingles.words_of(data, offsets))
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert words == 800_000 and held < 24e6, held
+    whole = np.array([0, len(data) // 4])
+    want = [w.tolist() for w in shingles.words_of(data, whole)]
+    monkeypatch.setattr(shingles, "SEGMENT", 1000)
+    assert [w.tolist() for w in shingles.words_of(data, whole)] == want
