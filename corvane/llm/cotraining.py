@@ -45,6 +45,7 @@ STATISTICS = CLASSES + 8
 WORD_BUCKETS, PAIR_BUCKETS = 32, 16
 TEXT_FEATURES = STATISTICS + WORD_BUCKETS + PAIR_BUCKETS
 META = ("source", "lang", "host", "domain", "section", "pages")
+NEWTON_ROWS = 2048  # of a fit that are held as floating-point numbers at once, on the driver
 HISTOGRAM = 4001  # bins of 0.01 of a view's log-odds, from -20 to 20
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
@@ -128,7 +129,7 @@ class Additive:
                 bins = 12 if j < STATISTICS else 3
                 cuts.append(np.unique(np.quantile(col, np.linspace(0, 1, bins + 1)[1:-1])) if len(np.unique(col)) > bins else np.unique(col)[1:])
         width = 1 + sum(len(c) + 1 for c in cuts)
-        dense = np.zeros((len(x), width))
+        dense = np.zeros((len(x), width), np.uint8)  # zeros and ones
         dense[:, 0] = 1
         np.put_along_axis(dense, cls.design(x, cuts, category), 1, 1)
         return cls(cuts, category, newton(dense, y, weight, ridge))
@@ -143,8 +144,13 @@ def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * w)
+        hessian, gradient = np.diag(penalty), -penalty * w
+        for s in range(0, len(x), NEWTON_ROWS):
+            part, to, by = x[s : s + NEWTON_ROWS].astype(np.float64, copy=False), y[s : s + NEWTON_ROWS], weight[s : s + NEWTON_ROWS]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            hessian += (part * (by * p * (1 - p) + 1e-9)[:, None]).T @ part
+            gradient += part.T @ (by * (to - p))
+        step = np.linalg.solve(hessian, gradient)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break

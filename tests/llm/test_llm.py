@@ -586,3 +586,19 @@ def test_shingles_hash_in_small_memory(monkeypatch):
     want = [w.tolist() for w in shingles.words_of(data, whole)]
     monkeypatch.setattr(shingles, "SEGMENT", 1000)
     assert [w.tolist() for w in shingles.words_of(data, whole)] == want
+
+
+def test_quality_fits_in_small_memory(monkeypatch):
+    """The driver holds a block of a fit's rows as floating-point numbers, and blocks change no weight beyond rounding."""
+    draw = np.random.default_rng(0)
+    x = draw.random((20_000, cotraining.TEXT_FEATURES))
+    y = (x[:, 0] + 0.3 * draw.random(len(x)) > 0.6).astype(float)
+    tracemalloc.start()
+    try:
+        got = cotraining.Additive.fit(x, y, np.ones(len(x)), False)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held < 50e6, held
+    monkeypatch.setattr(cotraining, "NEWTON_ROWS", len(x))
+    assert np.abs(cotraining.Additive.fit(x, y, np.ones(len(x)), False).weights - got.weights).max() < 1e-9
