@@ -4,16 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
-BATCH_BYTES = "1m"
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+from corvane.storage import bound_batches
 
-
-def bound_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python at most ``BATCH_BYTES`` at a time, unless the session sets its own bound; a batch is held several times over on both sides."""
-    if _BATCH_SETTING not in spark.conf.getAll:
-        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+__all__ = ["batch", "bound_batches", "byte_view", "take"]
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,24 +2,97 @@
 
 Offsets are running sums within a text, for which Spark has no expression that
 is linear in the text; a window would shuffle and sort every token of the
-corpus. So texts are cut in Arrow batches where they are read, without a shuffle.
+corpus. So texts are cut in Arrow batches where they are read, without a shuffle,
+many texts at a time: a token is a run of characters of one class.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable
+import functools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.digests import text_md5
+
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
-_TOKEN = regex.compile(TOKEN.replace(r"\s", r" \t-\r"))  # the JVM's \s is ASCII white space only
-MOST_ROWS = 1 << 17  # rows to gather before a batch is handed on
+_WHITE = " \t\n\v\f\r"  # the JVM's \s is ASCII white space only
+MOST_CHARS = 1 << 18  # characters to cut at once, unless one text has more
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every character: 0 white, 1 letters and marks, 2 numbers, 3 any other."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(len(every), 3, np.uint8)
+    for kind, pattern in ((1, r"[\p{L}\p{M}]+"), (2, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            kinds[m.start() : m.end()] = kind
+    kinds[[ord(c) for c in _WHITE]] = 0
+    return kinds
+
+
+def bunches(texts: list[str | None]) -> Iterator[list[int]]:
+    """Numbers of the texts that are not empty, in lists of about MOST_CHARS characters."""
+    some, n = [], 0
+    for i, t in enumerate(texts):
+        if t:
+            some.append(i)
+            n += len(t)
+            if n >= MOST_CHARS:
+                yield some
+                some, n = [], 0
+    if some:
+        yield some
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The tokens of texts joined by line breaks: offsets and word numbers in the joined text, and where each text starts in it."""
+
+    text: str
+    at: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    codes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Cut:
+        text = "\n".join(texts)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = _classes()[codes]
+        edge = np.ones(len(kinds) + 1, bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=edge[1:-1])
+        single = kinds == 3
+        edge[:-1] |= single
+        edge[1:] |= single
+        token = kinds != 0
+        starts, ends = np.flatnonzero(edge[:-1] & token), np.flatnonzero(edge[1:] & token) + 1
+        fresh = np.ones(len(starts), bool)
+        np.not_equal(starts[1:], ends[:-1], out=fresh[1:])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        return cls(text, np.cumsum(sizes + 1) - sizes - 1, starts, ends, np.cumsum(fresh) - 1, codes)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first token of every text, and how many it has."""
+        first = np.searchsorted(self.starts, self.at)
+        return first, np.diff(first, append=len(self.starts))
+
+    def strings(self) -> pa.Array:
+        """The tokens themselves: what is left of the text without white space, cut anew."""
+        width = 1 + (self.codes > 0x7F) + (self.codes > 0x7FF).astype(np.int64) + (self.codes > 0xFFFF)
+        past = np.concatenate([[0], np.cumsum(np.where(_classes()[self.codes] == 0, 0, width))])
+        offsets = np.concatenate([past[:1], past[self.ends]])
+        data = self.text.encode("utf-8", "surrogatepass").translate(None, _WHITE.encode())
+        kind, size = (pa.string(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_string(), np.int64)
+        return pa.Array.from_buffers(kind, len(self.ends), [None, pa.py_buffer(offsets.astype(size)), pa.py_buffer(data)])
 
 
 @dataclass(frozen=True)
@@ -30,7 +103,7 @@ class Tokens:
     starts: np.ndarray
     ends: np.ndarray
     words: np.ndarray
-    strings: list[str] | None = None
+    strings: list[str] | pa.DictionaryArray | None = None
 
 
 class RegexTokenizer:
@@ -44,28 +117,42 @@ class RegexTokenizer:
 
     def __init__(self, vocabulary: int = 32_000):
         self.vocabulary = vocabulary
-        self._ids: dict[str, int] = {}
-
-    def _id(self, token: str) -> int:
-        if len(self._ids) > 500_000:
-            self._ids.clear()
-        u = int(hashlib.md5(f"id|{token}".encode(), usedforsecurity=False).hexdigest()[:8], 16) / 4294967296.0
-        return self._ids.setdefault(token, 5 + int(u * (self.vocabulary - 5)))
 
     def __call__(self, text: str) -> Tokens:
-        found = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        strings = [f[0] for f in found]
-        known = self._ids
-        bounds = np.array([f[1:] for f in found], np.int64).reshape(-1, 2)
-        fresh = np.ones(len(found), np.int64)
-        fresh[1:] = bounds[1:, 0] != bounds[:-1, 1]
-        ids = np.array([known[t] if t in known else self._id(t) for t in strings], np.int64)
-        return Tokens(ids, bounds[:, 0], bounds[:, 1], np.cumsum(fresh) - 1, strings)
+        found = self.together([text])
+        return Tokens(found.ids, found.starts, found.ends, found.words, found.strings.to_pylist())
+
+    def together(self, texts: list[str]) -> Tokens:
+        """The tokens of texts joined by line breaks, by places in the joined text; each distinct token is hashed once."""
+        cut = Cut.of(texts)
+        strings = cut.strings().dictionary_encode()
+        _, offsets, data = strings.dictionary.cast(pa.large_string()).buffers()
+        data, offsets = np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets or bytes(8), np.int64)[: len(strings.dictionary) + 1]
+        ids = 5 + (text_md5(b"id|", data, offsets)[:, 0] / 4294967296.0 * (self.vocabulary - 5)).astype(np.int64)
+        return Tokens(ids[strings.indices.to_numpy()], cut.starts, cut.ends, cut.words, strings)
 
     def protected(self, tokens: Iterable[str]):
         """A test that tells which of a text's tokens are among ``tokens``."""
-        known = frozenset(tokens)
-        return lambda found: np.fromiter((t in known for t in found.strings), bool, len(found.strings))
+        known = pa.array(sorted(set(tokens)), pa.string())
+
+        def test(found: Tokens) -> np.ndarray:
+            strings = found.strings if isinstance(found.strings, pa.DictionaryArray) else pa.array(found.strings, pa.string()).dictionary_encode()
+            return np.asarray(pc.is_in(strings.dictionary.cast(pa.string()), known))[strings.indices.to_numpy()]
+
+        return test
+
+
+def together(tokenizer, texts: list[str]) -> tuple[Tokens, np.ndarray]:
+    """The tokens of all ``texts``, with places and words counted on from text to text, and how many each has."""
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    if hasattr(tokenizer, "together"):
+        found = tokenizer.together(texts)
+        return found, np.diff(np.searchsorted(found.starts, at))
+    each = [tokenizer(t) for t in texts]
+    words = np.cumsum([0, *(int(x.words[-1]) + 1 if len(x.words) else 0 for x in each)])
+    ids, starts, ends, numbers = (np.concatenate(c) for c in zip(*((x.ids, x.starts + a, x.ends + a, x.words + w) for x, a, w in zip(each, at, words)), strict=True))
+    strings = [s for x in each for s in x.strings] if all(x.strings is not None for x in each) else None
+    return Tokens(ids, starts, ends, numbers, strings), np.array([len(x.ids) for x in each])
 
 
 class LibraryTokenizer:
@@ -117,31 +204,17 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         schema = schema.add(name, "long")
     schema = schema.add("token", "string")
 
-    def rows(b, parts):
-        at, spans, tokens = zip(*parts, strict=True)
-        counts = [len(x) for x in spans]
-        bounds = np.concatenate(spans)
-        new_word = np.ones(len(bounds), np.int64)
-        new_word[1:] = bounds[1:, 0] != bounds[:-1, 1]
-        first = np.repeat(np.cumsum(counts) - counts, counts)
-        new_word[np.cumsum(counts)[:-1]] = 1
-        words = np.cumsum(new_word)
-        columns = [np.arange(len(bounds)) - first, bounds[:, 0], bounds[:, 1], words - words[first]]
-        token = pa.array([t for x in tokens for t in x], pa.string())
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(at, counts))), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns), token], names=schema.names)
-
     def run(batches):
         for b in batches:
-            parts, n = [], 0
-            for i, t in enumerate(b.column(1)):
-                found = list(_TOKEN.finditer(t.as_py() or ""))
-                if found:
-                    parts.append((i, np.array([m.span() for m in found], np.int64), [m.group() for m in found]))
-                    n += len(found)
-                if n >= MOST_ROWS:
-                    yield rows(b, parts)
-                    parts, n = [], 0
-            if parts:
-                yield rows(b, parts)
+            texts = b.column(1).to_pylist()
+            for rows in bunches(texts):
+                cut = Cut.of([texts[i] for i in rows])
+                first, n = cut.counts()
+                if not n.any():
+                    continue
+                began = np.repeat(first, n)
+                at = np.repeat(cut.at, n)
+                columns = [np.arange(len(began)) - began, cut.starts - at, cut.ends - at, cut.words - cut.words[began]]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(rows, n))), *(pa.array(c, pa.int64()) for c in columns), cut.strings().cast(pa.string())], names=schema.names)
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -1,17 +1,20 @@
 """Properties of operators that queries alone do not show."""
 
+import hashlib
 import json
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.functions.keyed import uniform
 from corvane.config import Settings
-from corvane.operators import analysis, masked, masking, matching, sampling, tokens, windows
+from corvane.operators import analysis, digests, masked, masking, matching, sampling, tokens, windows
 from corvane.operators.components import connected_components
 from corvane.plans import corpus_queries
 from corvane.sources import readers, sinks
@@ -307,3 +310,63 @@ def test_cleaning_queries_keep_what_their_sql_keeps(spark, tmp_path):
         got = QUERIES[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(f'\"{c}\"' for c in got.columns)} from ({ORACLES[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want), name
+
+
+def test_digests_equal_hashlib():
+    rng = np.random.default_rng(0)
+    heads = [f"select|{i * 7919}|{i % 50}|".encode() for i in range(50)] + [b"x" * 60, b"y" * 53 + b"|", b"", "ğ|".encode() * 30]
+    of, numbers = rng.integers(0, len(heads), 9000), rng.integers(0, 130, 9000)
+    for n in (numbers, np.where(numbers == 7, 10**12, numbers)):
+        want = [hashlib.md5(heads[o] + str(k).encode()).hexdigest() for o, k in zip(of, n, strict=True)]
+        assert ["".join(f"{x:08x}" for x in r) for r in digests.numbered_md5(heads, of, n).tolist()] == want
+    words = [b"", b"a", b"\xc4\x9f" * 5, b"x" * 51, b"x" * 52, b"x" * 53, b"x" * 300]
+    got = digests.text_md5(b"id|", np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+    assert ["".join(f"{x:08x}" for x in r) for r in got.tolist()] == [hashlib.md5(b"id|" + w).hexdigest() for w in words]
+
+
+def test_tokens_equal_their_pattern():
+    rng = random.Random(1)
+    letters = list(" \t\n\r\v\f\x1c\x85\xa0aağéİ1٣½.,!́\U0001f600 x中") + [chr(rng.randrange(0x250)) for _ in range(40)]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 300))) for _ in range(200)] + [" ", "a", "\n", "."]
+    pattern = regex.compile(tokens.TOKEN.replace(r"\s", r" \t-\r"))
+    cut = tokens.Cut.of(texts)
+    first, n = cut.counts()
+    strings = cut.strings().to_pylist()
+    for i, t in enumerate(texts):
+        here, found = slice(first[i], first[i] + n[i]), list(pattern.finditer(t))
+        assert [m.span() for m in found] == list(zip((cut.starts[here] - cut.at[i]).tolist(), (cut.ends[here] - cut.at[i]).tolist(), strict=True))
+        assert [m.group() for m in found] == strings[here]
+    assert all(5 + int(int(hashlib.md5(f"id|{t}".encode()).hexdigest()[:8], 16) / 2**32 * 31_995) == i for t, i in zip(strings, tokens.RegexTokenizer().together(texts).ids.tolist(), strict=True))
+
+
+def _calls(run) -> int:
+    n = [0]
+
+    def count(frame, event, arg):
+        n[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return n[0]
+
+
+@pytest.mark.parametrize("policy", [masked.Offline, masked.Online])
+def test_masking_makes_no_calls_for_each_word(policy):
+    """Ten times the words in as many windows do not double the calls."""
+    rng = random.Random(2)
+    tokenizer = tokens.RegexTokenizer()
+    rules = policy(masked.Lexicon([("lexicon of", 1.5), ("lexicon", 1.0)]), tokenizer)
+
+    def run(texts):
+        found, n = tokens.together(tokenizer, texts)
+        state, first = rules.documents(texts, found), np.cumsum(n) - n
+        bounds = np.searchsorted(found.words, np.arange(int(found.words[-1]) + 2))
+        w = masked.Windows.over(found.words, first, first + n.clip(max=rules.width), [(i, 0) for i in range(len(n))], found.words[first], bounds)
+        masked.replaced(rules, tokenizer, w, *rules.select(state, w)[:2], found.ids)
+
+    short, long = (["".join(rng.choice("abcde") * rng.randrange(1, 4) + " " for _ in range(n)) + "lexicon" for _ in range(20)] for n in (50, 500))
+    run(short)
+    assert _calls(lambda: run(long)) < 2 * _calls(lambda: run(short))
