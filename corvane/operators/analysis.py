@@ -16,14 +16,8 @@ IGNORED = -100
 def outcomes(ids: str, labels: str, mask_id: int) -> dict[str, Column]:
     """Counts of unmasked, masked, kept and replaced positions of a sample."""
     pairs = F.arrays_zip(F.col(ids).alias("i"), F.col(labels).alias("l"))
-    n = lambda test: F.size(F.filter(pairs, test))
-    known = lambda x: x["l"] != IGNORED
-    return {
-        "unmasked": n(lambda x: x["l"] == IGNORED),
-        "masked": n(lambda x: known(x) & (x["i"] == mask_id)),
-        "kept": n(lambda x: known(x) & (x["i"] != mask_id) & (x["i"] == x["l"])),
-        "replaced": n(lambda x: known(x) & (x["i"] != mask_id) & (x["i"] != x["l"])),
-    }
+    kinds = F.transform(pairs, lambda x: F.when(x["l"] == IGNORED, 0).when(x["l"].isNull(), None).when(x["i"] == mask_id, 1).when(x["i"] == x["l"], 2).when(x["i"] != x["l"], 3))
+    return {name: F.size(kinds) - F.size(F.array_remove(kinds, kind)) for kind, name in enumerate(("unmasked", "masked", "kept", "replaced"))}  # one pass, which Spark shares
 
 
 def reconstruct(tokens: DataFrame, key: str = "sample_id") -> DataFrame:
