@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.storage import bound_batches
+
 MOST_TERMS = 100_000
 MOST_BYTES = 16 << 20
-MOST_ROWS = 1 << 17  # rows to gather before a batch is handed on
+MOST_ROWS = 1 << 15  # rows to gather before a batch is handed on
 CELL_BITS = 5
 
 
@@ -65,6 +67,7 @@ def _scan(docs: DataFrame, key: str, text: str, schema, search: Callable, finish
     def out(b, at, rows):
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *finish(np.array(rows, np.int64))], names=schema.names)
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
