@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField
 
 from corvane.operators.digests import numbered_md5
@@ -270,23 +271,59 @@ def replaced(policy, tokenizer, w: Windows, chosen: np.ndarray, kinds: np.ndarra
     return at, of, out, put
 
 
+def broadcast_terms(terms: DataFrame) -> list[tuple]:
+    """The terms and priorities of a lexicon of at most MOST_TERMS terms and 64 MB."""
+    found = terms.select("term", "priority").limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS or sum(len(r["term"] or "") for r in found) > 4 * MOST_BYTES:
+        raise ValueError("the lexicon is too large to broadcast")
+    return [tuple(r) for r in found]
+
+
+def lexicon_words(docs: DataFrame, terms: DataFrame, tokenizer=None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, word_id, priority, is_phrase`` of words that the lexicon touches, as :func:`corvane.operators.masking.word_map` has them, where the texts are read.
+
+    Tokens never meet matches in a join: only a text's lexicon words leave
+    Python. Rows with the same key have one entry a word; those without a key
+    have none.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((broadcast_terms(terms), tokenizer or RegexTokenizer()))
+    schema = docs.select(key).schema.add("word_id", "long").add("priority", "double").add("is_phrase", "boolean")
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        terms, tokens_of = held.value
+        lexicon = Lexicon(terms)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for rows in bunches(texts):
+                found, n = together(tokens_of, [texts[i] for i in rows], ids=False)
+                if not n.any():
+                    continue
+                priority, phrase = lexicon.words([texts[i] for i in rows], found)
+                some = np.flatnonzero(n)
+                first = found.words[(np.cumsum(n) - n)[some]]
+                words = np.flatnonzero(~np.isnan(priority))
+                of = np.searchsorted(first, words, side="right") - 1
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(rows)[some][of])), pa.array(words - first[of]), pa.array(priority[words]), pa.array(phrase[words])], names=schema.names)
+
+    found = docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, schema)
+    return found.groupBy(key, "word_id").agg(F.max("priority").alias("priority"), F.bool_or("is_phrase").alias("is_phrase"))
+
+
 def masked_windows(docs: DataFrame, terms: DataFrame, policy=Offline, tokenizer=None, samples: bool | tuple[str, ...] = True, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """A row per window of every text: ``key, chunk, start, size``, the policy's numbers, ``words, kinds`` and with ``samples`` ``places, outcomes, input_ids, labels``.
 
     ``terms(term, priority)`` is a folded lexicon of at most MOST_TERMS terms and
     64 MB, which is broadcast; ``tokenizer`` gives ids, offsets and word numbers
     (:class:`RegexTokenizer` where it is left out). ``input_ids`` and ``labels``
-    have the special tokens around the window; ``samples`` may also name the
-    lists that are wanted, so that only these leave Python. The label of a chosen token is
-    the id it had, also where it is kept, that of any other -100. Null and blank
-    texts, and those too short for a window, have no rows; repeated rows have
-    theirs each; rows with a null key take part.
+    have the special tokens around the window; the label of a chosen token is
+    the id it had, also where it is kept, that of any other -100. ``samples``
+    may also name the lists that are wanted, so that only these leave Python.
+    Null and blank texts, and those too short for a window, have no rows;
+    repeated rows have theirs each; rows with a null key take part.
     """
     tokenizer = tokenizer or RegexTokenizer()
-    found = terms.select("term", "priority").limit(MOST_TERMS + 1).collect()
-    if len(found) > MOST_TERMS or sum(len(r["term"] or "") for r in found) > 4 * MOST_BYTES:
-        raise ValueError("the lexicon is too large to broadcast")
-    held = docs.sparkSession.sparkContext.broadcast(([tuple(r) for r in found], tokenizer))
+    held = docs.sparkSession.sparkContext.broadcast((broadcast_terms(terms), tokenizer))
     lists = samples if isinstance(samples, tuple) else SAMPLES if samples else ("words", "kinds")
     types = {**dict.fromkeys(("chunk", "start", "size"), "int"), **{c: "double" if c in FRACTIONS else "int" for c in policy.numbers}, **{c: "array<long>" if c == "words" else "array<int>" for c in lists}}
     schema = docs.select(key).schema

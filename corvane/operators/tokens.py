@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.digests import text_md5
+from corvane.storage import bound_batches
 
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
 _WHITE = " \t\n\v\f\r"  # the JVM's \s is ASCII white space only
@@ -122,9 +123,11 @@ class RegexTokenizer:
         found = self.together([text])
         return Tokens(found.ids, found.starts, found.ends, found.words, found.strings.to_pylist())
 
-    def together(self, texts: list[str]) -> Tokens:
-        """The tokens of texts joined by line breaks, by places in the joined text; each distinct token is hashed once."""
+    def together(self, texts: list[str], ids: bool = True) -> Tokens:
+        """The tokens of texts joined by line breaks, by places in the joined text; each distinct token is hashed once, none without ``ids``."""
         cut = Cut.of(texts)
+        if not ids:
+            return Tokens(np.zeros(len(cut.starts), np.int64), cut.starts, cut.ends, cut.words)
         strings = cut.strings().dictionary_encode()
         _, offsets, data = strings.dictionary.cast(pa.large_string()).buffers()
         data, offsets = np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets or bytes(8), np.int64)[: len(strings.dictionary) + 1]
@@ -142,11 +145,11 @@ class RegexTokenizer:
         return test
 
 
-def together(tokenizer, texts: list[str]) -> tuple[Tokens, np.ndarray]:
-    """The tokens of all ``texts``, with places and words counted on from text to text, and how many each has."""
+def together(tokenizer, texts: list[str], ids: bool = True) -> tuple[Tokens, np.ndarray]:
+    """The tokens of all ``texts``, with places and words counted on from text to text, and how many each has; ids and strings may be left out without ``ids``."""
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     if hasattr(tokenizer, "together"):
-        found = tokenizer.together(texts)
+        found = tokenizer.together(texts, ids)
         return found, np.diff(np.searchsorted(found.starts, at))
     each = [tokenizer(t) for t in texts]
     words = np.cumsum([0, *(int(x.words[-1]) + 1 if len(x.words) else 0 for x in each)])
@@ -217,4 +220,5 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 columns = [np.arange(len(began)) - began, cut.starts - at, cut.ends - at, cut.words - cut.words[began]]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(rows, n))), *(pa.array(c, pa.int64()) for c in columns), cut.strings().cast(pa.string())], names=schema.names)
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)

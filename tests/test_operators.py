@@ -7,6 +7,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -370,3 +371,26 @@ def test_masking_makes_no_calls_for_each_word(policy):
     short, long = (["".join(rng.choice("abcde") * rng.randrange(1, 4) + " " for _ in range(n)) + "lexicon" for _ in range(20)] for n in (50, 500))
     run(short)
     assert _calls(lambda: run(long)) < 2 * _calls(lambda: run(short))
+
+
+def test_lexicon_words_equal_joined_matches(spark):
+    """One pass gives what tokens joined with matches give, and no plan joins them."""
+    rng = random.Random(3)
+    parts = ["the", "and", "with", "of", " ", " ", "  ", "schein", "tion", ".", "les ", "ğI", "\n", "in the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 200))) for _ in range(60)] + [None, "", " ", "the"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[4])], "doc_id int, text string")
+    terms = corpus_queries.lexicon_terms(spark)
+    joined = masking.word_map(tokens.tokenize(docs), matching.overlapping(docs.select("doc_id", text.search_fold(F.col("text"), unicode=False).alias("norm")), terms))
+    want, got = (sorted(map(tuple, x.select("doc_id", "word_id", "priority", "is_phrase").collect())) for x in (joined, masked.lexicon_words(docs, terms)))
+    assert got == want and len(want) > 500 and any(r[3] for r in want)
+    for name in ("phrase_ranges", "legal_word_map"):
+        plan = corpus_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Twenty MB of texts in one partition are never in a scan's hands at once."""
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the and "), 640).alias("norm"))
+    matching.overlapping(docs, corpus_queries.lexicon_terms(spark))
+    seen = [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    assert sum(seen) == 4000 and max(seen) < 1000
