@@ -174,7 +174,7 @@ def by_draw(w: Windows, slots: np.ndarray, bits: np.ndarray, last: np.ndarray |
 class Offline:
     """Rates by the density of lexicon words; phrases first, then by priority, then at random."""
 
-    width, stride, least = 510, 256, 10
+    width, stride, least, reads_tokens = 510, 256, 10, True
     numbers = ("density", "rate", "share", "maskable", "budget", "legal_budget")
 
     def __init__(self, lexicon: Lexicon, tokenizer):
@@ -223,7 +223,7 @@ class Offline:
 class Online:
     """A fixed rate of words, or of tokens without ``whole_words``, with a bias to those of the lexicon."""
 
-    width, stride, least = 510, 128, 50
+    width, stride, least, reads_tokens = 510, 128, 50, False
     numbers = ("maskable", "budget", "legal_budget")
 
     def __init__(self, lexicon: Lexicon, tokenizer, whole_words: bool = True, rate: float = ONLINE_RATE, bias: float = BIAS):
@@ -310,7 +310,7 @@ def lexicon_words(docs: DataFrame, terms: DataFrame, tokenizer=None, key: str =
     return found.groupBy(key, "word_id").agg(F.max("priority").alias("priority"), F.bool_or("is_phrase").alias("is_phrase"))
 
 
-def masked_windows(docs: DataFrame, terms: DataFrame, policy=Offline, tokenizer=None, samples: bool | tuple[str, ...] = True, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def masked_windows(docs: DataFrame, terms: DataFrame, policy=Offline, tokenizer=None, samples: bool | tuple[str, ...] = True, key: str = "doc_id", text: str = "text", each: tuple[str, ...] = (), **options) -> DataFrame:
     """A row per window of every text: ``key, chunk, start, size``, the policy's numbers, ``words, kinds`` and with ``samples`` ``places, outcomes, input_ids, labels``.
 
     ``terms(term, priority)`` is a folded lexicon of at most MOST_TERMS terms and
@@ -320,7 +320,9 @@ def masked_windows(docs: DataFrame, terms: DataFrame, policy=Offline, tokenizer=
     the id it had, also where it is kept, that of any other -100. ``samples``
     may also name the lists that are wanted, so that only these leave Python.
     Null and blank texts, and those too short for a window, have no rows;
-    repeated rows have theirs each; rows with a null key take part.
+    repeated rows have theirs each; rows with a null key take part. ``each``
+    names arrays of ``docs`` with an entry for every window of their text; a
+    window's row ends with its own.
     """
     tokenizer = tokenizer or RegexTokenizer()
     held = docs.sparkSession.sparkContext.broadcast((broadcast_terms(terms), tokenizer))
@@ -329,6 +331,9 @@ def masked_windows(docs: DataFrame, terms: DataFrame, policy=Offline, tokenizer=
     schema = docs.select(key).schema
     for name, kind in types.items():
         schema = schema.add(StructField(name, DataType.fromDDL(kind)))
+    for name in each:
+        schema = schema.add(name, docs.schema[name].dataType.elementType)
+    read = bool({"input_ids", "labels"}.intersection(lists)) or policy.reads_tokens or bool(tokenizer.special_ids)
     bound_batches(docs.sparkSession)
 
     def run(batches):
@@ -337,7 +342,7 @@ def masked_windows(docs: DataFrame, terms: DataFrame, policy=Offline, tokenizer=
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for rows in bunches(texts):
-                found, n = together(tokens_of, [texts[i] for i in rows])
+                found, n = together(tokens_of, [texts[i] for i in rows], read)
                 counts = rules.windows(n)
                 if not counts.any():
                     continue
@@ -353,8 +358,10 @@ def masked_windows(docs: DataFrame, terms: DataFrame, policy=Offline, tokenizer=
                     ends = np.minimum(starts + rules.width, first[d] + n[d])
                     w = Windows.over(words, starts, ends, [(names[rows[i]], j) for i, j in zip(d.tolist(), c.tolist(), strict=True)], words[first[d]] if whole else starts, bounds)
                     chosen, kind, numbers = rules.select(state, w)
-                    fixed = [b.column(0).take(pa.array(np.array(rows)[d])), c, starts - first[d], ends - starts, *numbers]
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(np.float64 if name in FRACTIONS else np.int32)) for name, x in zip(schema.names, fixed, strict=False)] + columns(rules, tokens_of, w, found.ids, chosen, kind), names=schema.names)
+                    row = np.array(rows)[d]
+                    own = [x.values.take(pa.array(x.offsets.to_numpy()[row] + c)) for x in b.columns[2:]]
+                    fixed = [b.column(0).take(pa.array(row)), c, starts - first[d], ends - starts, *numbers]
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(np.float64 if name in FRACTIONS else np.int32)) for name, x in zip(schema.names, fixed, strict=False)] + columns(rules, tokens_of, w, found.ids, chosen, kind) + own, names=schema.names)
 
     def columns(rules, tokens_of, w, ids, chosen, kind):
         made = {}
@@ -379,4 +386,4 @@ def masked_windows(docs: DataFrame, terms: DataFrame, policy=Offline, tokenizer=
                 made["input_ids"], made["labels"] = (sizes + 2, given, pa.int32()), (sizes + 2, labels, pa.int32())
         return [pa.ListArray.from_arrays(np.cumsum([0, *made[c][0]]).astype(np.int32), pa.array(made[c][1], made[c][2])) for c in lists]
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, *each).mapInArrow(run, schema)

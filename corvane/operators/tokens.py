@@ -196,6 +196,21 @@ class LibraryTokenizer:
         return lambda found: np.isin(found.ids, single)
 
 
+def with_count(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys`` of every text and its number of tokens ``n``, without the text."""
+    schema = docs.select(*keys).schema.add("n", "integer")
+
+    def run(batches):
+        for b in batches:
+            texts, n = b.column(len(keys)).to_pylist(), np.zeros(b.num_rows, np.int32)
+            for rows in bunches(texts):
+                n[rows] = Cut.of([texts[i] for i in rows]).counts()[1]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(n)], names=schema.names)
+
+    bound_batches(docs.sparkSession)
+    return docs.select(*keys, text).mapInArrow(run, schema)
+
+
 def token_count(c):
     return F.size(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)))
 

@@ -394,3 +394,25 @@ def test_texts_reach_python_in_small_batches(spark):
     matching.overlapping(docs, corpus_queries.lexicon_terms(spark))
     seen = [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
     assert sum(seen) == 4000 and max(seen) < 1000
+
+
+def test_padded_batches_hold_every_sample_and_do_not_move_them(spark):
+    """Texts that share a doc_id, or have none, keep their own samples; no sample is shuffled."""
+    rng = random.Random(4)
+    long = [" ".join(rng.choice(["the", "and", "of", "xy"]) for _ in range(n)) for n in (60, 700, 49, 400, 1500, 50)]
+    rows = [(i, t) for i, t in enumerate(long)] + [(1, long[1]), (1, long[4]), (None, long[3]), (None, long[3]), (7, None), (8, ""), (9, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = corpus_queries.lexicon_terms(spark)
+    samples = [tuple(r) for r in masked.masked_windows(docs, terms, masked.Online).select("doc_id", "chunk", "input_ids", "labels").collect()]
+    got = corpus_queries.padded_batches(docs, terms).collect()
+    cut = [(r["doc_id"], r["chunk"], r["input_ids"][: r["real"]], r["labels"][: r["real"]]) for r in got]
+    left = [s for s in samples]
+    for s in cut:
+        left.remove(s)
+    assert len(got) == len(samples) // 8 * 8 and len(left) == len(samples) % 8
+    for b in range(len(got) // 8):
+        mine = [r for r in got if r["batch_id"] == b]
+        assert len(mine) == 8 and {len(r["input_ids"]) for r in mine} == {len(r["labels"]) for r in mine} == {max(r["real"] for r in mine)}
+        assert all(set(r["input_ids"][r["real"] :]) <= {1} and set(r["labels"][r["real"] :]) <= {-100} for r in mine)
+    plan = corpus_queries.batch_pad(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
