@@ -5,6 +5,7 @@ import json
 import random
 import re
 import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -416,3 +417,14 @@ def test_padded_batches_hold_every_sample_and_do_not_move_them(spark):
         assert all(set(r["input_ids"][r["real"] :]) <= {1} and set(r["labels"][r["real"] :]) <= {-100} for r in mine)
     plan = corpus_queries.batch_pad(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_lexicon_build_normalises_once(spark):
+    """Parts of a normalised line need no second pass through Python."""
+    from corvane.operators import lexicon
+
+    lines = spark.createDataFrame([("ﬁkir ①, ２ ﬃ; Å (é)",), ("a b c d e f g h ﬁ, 'ẛ̣ ﬂ',",), (" ① ﬁ",)], "value string")
+    built = lexicon.build(lines, seed=())
+    want = [unicodedata.normalize("NFKC", t) for t in ("ﬁkir ①, ２ ﬃ; Å (é", "a b c d e f g h ﬁ", "ẛ̣ ﬂ", "① ﬁ")]
+    assert sorted(r["term"] for r in built.collect()) == sorted(want)
+    assert built._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
